@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from . import textkernel as K
 from .common import prepare, require
 
-PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "min_chi2": 20.0, "min_count": 3, "max_terms": 4000, "block": 64, "threshold": 0.5}
+PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "min_chi2": 24.0, "min_count": 3, "max_terms": 4000, "block": 64, "threshold": 0.5}
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -110,6 +110,7 @@ class Model:
         best = np.lexsort((u, -chi))[: p["max_terms"]]
         self.vocab = np.sort(u[best[chi[best] >= p["min_chi2"]]])
         self.ids, self.y, self.rows = ids, y, rows
+        self._memo: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
     def weigh(self, df: np.ndarray, total: int) -> Model:
         self.idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
@@ -135,38 +136,38 @@ class Model:
         return self
 
     def neighbours(self, term: np.ndarray, count: np.ndarray, doc_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the nearest examples, greatest first; ties by id."""
+        """Rows and cosines of the k nearest examples other than ``doc_id``,
+        greatest first; ties by row."""
+        key = term.tobytes() + count.tobytes()
+        found = self._memo.get(key)
+        if found is None:
+            if len(self._memo) >= 20_000:
+                self._memo.clear()
+            found = self._memo[key] = self._nearest(term, count)
+        rows, cos = found
+        if doc_id is not None:
+            other = self.ids[rows] != doc_id
+            rows, cos = rows[other], cos[other]
+        return rows[: self.p["k"]], cos[: self.p["k"]]
+
+    def _nearest(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q = (1 + np.log(count)) * self.idf[term]
         q = q / np.sqrt((q * q).sum())
         bound = q @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
-        k, size = self.p["k"], self.p["block"]
-        rows, cos, worst = [], [], 0.0
-        for at in order:
-            if bound[at] <= 0 or (bound[at] < worst - 1e-12):
+        most = self.p["k"] + 1  # one more, as the document itself may be an example
+        rows, cos, worst = np.zeros(0, np.int64), np.zeros(0), 1e-9
+        for at in np.argsort(-bound, kind="stable"):
+            if bound[at] < worst - 1e-9:
                 break
-            c = q @ self.blocks[at][term]
-            hit = np.flatnonzero((c > 0) & (c >= worst - 1e-12))
+            c = np.round(q @ self.blocks[at][term], 9)
+            hit = np.flatnonzero(c >= worst)
             if hit.size:
-                rows.append(hit + at * size)
-                cos.append(c[hit])
-                if sum(map(len, cos)) > k:
-                    r, c = np.concatenate(rows), np.concatenate(cos)
-                    r, c = (x[self.ids[r] != doc_id] for x in (r, c)) if doc_id is not None else (r, c)
-                    if r.size > k:
-                        top = np.lexsort((self.ids[r], -np.round(c, 12)))[:k]
-                        r, c = r[top], c[top]
-                    if r.size == k:
-                        worst = float(c[-1] if c.size else 0)
-                    rows, cos = [r], [c]
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0)
-        r, c = np.concatenate(rows), np.concatenate(cos)
-        if doc_id is not None:
-            keep = self.ids[r] != doc_id
-            r, c = r[keep], c[keep]
-        top = np.lexsort((self.ids[r], -np.round(c, 12)))[:k]
-        return r[top], c[top]
+                rows, cos = np.concatenate([rows, hit + at * self.p["block"]]), np.concatenate([cos, c[hit]])
+                top = np.lexsort((rows, -cos))[:most]
+                rows, cos = rows[top], cos[top]
+                if cos.size == most:
+                    worst = float(cos[-1])
+        return rows, cos
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
         """Share of toxic votes; a neighbour counts by the inverse of its
@@ -182,6 +183,7 @@ class Model:
         votes = np.array([self.vote(*self.neighbours(t := np.flatnonzero(v), np.ones(t.size), int(i))) for v, i in zip(dense, self.ids)])
         y = self.y.astype(float)
         ones, zeros = max(y.sum() + self.zero_y.sum(), 1), max((y == 0).sum() + (self.zero_y == 0).sum(), 1)
+        self._memo.clear()
         w1, w0 = self.prior / ones, (1 - self.prior) / zeros
         z1, z0 = self.zero_y.sum() * w1, (self.zero_y == 0).sum() * w0
         self.none = float(z1 / (z1 + z0)) if z1 + z0 > 0 else self.prior
