@@ -168,6 +168,21 @@ def window_min(g: np.ndarray, w: int) -> np.ndarray:
     return at + step
 
 
+def _thin(pick: np.ndarray, g: np.ndarray, doc: np.ndarray, w: int) -> np.ndarray:
+    """Where a text repeats itself, equal least values follow each other
+    closely. Of such a run the first, the last and one in every half window
+    stay, so that every window still holds one with its least value."""
+    if pick.size < 3:
+        return pick
+    v, half = g[pick], max(w // 2, 1)
+    new = np.ones(pick.size, bool)
+    new[1:] = (v[1:] != v[:-1]) | (pick[1:] - pick[:-1] > half) | (doc[pick[1:]] != doc[pick[:-1]])
+    last = np.append(new[1:], True)
+    first = pick[np.flatnonzero(new)][np.cumsum(new) - 1]
+    at = (pick - first) // half
+    return pick[new | last | np.append(True, at[1:] != at[:-1])]
+
+
 def winnow(ws: Words, k: int, w: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Winnowed fingerprints of every document: (word index, hash).
 
@@ -183,7 +198,7 @@ def winnow(ws: Words, k: int, w: int, docs: int) -> tuple[np.ndarray, np.ndarray
     if pick.size:  # windows that cross from one document into the next don't count
         same = ws.doc[: pick.size] == ws.doc[w + k - 2 : w + k - 2 + pick.size]
         pick = pick[same]
-        pick = np.unique(pick)
+        pick = _thin(np.unique(pick), g, ws.doc, w)
     size = np.diff(ws.bounds)
     short = np.flatnonzero((size >= k) & (size < w + k - 1))
     if short.size:
