@@ -20,5 +20,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op10_toxicity)}
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents")).drop("th")
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_simhash, op10_toxicity)}
 ORACLE: dict[str, str] = {}
