@@ -1,18 +1,51 @@
-"""A corpus pipeline of operators of ``mdlake.llm``, stage by stage."""
+"""A corpus pipeline of operators of ``mdlake.llm``, stage by stage.
+
+Each stage works on all that its predecessor kept. All but the last return the
+columns of ``documents``; the last returns packed windows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mdlake.llm import toxicity
+from mdlake.llm import decontam, packing, simhash, suffix_dedup, toxicity
 from mdlake.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose calibrated score is at least the threshold go."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur before are cut out of the texts."""
+    return suffix_dedup.cut(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a passage with a benchmark item go."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of tokens, with the documents that fill them."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_copies),
+    ("repeated passages", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: SQL can't express the nearest neighbours' calibration, nor bounded-space packing.
 ORACLE_SQL = None
 
 

@@ -26,5 +26,23 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents")).drop("th")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_simhash, op10_toxicity)}
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_output
+
+    return token_output.write(table(spark, sf_dir, "documents")).drop("path")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_simhash, op5_token_output, op6_packing, op7_decontamination, op10_toxicity)}
 ORACLE: dict[str, str] = {}
