@@ -55,5 +55,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_license_scan, op4_simhash, op5_token_output, op6_packing, op7_decontamination, op10_toxicity)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_license_scan, op4_simhash, op5_token_output, op6_packing, op7_decontamination, op8_quality, op9_html_text, op10_toxicity)}
 ORACLE: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql()}
