@@ -2,22 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage at a table in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    have = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not have:
-        import tempfile
-
-        sc.setCheckpointDir(have := "file://" + tempfile.mkdtemp(prefix="mdlake-"))
-    path = f"{have.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .shared import written
 
 
 def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> DataFrame:
@@ -32,7 +19,7 @@ def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> DataF
     a hub does no harm beyond its own rows.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = _cut(e)
+    e = written(e, "graph")
     seen = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,7 +27,7 @@ def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> DataF
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = _cut(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = written(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "graph")
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
