@@ -12,7 +12,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     ``md``, read whole. The path of a document is that of its file, without a
     ``file:`` scheme."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
-    return raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def single(spark: SparkSession, path: str, content: str) -> DataFrame:

@@ -12,7 +12,7 @@ def files(spark: SparkSession, path: str, per_batch: int = 10_000) -> DataFrame:
     """(path, content) of ``.md`` files as they arrive below a folder."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     raw = raw.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", per_batch).load(path)
-    return raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def ingest(docs: DataFrame, store: Store, checkpoint: str, once: bool = False) -> StreamingQuery:
