@@ -2,7 +2,9 @@
 
 Documents and labelled examples are TF-IDF vectors over a vocabulary that is
 fitted on the examples: the words whose presence depends on the label (chi-square
-above ``min_chi2``). Document frequencies are counted over all documents. For
+above ``min_chi2``). All other words count as one word more, ``other``, of which
+a vector holds the number: a word of the vocabulary weighs less in a long text.
+How much ``other`` weighs is chosen on the examples. Document frequencies are counted over all documents. For
 every document the ``k`` examples of greatest cosine are found exactly, with an
 inverted index cut into blocks of examples: each (word, block) keeps its greatest
 weight, their sum bounds every cosine in the block, and blocks are visited by
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from . import textkernel as K
 from .common import prepare, require
 
-PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "min_chi2": 24.0, "min_count": 3, "max_terms": 4000, "block": 64, "threshold": 0.5}
+PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "min_chi2": 24.0, "min_count": 3, "max_terms": 4000, "block": 64, "threshold": 0.5, "other": (0.0, 0.25, 0.5, 1.0)}
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -40,13 +42,13 @@ SCHEMA = T.StructType([
 def term_counts(s: K.Slice, vocab: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(document, word, count, first byte, last byte) of each distinct word of
     each document of a slice; the word as its index in ``vocab`` (others
-    dropped), or as its hash."""
+    dropped), or as its hash. Then the number of words of each document."""
     w = K.words(s, folded=True)
     h, doc, at = w.hash, w.doc, np.arange(w.hash.size)
     if vocab is not None:
         if not vocab.size or not h.size:
             z = np.zeros(0, np.int64)
-            return z, z, z, z, z
+            return z, z, z, z, z, np.diff(w.bounds)
         # most words are in no vocabulary: a bitmap of 2^16 hash prefixes drops them cheaply
         seen = np.zeros(1 << 16, bool)
         seen[(vocab >> np.uint64(48)).astype(np.int64)] = True
@@ -64,7 +66,7 @@ def term_counts(s: K.Slice, vocab: np.ndarray | None = None) -> tuple[np.ndarray
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, d.size))
     a = a[first]
-    return d[first], t[first], count, w.start[a], w.end[a]
+    return d[first], t[first], count, w.start[a], w.end[a], np.diff(w.bounds)
 
 
 def _sample(labels: DataFrame, most: int) -> DataFrame:
@@ -77,7 +79,7 @@ def _example_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         ids, tox = batch.column("doc_id"), batch.column("toxic")
         for s in K.slices(batch.column("text")):
-            d, h, n, _, _ = term_counts(s)
+            d, h, n, *_ = term_counts(s)
             cut = np.searchsorted(d, np.arange(s.offs.size))
             k = s.offs.size - 1
             offs = pa.array(cut.astype(np.int32))
@@ -93,6 +95,12 @@ def _chi2(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.where(den > 0, n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(den, 1), 0)
 
 
+def rounded(n: np.ndarray | float) -> np.ndarray | float:
+    """A number of words to the nearest half power of two, so that documents of
+    about equal length look alike; at least 1."""
+    return 2.0 ** (np.round(2 * np.log2(np.maximum(n, 1))) / 2)
+
+
 class Model:
     """The fitted examples, small enough to go to every task: bounded by
     ``max_examples`` and ``max_terms``, not by the data."""
@@ -113,46 +121,79 @@ class Model:
         self._memo: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
     def weigh(self, df: np.ndarray, total: int) -> Model:
-        self.idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-        dense = np.zeros((len(self.rows), self.vocab.size), np.float64)
+        """Fits with each weight of ``other`` and keeps the one whose scores
+        of the examples, each left out of its own neighbours, have the least
+        log loss."""
+        self.idf = np.append(np.log((1.0 + total) / (1.0 + df)) + 1.0, 1.0)
+        size = self.vocab.size
+        dense = np.zeros((len(self.rows), size + 1), np.float64)
         for i, (h, n) in enumerate(self.rows):
             j = np.searchsorted(self.vocab, h)
-            ok = np.flatnonzero((j < self.vocab.size) & (self.vocab[np.minimum(j, max(self.vocab.size - 1, 0))] == h)) if self.vocab.size else []
-            if len(ok):
-                v = (1 + np.log(n[ok])) * self.idf[j[ok]]
-                dense[i, j[ok]] = v / np.sqrt((v * v).sum())
-        # Examples that hold the same words lie together, so that blocks have tight bounds. An example
-        # without any chosen word has cosine 0 with everything and is never a neighbour.
-        lead = dense.argmax(axis=1) if self.vocab.size else np.zeros(len(self.rows), int)
-        keep = np.flatnonzero(dense.any(axis=1))
-        keep = keep[np.lexsort((self.ids[keep], -dense[keep, lead[keep]], self.y[keep], lead[keep]))]
-        self.zero_y = np.delete(self.y, keep)
-        self.ids, self.y, self.rows = self.ids[keep], self.y[keep], []
-        size = self.p["block"]
-        dense = dense[keep]
-        self.blocks = [np.ascontiguousarray(dense[i : i + size].T) for i in range(0, len(keep), size)]
-        self.most = np.stack([x.max(axis=1) for x in self.blocks], axis=1) if self.blocks else np.zeros((self.vocab.size, 0))
-        self._calibrate(dense)
+            ok = np.flatnonzero((j < size) & (self.vocab[np.minimum(j, max(size - 1, 0))] == h)) if size else np.zeros(0, np.int64)
+            dense[i, j[ok]] = (1 + np.log(n[ok])) * self.idf[j[ok]]
+            dense[i, size] = 1 + np.log(rounded(n.sum() - n[ok].sum()))
+        every, best = (self.ids, self.y, dense), None
+        self.rows = []
+        for other in self.p["other"]:
+            self._index(*every, other)
+            loss = self._calibrate()
+            if best is None or loss < best[0] - 1e-9:
+                best = loss, other
+        if best and best[1] != self.other:
+            self._index(*every, best[1])
+            self._calibrate()
+        self.dense = None
         return self
 
-    def neighbours(self, term: np.ndarray, count: np.ndarray, doc_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def _index(self, ids: np.ndarray, y: np.ndarray, dense: np.ndarray, other: float) -> None:
+        self.other, size = other, self.vocab.size
+        dense = dense.copy()
+        dense[:, size] *= other
+        norm = np.sqrt((dense * dense).sum(axis=1))
+        dense /= np.where(norm > 0, norm, 1)[:, None]
+        # Examples without any chosen word are all alike. As ties go by doc_id, the first k + 1 stand for all of them.
+        has = dense[:, :size].any(axis=1)
+        bare = np.flatnonzero(~has & (dense[:, size] > 0))
+        bare = bare[np.argsort(ids[bare], kind="stable")][: self.p["k"] + 1]
+        # Examples that hold the same words lie together, so that blocks have tight bounds.
+        lead = dense[:, :size].argmax(axis=1) if size else np.zeros(len(ids), int)
+        keep = np.flatnonzero(has)
+        keep = np.concatenate([keep[np.lexsort((ids[keep], -dense[keep, lead[keep]], y[keep], lead[keep]))], bare])
+        self.share = max(int(y.sum()), 1) / max(len(y), 1)
+        self.ones, self.zeros = max(int(y.sum()), 1), max(int((y == 0).sum()), 1)
+        self.bare_ones, self.bare_zeros = int(y[~has].sum()), int((y[~has] == 0).sum())
+        self.ids, self.y, self.dense, self.known = ids[keep], y[keep], dense[keep], int(has.sum())
+        step = self.p["block"]
+        self.blocks = [np.ascontiguousarray(self.dense[i : i + step].T) for i in range(0, len(keep), step)]
+        self.most = np.stack([x.max(axis=1) for x in self.blocks], axis=1) if self.blocks else np.zeros((size + 1, 0))
+        self._memo.clear()
+
+    def query(self, term: np.ndarray, count: np.ndarray, rest: int) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of a document of unit length; ``rest`` counts its
+        words outside of the vocabulary."""
+        q = (1 + np.log(count)) * self.idf[term]
+        if self.other:
+            term, q = np.append(term, self.vocab.size), np.append(q, self.other * (1 + np.log(rounded(rest))))
+        return term, q / np.sqrt((q * q).sum())
+
+    def neighbours(self, term: np.ndarray, count: np.ndarray, rest: int, doc_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples other than ``doc_id``,
-        greatest first; ties by row."""
-        key = term.tobytes() + count.tobytes()
+        greatest first; ties by the examples' doc_id."""
+        key = (term.tobytes(), count.tobytes(), float(rounded(rest)))
         found = self._memo.get(key)
         if found is None:
             if len(self._memo) >= 20_000:
                 self._memo.clear()
-            found = self._memo[key] = self._nearest(term, count)
-        rows, cos = found
+            found = self._memo[key] = self._nearest(*self.query(term, count, rest))
+        return self._others(*found, doc_id)
+
+    def _others(self, rows: np.ndarray, cos: np.ndarray, doc_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         if doc_id is not None:
             other = self.ids[rows] != doc_id
             rows, cos = rows[other], cos[other]
         return rows[: self.p["k"]], cos[: self.p["k"]]
 
-    def _nearest(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        q = (1 + np.log(count)) * self.idf[term]
-        q = q / np.sqrt((q * q).sum())
+    def _nearest(self, term: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bound = q @ self.most[term]
         most = self.p["k"] + 1  # one more, as the document itself may be an example
         rows, cos, worst = np.zeros(0, np.int64), np.zeros(0), 1e-9
@@ -163,7 +204,7 @@ class Model:
             hit = np.flatnonzero(c >= worst)
             if hit.size:
                 rows, cos = np.concatenate([rows, hit + at * self.p["block"]]), np.concatenate([cos, c[hit]])
-                top = np.lexsort((rows, -cos))[:most]
+                top = np.lexsort((self.ids[rows], -cos))[:most]
                 rows, cos = rows[top], cos[top]
                 if cos.size == most:
                     worst = float(cos[-1])
@@ -173,36 +214,39 @@ class Model:
         """Share of toxic votes; a neighbour counts by the inverse of its
         distance, and by how much the sample thins out its class. One vote of
         the prior keeps few far neighbours from deciding."""
-        pos = max(int((self.y == 1).sum()), 1) / max(len(self.y) + len(self.zero_y), 1)
         w = 1.0 / (1.05 - np.minimum(cos, 1.0))
-        w = w * np.where(self.y[rows] == 1, self.prior / max(pos, 1e-9), (1 - self.prior) / max(1 - pos, 1e-9))
+        w = w * np.where(self.y[rows] == 1, self.prior / self.share, (1 - self.prior) / max(1 - self.share, 1e-9))
         pseudo = 1.0
         return float((w @ self.y[rows] + self.prior * pseudo) / (w.sum() + pseudo))
 
-    def _calibrate(self, dense: np.ndarray) -> None:
-        votes = np.array([self.vote(*self.neighbours(t := np.flatnonzero(v), np.ones(t.size), int(i))) for v, i in zip(dense, self.ids)])
-        y = self.y.astype(float)
-        ones, zeros = max(y.sum() + self.zero_y.sum(), 1), max((y == 0).sum() + (self.zero_y == 0).sum(), 1)
-        self._memo.clear()
-        w1, w0 = self.prior / ones, (1 - self.prior) / zeros
-        z1, z0 = self.zero_y.sum() * w1, (self.zero_y == 0).sum() * w0
+    def _calibrate(self) -> float:
+        """Isotonic regression of labels on votes; the examples' log loss."""
+        w1, w0 = self.prior / self.ones, (1 - self.prior) / self.zeros
+        z1, z0 = self.bare_ones * w1, self.bare_zeros * w0
         self.none = float(z1 / (z1 + z0)) if z1 + z0 > 0 else self.prior
-        order = np.argsort(votes, kind="stable")
+        y = self.y[: self.known].astype(float)
+        votes = np.zeros(self.known)
+        for i in range(self.known):
+            term = np.flatnonzero(self.dense[i])
+            votes[i] = self.vote(*self._others(*self._nearest(term, self.dense[i, term]), int(self.ids[i])))
         pools: list[list[float]] = []  # [weight, weight of toxic, lowest vote]
-        for i in order:
-            w = w1 if y[i] else w0
-            pools.append([w, w * y[i], votes[i]])
+        level, at = np.unique(np.round(votes, 9), return_inverse=True)  # examples with equal votes are one point
+        weight, toxic = (np.bincount(at, np.where(y > 0, w1, z), minlength=level.size) for z in (w0, 0.0))
+        for v, w, t in zip(level, weight, toxic):
+            pools.append([w, t, v])
             while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
                 last = pools.pop()
                 pools[-1][0] += last[0]
                 pools[-1][1] += last[1]
         self.steps = np.array([x[2] for x in pools])
         self.level = np.array([x[1] / x[0] for x in pools])
+        score = np.clip([self.probability(v) for v in votes], 1e-3, 1 - 1e-3)
+        return float(-(np.where(y > 0, w1 * np.log(score), w0 * np.log(1 - score))).sum())
 
     def probability(self, vote: float) -> float:
         if not self.steps.size:
             return self.prior
-        return float(self.level[max(int(np.searchsorted(self.steps, vote, "right")) - 1, 0)])
+        return float(self.level[max(int(np.searchsorted(self.steps, round(vote, 9), "right")) - 1, 0)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, **params: Any) -> Model:
@@ -245,11 +289,11 @@ def _scored(batch: pa.RecordBatch, model: Model) -> Iterator[tuple]:
     word of the vocabulary."""
     ids = batch.column("doc_id")
     for s in K.slices(batch.column("text")):
-        d, t, n, b, e = term_counts(s, model.vocab)
+        d, t, n, b, e, total = term_counts(s, model.vocab)
         cut = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if d.size else np.zeros(0, np.int64)
         for lo, hi in zip(cut, np.append(cut[1:], d.size)):
             row = s.first + int(d[lo])
-            r, c = model.neighbours(t[lo:hi], n[lo:hi], ids[row].as_py())
+            r, c = model.neighbours(t[lo:hi], n[lo:hi], int(total[d[lo]] - n[lo:hi].sum()), ids[row].as_py())
             if r.size:
                 yield row, model.probability(model.vote(r, c)), r, c, [s.buf[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(b[lo:hi], e[lo:hi])]
 
