@@ -85,7 +85,8 @@ def decide(pages: DataFrame, rules: DataFrame, **params: Any) -> DataFrame:
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            pid = [-1 if k is None else bisect_right(bounds, k.encode()) for k in batch.column("key").to_pylist()]
+            # URLs without a key meet no rule, wherever they go
+            pid = [-1 - i % parts if k is None else bisect_right(bounds, k.encode()) for i, k in enumerate(batch.column("key").to_pylist())]
             yield batch.append_column("pid", pa.array(pid, pa.int32()))
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
