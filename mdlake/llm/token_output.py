@@ -85,7 +85,9 @@ def write(docs: DataFrame, path: str | None = None, **params: Any) -> DataFrame:
 
     Null and empty texts have no tokens and are in no sequence. Rows that
     repeat are tokenised each. Null doc_ids stay null in ``doc_ids``. An empty
-    table makes no file. Other columns are ignored."""
+    table makes no file. Other columns are ignored. ``docs`` is read twice, to
+    count and to write, and its partitions must hold the same rows both times, as
+    those of a table in files do."""
     p = PARAMS | params
     spark = docs.sparkSession
     prepare(spark)
@@ -151,7 +153,7 @@ def write(docs: DataFrame, path: str | None = None, **params: Any) -> DataFrame:
         close()
 
     made = docs.mapInArrow(encode, "slot long, shard long, doc_ids array<long>, data binary")
-    return made.repartition(shards, "shard").sortWithinPartitions("slot").mapInArrow(store, "slot long, shard long, path string, offset long, stride int, doc_ids array<long>, crc32 long")
+    return made.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot").mapInArrow(store, "slot long, shard long, path string, offset long, stride int, doc_ids array<long>, crc32 long")
 
 
 def read(path: str, slot: int, count: int, per_shard: int, stride: int, dtype: type = np.uint16) -> np.ndarray:
