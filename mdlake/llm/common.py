@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch. Texts are long, so the default of 10,000 rows would
@@ -52,6 +54,18 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with other names for columns whose names hold dots or back quotes,
+    which ``mapInArrow`` can't take."""
+    return df.toDF(*(f"__column_{i}" if "." in c or "`" in c else c for i, c in enumerate(df.columns)))
+
+
+def through(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows of ``df``, with all their columns, that ``run`` lets through."""
+    inner = plain_names(df)
+    return inner.mapInArrow(run, inner.schema).toDF(*df.columns)
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns, found by exact name; other columns, whatever they
     are called, don't matter."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as K
-from .common import prepare, require
+from .common import prepare, require, through
 
 PARAMS: dict[str, Any] = {"span": 12, "k": 6, "broadcast_limit": 4_000_000}
 
@@ -204,4 +204,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, **params: Any) -> DataFram
                 keep[matches(s, items, p, bitmap)[0] + s.first] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return through(docs, run)

@@ -235,4 +235,4 @@ def keep_one(docs: DataFrame, **params: Any) -> DataFrame:
     lose = groups(docs, **params).where("not keep").select(F.col("doc_id").alias("__lose_id"), F.col("th").alias("__lose_th"))
     rows = docs.withColumn("__text_hash", F.xxhash64("text"))
     left = rows.join(lose, rows["doc_id"].eqNullSafe(lose["__lose_id"]) & (rows["__text_hash"] == lose["__lose_th"]), "left_anti")
-    return left.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    return left.dropDuplicates(["doc_id", "__text_hash"]).select(*(f"`{c}`" for c in docs.columns))

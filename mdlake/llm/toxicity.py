@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import textkernel as K
-from .common import prepare, require
+from .common import prepare, require, through
 
 PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "min_chi2": 24.0, "min_count": 3, "max_terms": 4000, "block": 64, "threshold": 0.5, "other": (0.0, 0.25, 0.5, 1.0)}
 
@@ -337,4 +337,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                 keep[row] = p < m.p["threshold"]
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return through(docs, run)

@@ -6,7 +6,7 @@ import re
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside.
-CLASHES = ["th", "key", "h", "hi", "lo", "pid", "keep", "group_id", "level", "words", "span", "window_id", "slot", "shard", "distance", "node", "root", "d", "t", "at", "item_id", "url_key", "title", "a", "b"]
+CLASHES = ["th", "key", "h", "hi", "lo", "pid", "keep", "group_id", "level", "words", "span", "window_id", "slot", "shard", "distance", "node", "root", "d", "t", "at", "item_id", "url_key", "title", "a", "b", "x.y"]
 
 
 def folded(text):
