@@ -6,6 +6,7 @@ A node is a document's path or a link's target as written. Edges are
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from . import components as C
@@ -51,29 +52,31 @@ def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("source_path").alias("path")).agg(F.count(F.lit(1)).alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, more: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, more: DataFrame | None = None, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(path, score), best first, after exactly ``rounds`` rounds from equal
     scores. Parallel edges count as often as they are there; the score of nodes
     without edges out is spread over all nodes.
 
-    Weights are joined to the edges once. A round joins scores to edges by source
-    and sums by target; partial sums keep a target of many edges from being one
-    task's. Lineage is cut every few rounds at a table in the shared folder."""
+    Weighted edges are partitioned by source once and kept on disk, so a round
+    shuffles scores and partial sums by target, but not the edges. Every round's
+    scores are a table in the shared folder, from which the next begins."""
     every = written(nodes(edges, more), "nodes")
     n = every.count()
     if not n:
         return every.select("path", F.lit(0.0).alias("score"))
     pair = edges.where("target_path is not null").groupBy("source_path", "target_path").agg(F.count(F.lit(1)).alias("m"))
     total = pair.groupBy("source_path").agg(F.sum("m").alias("out"))
-    flow = written(pair.join(total, "source_path").select(F.col("source_path").alias("src"), F.col("target_path").alias("dst"), (F.col("m") / F.col("out")).alias("share")).repartition("src"), "flow")
-    base = written(every.join(total.select(F.col("source_path").alias("path"), F.lit(False).alias("dangling")), "path", "left").select("path", F.coalesce("dangling", F.lit(True)).alias("dangling")), "ranked")
+    flow = written(pair.join(total, "source_path").select(F.col("source_path").alias("src"), F.col("target_path").alias("dst"), (F.col("m") / F.col("out")).alias("share")), "flow")
+    base = written(every.join(flow.select(F.col("src").alias("path")).distinct().withColumn("has", F.lit(True)), "path", "left").select("path", F.col("has").isNull().alias("dangling")), "ranked")
+    flow = flow.repartition("src").persist(StorageLevel.DISK_ONLY)
     now = base.withColumn("score", F.lit(1.0 / n))
-    for i in range(rounds):
-        into = flow.join(now.select(F.col("path").alias("src"), "score"), "src").groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("share") * F.col("score")).alias("in"))
-        loose = now.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("loose"))  # one row
-        now = base.join(into, "path", "left").crossJoin(F.broadcast(loose)).select("path", "dangling", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / n)).alias("score"))
-        if (i + 1) % cut_every == 0 and i + 1 < rounds:
-            now = written(now, "scores")
+    try:
+        for _ in range(rounds):
+            into = flow.join(now.select(F.col("path").alias("src"), "score"), "src").groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("share") * F.col("score")).alias("in"))
+            loose = now.where("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))  # one row
+            now = written(base.join(into, "path", "left").crossJoin(F.broadcast(loose)).select("path", "dangling", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / n)).alias("score")), "scores")
+    finally:
+        flow.unpersist()
     return now.select("path", "score").orderBy(F.desc(F.round("score", 12)), "path")
 
 
