@@ -153,9 +153,15 @@ def block_descendants(spark, sf_dir):
     return B.descendants(_parts(spark, sf_dir)["blocks"], 4).groupBy("distance").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query(f"SELECT path, CASE ordinal WHEN 0 THEN '# ' || text_content WHEN 1 THEN regexp_replace(regexp_replace(text_content, '^A (.*) of', 'A **\\1** of'), 'size (.*)\\.$', 'size *\\1*.') ELSE '## ' || text_content END AS raw_markdown FROM ({_BLOCKS} SELECT * FROM b WHERE ordinal < 3)")
+_FENCE = "chr(96) || chr(96) || chr(96)"
+
+
+@query(f"""WITH p AS (SELECT *, 'part/' || p_partkey || '.md' AS path, 'by [' || p_type || '](brand/' || replace(p_brand, '#', '-') || ')' AS by_link FROM part)
+SELECT path, 0 AS ordinal, '# Part ' || p_name AS raw_markdown FROM p UNION ALL SELECT path, 1, 'A **' || p_name || '** of size *' || p_size || '*.' FROM p UNION ALL SELECT path, 2, '## Query' FROM p
+UNION ALL SELECT path, 3, {_FENCE} || 'sql' || chr(10) || 'SELECT ' || p_partkey || ';' || chr(10) || {_FENCE} FROM p UNION ALL SELECT path, 4, '- type ' || p_type || chr(10) || '- ' || by_link FROM p
+UNION ALL SELECT path, 5, '- type ' || p_type FROM p UNION ALL SELECT path, 6, 'type ' || p_type FROM p UNION ALL SELECT path, 7, '- ' || by_link FROM p UNION ALL SELECT path, 8, by_link FROM p""")
 def raw_markdown(spark, sf_dir):
-    return _with_path(_parts(spark, sf_dir), "blocks").where("ordinal < 3").select("path", "raw_markdown")
+    return _with_path(_parts(spark, sf_dir), "blocks").select("path", "ordinal", "raw_markdown")
 
 
 # Tags, titles and links
@@ -298,6 +304,21 @@ def fts_phrase(spark, sf_dir):
     return _found(spark, sf_dir, '"of the"')
 
 
+@query(_ENTRIES + ", hit AS (SELECT doc_id, block_id FROM entries WHERE doc_id = '7'), c AS (SELECT count(*) AS df FROM hit) SELECT doc_id, block_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS score FROM hit, c, stats")
+def fts_raw_field(spark, sf_dir):
+    return _found(spark, sf_dir, "path:7")
+
+
+@query(_ENTRIES + "SELECT DISTINCT doc_id, block_id, 1.0::DOUBLE AS score FROM posts WHERE term >= 'the' AND term <= 'thez'")
+def fts_range(spark, sf_dir):
+    return _found(spark, sf_dir, "content:[the TO thez]")
+
+
+@query(_ENTRIES + "SELECT count(*) AS entries FROM entries WHERE doc_id <> '7'")
+def fts_delete(spark, sf_dir):
+    return fts.delete_document(_line_entries(spark, sf_dir), "7").agg(F.count(F.lit(1)).alias("entries"))
+
+
 @query()
 def snippet(spark, sf_dir):
     return fts.Index(_line_entries(spark, sf_dir)).search("the and nicht", 10).select("doc_id", "block_id", "snippet", "score")
@@ -345,6 +366,16 @@ def semantic_search(spark, sf_dir):
     return scored.orderBy(F.desc(F.round("score", 5)), "conv_id", "turn").limit(10).select("conv_id", "turn", F.round("score", 4).alias("score"))
 
 
+@query("SELECT count(*) AS vectors, sum(CAST(conv_id = 3 AS BIGINT)) AS replaced FROM conversations WHERE conv_id <> 5")
+def vector_upsert_delete(spark, sf_dir):
+    """Vectors of one conversation replaced by others, those of another
+    deleted."""
+    rows = _vectors(spark, sf_dir).select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("string").alias("block_id"), "vector")
+    new = rows.where("doc_id = '3'").withColumn("vector", F.transform("vector", lambda x: x * F.lit(0).cast("float")))
+    left = knn.delete_document(knn.upsert(rows, new, 256), "5")
+    return left.agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.forall("vector", lambda x: x == 0).cast("long")).alias("replaced"))
+
+
 @query("SELECT conv_id, turn, substr(text, 1, 200) AS text_preview FROM conversations")
 def text_preview(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", knn.preview(F.col("text")).alias("text_preview"))
@@ -379,6 +410,20 @@ def backlinks(spark, sf_dir):
     return graph.get_backlinks(_page_edges(spark, sf_dir), "/the").select("source_path", "target_path")
 
 
+@query(_EDGES + ", one AS (SELECT min(url) AS u FROM pages) SELECT t AS target_path, count(*) AS links FROM edges, one WHERE s = u GROUP BY t")
+def graph_links(spark, sf_dir):
+    edges = _page_edges(spark, sf_dir)
+    first = _read(spark, sf_dir, "pages").agg(F.min("url")).first()[0]
+    return graph.get_links(edges, first).groupBy("target_path").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query(_EDGES + ", one AS (SELECT min(url) AS u FROM pages) SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges, one WHERE s <> u) AS edge_count")
+def graph_remove_document(spark, sf_dir):
+    edges = _page_edges(spark, sf_dir)
+    first = _read(spark, sf_dir, "pages").agg(F.min("url")).first()[0]
+    return graph.stats(graph.remove_document(edges, first), graph.nodes(edges))
+
+
 def _rank_sql() -> str:
     out = _EDGES + ", flow AS MATERIALIZED (SELECT e.s, e.t, count(*) / any_value(d) AS share FROM edges e JOIN deg USING (s) GROUP BY e.s, e.t), n AS MATERIALIZED (SELECT count(*) AS n FROM nodes), r0 AS MATERIALIZED (SELECT p, 1.0::DOUBLE / n AS x FROM nodes, n)"
     for i in range(1, 21):
