@@ -1,19 +1,19 @@
 """Toxicity from the nearest labelled examples.
 
-Documents and labelled examples are TF-IDF vectors over a vocabulary that is
-fitted on the examples: the words whose presence depends on the label (chi-square
-above ``min_chi2``). All other words count as one word more, ``other``, of which
-a vector holds the number: a word of the vocabulary weighs less in a long text.
-How much ``other`` weighs is chosen on the examples. Document frequencies are counted over all documents. For
-every document the ``k`` examples of greatest cosine are found exactly, with an
-inverted index cut into blocks of examples: each (word, block) keeps its greatest
-weight, their sum bounds every cosine in the block, and blocks are visited by
-falling bound until no block can better the k-th neighbour. Votes weighted by
-distance give a score, which isotonic regression on the examples themselves
-(each left out of its own neighbours) turns into a probability.
+Documents and labelled examples are TF-IDF vectors over all words of the
+examples. A word whose presence doesn't depend on the label (chi-square below
+``strong_chi2``) weighs less by a factor, ``weak``. The words that no example
+holds count as one word more, ``other``, of which a vector holds the number.
+Both factors are chosen on the examples. Document frequencies are counted over
+all documents. For every document with a word of any example the ``k`` examples
+of greatest cosine are found exactly: words of many examples are columns of a
+matrix, the others have postings, and every example gets its cosine. Votes
+weighted by distance give a score, which isotonic regression on the examples
+themselves (each left out of its own neighbours) turns into a probability.
 
 Only the labelled sample is bounded: at most ``max_examples`` rows of each
-class, those of least hash. Everything else covers all rows and whole texts.
+class, those of least hash. Everything else covers all rows, words and whole
+texts.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from . import textkernel as K
 from .common import prepare, require, through
 
-PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "min_chi2": 24.0, "min_count": 3, "max_terms": 4000, "block": 64, "threshold": 0.5, "other": (0.0, 0.25, 0.5, 1.0)}
+PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "min_chi2": 0.0, "strong_chi2": 10.0, "min_count": 3, "threshold": 0.5, "other": (0.0, 0.25, 0.5, 1.0), "weak": (0.05, 0.2, 1.0)}
+#: Documents, and postings, whose cosines are computed at once.
+BATCH_DOCS, BATCH_POSTINGS = 64, 2_000_000
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -103,7 +105,8 @@ def rounded(n: np.ndarray | float) -> np.ndarray | float:
 
 class Model:
     """The fitted examples, small enough to go to every task: bounded by
-    ``max_examples`` and ``max_terms``, not by the data."""
+    ``max_examples``, not by the data. ``min_chi2`` above 0 would leave words
+    out of the vocabulary; by default it holds every word of the examples."""
 
     def __init__(self, ids: np.ndarray, y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], prior: float, p: dict[str, Any]):
         self.p, self.prior = p, prior
@@ -115,120 +118,173 @@ class Model:
         b = np.bincount(inv[label == 0], minlength=u.size).astype(float)
         chi = _chi2(a, b, n1, n0)
         chi[a + b < p["min_count"]] = 0
-        best = np.lexsort((u, -chi))[: p["max_terms"]]
-        self.vocab = np.sort(u[best[chi[best] >= p["min_chi2"]]])
+        held = chi >= p["min_chi2"]
+        self.vocab, self.strong, self.once = u[held], chi[held] >= p["strong_chi2"], (a + b)[held] == 1
         self.ids, self.y, self.rows = ids, y, rows
-        self._memo: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
     def weigh(self, df: np.ndarray, total: int) -> Model:
-        """Fits with each weight of ``other`` and keeps the one whose scores
-        of the examples, each left out of its own neighbours, have the least
-        log loss."""
-        self.idf = np.append(np.log((1.0 + total) / (1.0 + df)) + 1.0, 1.0)
-        size = self.vocab.size
-        dense = np.zeros((len(self.rows), size + 1), np.float64)
-        for i, (h, n) in enumerate(self.rows):
-            j = np.searchsorted(self.vocab, h)
-            ok = np.flatnonzero((j < size) & (self.vocab[np.minimum(j, max(size - 1, 0))] == h)) if size else np.zeros(0, np.int64)
-            dense[i, j[ok]] = (1 + np.log(n[ok])) * self.idf[j[ok]]
-            dense[i, size] = 1 + np.log(rounded(n.sum() - n[ok].sum()))
-        every, best = (self.ids, self.y, dense), None
+        """Fits with each factor and keeps those whose scores of the examples,
+        each left out of its own neighbours, have the least log loss."""
+        size, n = self.vocab.size, len(self.rows)
+        self.idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
+        row = np.repeat(np.arange(n), [len(h) for h, _ in self.rows]) if n else np.zeros(0, np.int64)
+        hash = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in self.rows)])
+        count = np.concatenate([np.zeros(0), *(c for _, c in self.rows)])
         self.rows = []
-        for other in self.p["other"]:
-            self._index(*every, other)
-            loss = self._calibrate()
-            if best is None or loss < best[0] - 1e-9:
-                best = loss, other
-        if best and best[1] != self.other:
-            self._index(*every, best[1])
-            self._calibrate()
-        self.dense = None
+        words = np.bincount(row, count, minlength=n)
+        term = np.minimum(np.searchsorted(self.vocab, hash), max(size - 1, 0))
+        ok = np.flatnonzero(self.vocab[term] == hash) if size else np.zeros(0, np.int64)
+        row, term, count = row[ok], term[ok], count[ok]
+        self.share = max(int(self.y.sum()), 1) / max(len(self.y), 1)
+        self.ones, self.zeros = max(int(self.y.sum()), 1), max(int((self.y == 0).sum()), 1)
+        self.known = np.bincount(row, minlength=n) > 0  # examples that hold a word of the vocabulary
+        self.bare_ones, self.bare_zeros = int(self.y[~self.known].sum()), int((self.y[~self.known] == 0).sum())
+        self.full = words > 0
+        value = (1 + np.log(count)) * self.idf[term]
+        rest = words - np.bincount(row, count, minlength=n)
+        # As a document outside of the sample, an example would have its words that no other example holds in ``other``.
+        own = self.once[term]
+        alone = rest + np.bincount(row[own], count[own], minlength=n)
+        self._index(row, term, value, 1 + np.log(rounded(rest)))
+        self._choose(row, term, value, own, 1 + np.log(rounded(alone)))
         return self
 
-    def _index(self, ids: np.ndarray, y: np.ndarray, dense: np.ndarray, other: float) -> None:
-        self.other, size = other, self.vocab.size
-        dense = dense.copy()
-        dense[:, size] *= other
-        norm = np.sqrt((dense * dense).sum(axis=1))
-        dense /= np.where(norm > 0, norm, 1)[:, None]
-        # Examples without any chosen word are all alike. As ties go by doc_id, the first k + 1 stand for all of them.
-        has = dense[:, :size].any(axis=1)
-        bare = np.flatnonzero(~has & (dense[:, size] > 0))
-        bare = bare[np.argsort(ids[bare], kind="stable")][: self.p["k"] + 1]
-        # Examples that hold the same words lie together, so that blocks have tight bounds.
-        lead = dense[:, :size].argmax(axis=1) if size else np.zeros(len(ids), int)
-        keep = np.flatnonzero(has)
-        keep = np.concatenate([keep[np.lexsort((ids[keep], -dense[keep, lead[keep]], y[keep], lead[keep]))], bare])
-        self.share = max(int(y.sum()), 1) / max(len(y), 1)
-        self.ones, self.zeros = max(int(y.sum()), 1), max(int((y == 0).sum()), 1)
-        self.bare_ones, self.bare_zeros = int(y[~has].sum()), int((y[~has] == 0).sum())
-        self.ids, self.y, self.dense, self.known = ids[keep], y[keep], dense[keep], int(has.sum())
-        step = self.p["block"]
-        self.blocks = [np.ascontiguousarray(self.dense[i : i + step].T) for i in range(0, len(keep), step)]
-        self.most = np.stack([x.max(axis=1) for x in self.blocks], axis=1) if self.blocks else np.zeros((size + 1, 0))
-        self._memo.clear()
-
-    def query(self, term: np.ndarray, count: np.ndarray, rest: int) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of a document of unit length; ``rest`` counts its
-        words outside of the vocabulary."""
-        q = (1 + np.log(count)) * self.idf[term]
+    def _index(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, length: np.ndarray) -> None:
+        """Words by example: a matrix of those of many examples, postings of
+        the others; ``length`` is the weight of ``other``."""
+        size, n = self.vocab.size, len(self.ids)
+        self.squares = np.stack([np.bincount(row[x], value[x] ** 2, minlength=n) for x in (self.strong[term], ~self.strong[term])])
+        self.length = length
+        order = np.lexsort((row, term))
+        at = np.bincount(term, minlength=size)
+        many = at > max(n / 8, 16)
+        self.column = np.where(many, np.cumsum(many) - 1, -1)
+        self.matrix = np.zeros((int(many.sum()), n))
+        dense = many[term]
+        self.matrix[self.column[term[dense]], row[dense]] = value[dense]
+        order = order[~dense[order]]
+        self.start = np.append(0, np.cumsum(np.where(many, 0, at)))
+        self.post, self.value = row[order].astype(np.int32), value[order]
+        # the words of each example, for evidence
+        order = np.lexsort((term, row))
+        self.held, self.held_start = term[order].astype(np.int32), np.append(0, np.cumsum(np.bincount(row, minlength=n)))
+
+    def _dots(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, docs: int) -> np.ndarray:
+        """Inner products of documents (0..docs-1) with all examples, without
+        ``other``."""
+        n = len(self.ids)
+        col = self.column[term]
+        d = col >= 0
+        a = np.zeros((docs, self.matrix.shape[0]))
+        a[doc[d], col[d]] = q[d]
+        out = a @ self.matrix
+        doc, term, q = doc[~d], term[~d], q[~d]
+        size = self.start[term + 1] - self.start[term]
+        at = np.repeat(self.start[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out += np.bincount(np.repeat(doc * n, size) + self.post[at], np.repeat(q, size) * self.value[at], minlength=docs * n).reshape(docs, n)
+        return out
+
+    def _top(self, cos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cosine) of the ``most`` greatest of each line, ties by the
+        examples' doc_id; -1 where there are fewer."""
+        n = cos.shape[1]
+        rows, best = np.full((cos.shape[0], most), -1), np.zeros((cos.shape[0], most))
+        least = np.partition(cos, n - most, axis=1)[:, n - most] if n > most else np.zeros(cos.shape[0])
+        line, x = np.nonzero(cos >= np.maximum(least - 2e-9, 1e-9)[:, None])
+        c = np.round(cos[line, x], 9)
+        order = np.lexsort((self.ids[x], -c, line))
+        line, x, c = line[order], x[order], c[order]
+        place = np.arange(line.size) - np.searchsorted(line, line)
+        ok = place < most
+        rows[line[ok], place[ok]], best[line[ok], place[ok]] = x[ok], c[ok]
+        return rows, best
+
+    def _batches(self, doc: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of words, of whole documents, that are scored at once."""
+        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if doc.size else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], doc.size)
+        cost = np.append(0, np.cumsum(self.start[term + 1] - self.start[term]))
+        i = 0
+        while i < cut.size:
+            j = min(i + BATCH_DOCS, int(np.searchsorted(cost[ends], cost[cut[i]] + BATCH_POSTINGS, "right")))
+            j = max(j, i + 1)
+            yield int(cut[i]), int(ends[j - 1])
+            i = j
+
+    def neighbours(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, rest: np.ndarray, ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cosine) of the k nearest examples of each document (0..),
+        greatest first, those of the same doc_id left out; -1 where there are
+        fewer. ``rest`` counts a document's words outside of the vocabulary."""
+        docs = len(ids)
+        own = np.array([self.places.get(x, -1) for x in ids], np.int64)
+        at = np.flatnonzero(self.once[term] & (own[doc] >= 0))
+        at = at[self.post[self.start[term[at]]] == own[doc[at]]]  # words that no example but the document itself holds
+        rest = rest + np.bincount(doc[at], count[at], minlength=docs)
+        doc, term, count = (np.delete(x, at) for x in (doc, term, count))
+        q = (1 + np.log(count)) * self.idf[term] * np.where(self.strong[term], 1.0, self.weak)
+        length = self.other * (1 + np.log(rounded(rest)))
+        norm = np.sqrt(np.bincount(doc, q * q, minlength=docs) + length**2)
+        q = q * np.where(self.strong[term], 1.0, self.weak)  # the examples' values don't have the factor
+        cos = self._dots(doc, term, q, docs)
         if self.other:
-            term, q = np.append(term, self.vocab.size), np.append(q, self.other * (1 + np.log(rounded(rest))))
-        return term, q / np.sqrt((q * q).sum())
-
-    def neighbours(self, term: np.ndarray, count: np.ndarray, rest: int, doc_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples other than ``doc_id``,
-        greatest first; ties by the examples' doc_id."""
-        key = (term.tobytes(), count.tobytes(), float(rounded(rest)))
-        found = self._memo.get(key)
-        if found is None:
-            if len(self._memo) >= 20_000:
-                self._memo.clear()
-            found = self._memo[key] = self._nearest(*self.query(term, count, rest))
-        return self._others(*found, doc_id)
-
-    def _others(self, rows: np.ndarray, cos: np.ndarray, doc_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        if doc_id is not None:
-            other = self.ids[rows] != doc_id
-            rows, cos = rows[other], cos[other]
-        return rows[: self.p["k"]], cos[: self.p["k"]]
-
-    def _nearest(self, term: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bound = q @ self.most[term]
-        most = self.p["k"] + 1  # one more, as the document itself may be an example
-        rows, cos, worst = np.zeros(0, np.int64), np.zeros(0), 1e-9
-        for at in np.argsort(-bound, kind="stable"):
-            if bound[at] < worst - 1e-9:
-                break
-            c = np.round(q @ self.blocks[at][term], 9)
-            hit = np.flatnonzero(c >= worst)
-            if hit.size:
-                rows, cos = np.concatenate([rows, hit + at * self.p["block"]]), np.concatenate([cos, c[hit]])
-                top = np.lexsort((self.ids[rows], -cos))[:most]
-                rows, cos = rows[top], cos[top]
-                if cos.size == most:
-                    worst = float(cos[-1])
-        return rows, cos
-
-    def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
-        """Share of toxic votes; a neighbour counts by the inverse of its
-        distance, and by how much the sample thins out its class. One vote of
-        the prior keeps few far neighbours from deciding."""
-        w = 1.0 / (1.05 - np.minimum(cos, 1.0))
-        w = w * np.where(self.y[rows] == 1, self.prior / self.share, (1 - self.prior) / max(1 - self.share, 1e-9))
+            cos += np.outer(length, self.other * self.length)
+        cos *= self.scale
+        cos /= np.where(norm > 0, norm, 1)[:, None]
+        me = np.flatnonzero(own >= 0)
+        cos[me, own[me]] = 0
+        return self._top(cos, self.p["k"])
+
+    def vote(self, rows: np.ndarray, cos: np.ndarray) -> np.ndarray:
+        """Share of toxic votes of each line; a neighbour counts by the inverse
+        of its distance, and by how much the sample thins out its class. One
+        vote of the prior keeps few far neighbours from deciding."""
+        y = self.y[rows] if len(self.y) else np.zeros_like(rows)
+        w = np.where(rows >= 0, 1.0 / (1.05 - np.minimum(cos, 1.0)), 0.0)
+        w = w * np.where(y == 1, self.prior / self.share, (1 - self.prior) / max(1 - self.share, 1e-9))
         pseudo = 1.0
-        return float((w @ self.y[rows] + self.prior * pseudo) / (w.sum() + pseudo))
+        return ((w * y).sum(axis=1) + self.prior * pseudo) / (w.sum(axis=1) + pseudo)
+
+    def _factors(self, weak: float, other: float) -> None:
+        self.weak, self.other = weak, other
+        norm = np.sqrt(self.squares[0] + weak**2 * self.squares[1] + (other * self.length) ** 2)
+        self.scale = np.where((norm > 0) & self.full, 1 / np.where(norm > 0, norm, 1), 0)
+
+    def _choose(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, own: np.ndarray, length: np.ndarray) -> None:
+        n, grid = len(self.ids), [(w, o) for w in self.p["weak"] for o in self.p["other"]]
+        self.places = {int(x): i for i, x in enumerate(self.ids)}
+        votes = np.zeros((len(grid), n))
+        scales = []
+        for weak, other in grid:
+            self._factors(weak, other)
+            scales.append(self.scale)
+        strong = self.strong[term]
+        square = np.stack([np.bincount(row[x], value[x] ** 2, minlength=n) for x in (strong, ~strong & ~own)])
+        for lo, hi in self._batches(row, term):
+            first, docs = row[lo], int(row[hi - 1] - row[lo] + 1)
+            part = [self._dots(row[lo:hi][x] - first, term[lo:hi][x], value[lo:hi][x], docs) for x in (strong[lo:hi], ~strong[lo:hi])]
+            me = np.arange(first, first + docs)
+            for g, (weak, other) in enumerate(grid):
+                cos = part[0] + weak**2 * part[1] + np.outer(other**2 * length[me], self.length)
+                norm = np.sqrt(square[0][me] + weak**2 * square[1][me] + (other * length[me]) ** 2)
+                cos *= scales[g]
+                cos /= np.where(norm > 0, norm, 1)[:, None]
+                cos[me - first, me] = 0
+                votes[g, me] = self.vote(*self._top(cos, self.p["k"]))
+        best = None
+        for g, (weak, other) in enumerate(grid):
+            loss = self._calibrate(votes[g])
+            if best is None or loss < best[0] - 1e-9:
+                best = loss, g
+        self.loss = best[0]
+        self._factors(*grid[best[1]])
+        self._calibrate(votes[best[1]])
 
-    def _calibrate(self) -> float:
+    def _calibrate(self, votes: np.ndarray) -> float:
         """Isotonic regression of labels on votes; the examples' log loss."""
         w1, w0 = self.prior / self.ones, (1 - self.prior) / self.zeros
         z1, z0 = self.bare_ones * w1, self.bare_zeros * w0
         self.none = float(z1 / (z1 + z0)) if z1 + z0 > 0 else self.prior
-        y = self.y[: self.known].astype(float)
-        votes = np.zeros(self.known)
-        for i in range(self.known):
-            term = np.flatnonzero(self.dense[i])
-            votes[i] = self.vote(*self._others(*self._nearest(term, self.dense[i, term]), int(self.ids[i])))
+        y, votes = self.y[self.known].astype(float), votes[self.known]
         pools: list[list[float]] = []  # [weight, weight of toxic, lowest vote]
         level, at = np.unique(np.round(votes, 9), return_inverse=True)  # examples with equal votes are one point
         weight, toxic = (np.bincount(at, np.where(y > 0, w1, z), minlength=level.size) for z in (w0, 0.0))
@@ -240,13 +296,20 @@ class Model:
                 pools[-1][1] += last[1]
         self.steps = np.array([x[2] for x in pools])
         self.level = np.array([x[1] / x[0] for x in pools])
-        score = np.clip([self.probability(v) for v in votes], 1e-3, 1 - 1e-3)
+        score = np.clip(self.probability(votes), 1e-3, 1 - 1e-3)
         return float(-(np.where(y > 0, w1 * np.log(score), w0 * np.log(1 - score))).sum())
 
-    def probability(self, vote: float) -> float:
+    def probability(self, votes: np.ndarray) -> np.ndarray:
         if not self.steps.size:
-            return self.prior
-        return float(self.level[max(int(np.searchsorted(self.steps, round(vote, 9), "right")) - 1, 0)])
+            return np.full(votes.shape, self.prior)
+        return self.level[np.maximum(np.searchsorted(self.steps, np.round(votes, 9), "right") - 1, 0)]
+
+    def shared(self, term: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which of the terms any of these examples holds."""
+        mark = np.zeros(self.vocab.size, bool)
+        for r in rows:
+            mark[self.held[self.held_start[r] : self.held_start[r + 1]]] = True
+        return mark[term]
 
 
 def fit(docs: DataFrame, labels: DataFrame, **params: Any) -> Model:
@@ -275,33 +338,39 @@ def fit(docs: DataFrame, labels: DataFrame, **params: Any) -> Model:
                 df += np.bincount(term_counts(s, vocab)[1], minlength=vocab.size)
         yield pa.record_batch([pa.array(np.append(np.flatnonzero(df), -1)), pa.array(np.append(df[df > 0], n))], names=["term", "n"])
 
-    df, total = np.zeros(vocab.size, np.int64), 0
-    for term, n in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        if term < 0:
-            total = n
-        else:
-            df[term] = n
-    return model.weigh(df, total)
+    df = np.zeros(vocab.size + 1, np.int64)  # the last one is the number of documents
+    found = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    return model.weigh(df[:-1], int(df[-1]))
 
 
-def _scored(batch: pa.RecordBatch, model: Model) -> Iterator[tuple]:
+def _scored(batch: pa.RecordBatch, model: Model, evidence: bool) -> Iterator[tuple]:
     """(row, probability, neighbours, cosines, words) of rows that hold any
-    word of the vocabulary."""
+    word of the examples."""
     ids = batch.column("doc_id")
     for s in K.slices(batch.column("text")):
         d, t, n, b, e, total = term_counts(s, model.vocab)
-        cut = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if d.size else np.zeros(0, np.int64)
-        for lo, hi in zip(cut, np.append(cut[1:], d.size)):
-            row = s.first + int(d[lo])
-            r, c = model.neighbours(t[lo:hi], n[lo:hi], int(total[d[lo]] - n[lo:hi].sum()), ids[row].as_py())
-            if r.size:
-                yield row, model.probability(model.vote(r, c)), r, c, [s.buf[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(b[lo:hi], e[lo:hi])]
+        rest = total - np.bincount(d, n, minlength=total.size)
+        for lo, hi in model._batches(d, t):
+            here, doc = np.unique(d[lo:hi], return_inverse=True)
+            at = (s.first + here).tolist()
+            rows, cos = model.neighbours(doc, t[lo:hi], n[lo:hi], rest[here], [ids[x].as_py() for x in at])
+            prob = model.probability(model.vote(rows, cos))
+            if not evidence:
+                yield from ((x, p) for x, p, r in zip(at, prob, rows) if r[0] >= 0)
+                continue
+            cut = lo + np.searchsorted(doc, np.arange(here.size + 1))
+            for i, x in enumerate(at):
+                r = rows[i][rows[i] >= 0]
+                if r.size:
+                    w = cut[i] + np.flatnonzero(model.shared(t[cut[i] : cut[i + 1]], r))
+                    yield x, prob[i], r, cos[i, : r.size], [s.buf[f:g].tobytes().decode("utf-8", "replace") for f, g in zip(b[w].tolist(), e[w].tolist())]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: probability, verdict, the neighbours that voted
     and the words that they share. A document without any word of the
-    vocabulary (also a null or empty text) has the rate of such examples as its
+    examples (also a null or empty text) has the rate of such examples as its
     score and no evidence. Repeated rows are scored each; a null ``doc_id``
     stays null. Other columns are ignored."""
     prepare(docs.sparkSession)
@@ -315,7 +384,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             prob = np.full(n, m.none)
             evidence: list[list] = [[] for _ in range(n)]
             terms: list[list] = [[] for _ in range(n)]
-            for row, p, r, c, w in _scored(batch, m):
+            for row, p, r, c, w in _scored(batch, m, True):
                 prob[row] = p
                 evidence[row] = [{"doc_id": int(m.ids[i]), "toxic": int(m.y[i]), "cosine": round(float(x), 6)} for i, x in zip(r, c)]
                 terms[row] = w
@@ -333,7 +402,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in it:
             keep = np.full(batch.num_rows, m.none < m.p["threshold"])
-            for row, p, *_ in _scored(batch, m):
+            for row, p in _scored(batch, m, False):
                 keep[row] = p < m.p["threshold"]
             yield batch.filter(pa.array(keep))
 

@@ -127,3 +127,46 @@ def test_awkward_rows(spark):
     assert X.keep_clean(df, nothing).count() == len(rows) and not any(r.toxic for r in X.score(df, nothing).collect())
     empty = df.where("false")
     assert X.score(empty, X.fit(empty, labels)).count() == 0 and X.keep_clean(empty, model).count() == 0
+
+
+def test_every_word_of_the_examples_is_searched(spark):
+    """Neighbours of every document with a word of an example, by all cosines
+    over all words; a copy of a toxic example without any telling word is
+    found."""
+    rng = random.Random(4)
+    docs, truth = make(rng, 300)
+    docs = [(i, f"{t} only{i} only{i}" if i < 150 else t, *rest) for i, t, *rest in docs]
+    rare = " ".join(f"rare{j}" for j in range(40))
+    docs += [(900, rare, "en", "web", 1), (901, rare.upper(), "en", "web", 1), (902, "none of these occurs", "en", "web", 1), (903, "", "en", "web", 0)]
+    labels = {i: truth[i] for i in range(200)} | {900: 1}
+    df = frame(spark, docs)
+    model = X.fit(df, spark.createDataFrame([(i, 1, y) for i, y in labels.items()], LABELS))
+    out = {r.doc_id: r for r in X.score(df, model).collect()}
+    texts = {d[0]: folded(d[1]) for d in docs}
+    words = sorted({w for e in labels for w in texts[e]})
+    assert model.vocab.size == len(words)
+    idf = {w: np.log((1 + len(docs)) / (1 + sum(w in set(t) for t in texts.values()))) + 1 for w in words}
+    a, b = (np.array([sum(w in set(texts[e]) for e in labels if labels[e] == y) for w in words]) for y in (1, 0))
+    chi = X._chi2(a.astype(float), b.astype(float), sum(labels.values()), len(labels) - sum(labels.values()))
+    factor = {w: 1.0 if c >= model.p["strong_chi2"] and n >= model.p["min_count"] else model.weak for w, c, n in zip(words, chi, a + b)}
+
+    def vector(d):
+        known = [w for w in texts[d] if w in factor and not (d in labels and all(w not in texts[e] for e in labels if e != d))]
+        v = {w: (1 + np.log(known.count(w))) * idf[w] * factor[w] for w in set(known)}
+        return v | {None: model.other * (1 + np.log(X.rounded(len(texts[d]) - len(known))))}
+
+    def example(e):
+        return {w: (1 + np.log(texts[e].count(w))) * idf[w] * factor[w] for w in set(texts[e])} | {None: model.other}
+
+    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+    examples = {e: example(e) for e in labels}
+    sizes = {e: norm(v) for e, v in examples.items()}
+    for d in texts:
+        if d in (902, 903):
+            assert not out[d].evidence and not out[d].toxic
+            continue
+        q = vector(d)
+        cos = sorted((sum(x * v.get(w, 0) for w, x in q.items()) / max(norm(q), 1e-9) / sizes[e] for e, v in examples.items() if e != d), reverse=True)
+        cos = [c for c in cos[: X.PARAMS["k"]] if c > 1e-9]
+        assert len(cos) == len(out[d].evidence) and np.allclose([e.cosine for e in out[d].evidence], cos, atol=2e-6), d
+    assert out[901].evidence[0].doc_id == 900 and out[901].evidence[0].cosine > 0.99 and set(out[901].terms) == set(rare.upper().split())
