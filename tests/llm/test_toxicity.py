@@ -170,3 +170,11 @@ def test_every_word_of_the_examples_is_searched(spark):
         cos = [c for c in cos[: X.PARAMS["k"]] if c > 1e-9]
         assert len(cos) == len(out[d].evidence) and np.allclose([e.cosine for e in out[d].evidence], cos, atol=2e-6), d
     assert out[901].evidence[0].doc_id == 900 and out[901].evidence[0].cosine > 0.99 and set(out[901].terms) == set(rare.upper().split())
+
+
+def test_a_word_of_three_toxic_examples_is_in_the_default_vocabulary():
+    """Chi-square 21.9: above 20, below the 24 to which it had been raised."""
+    y = np.repeat([1, 0], [25, 180])
+    rows = [(np.array([7, 9] if i < 3 else [9], np.uint64), np.ones(2 if i < 3 else 1)) for i in range(y.size)]
+    assert 20 < X._chi2(np.array([3.0]), np.array([0.0]), 25, 180)[0] < 24
+    assert X.Model(np.arange(y.size), y, rows, 0.1, X.PARAMS).vocab.tolist() == [7, 9]
