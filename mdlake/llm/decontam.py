@@ -117,7 +117,7 @@ def _small(benchmark: DataFrame, p: dict[str, Any]) -> Items | None:
     words = benchmark.agg(F.sum(F.length("text") / 2)).first()[0] or 0  # no more words than half the characters
     if words > p["broadcast_limit"]:
         return None
-    rows = benchmark.orderBy("item_id", "text").toArrow().combine_chunks()
+    rows = benchmark.dropDuplicates(["item_id", "text"]).orderBy("item_id", "text").toArrow().combine_chunks()
     one = lambda c: rows.column(c).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(c).type)
     ids, text = one("item_id"), one("text")
     if isinstance(ids, pa.ChunkedArray):
@@ -132,7 +132,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, **params: Any) -> DataFrame:
 
     Null or empty texts on either side share nothing; an item of fewer than
     ``span`` words can't reach the length and is never matched. Items with equal
-    texts each match. Rows that repeat doc_id and text yield rows each."""
+    texts each match, but rows that repeat item_id and text are one item. Rows
+    that repeat doc_id and text yield rows each."""
     p = PARAMS | params
     prepare(docs.sparkSession)
     docs, benchmark = require(docs, "doc_id", "text"), require(benchmark, "item_id", "text")

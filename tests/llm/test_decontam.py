@@ -53,3 +53,13 @@ def test_awkward_rows(spark, limit):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in rows if rows[0][1] not in (r[1] or "") and r[0] != 9)
     assert decontam.keep_clean(docs, items.where("false"), broadcast_limit=limit).count() == len(rows)
     assert decontam.overlaps(docs.where("false"), items, broadcast_limit=limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+def test_repeated_items_are_one(spark, limit):
+    rng = random.Random(6)
+    one, two = prose(rng, 20), prose(rng, 20)
+    items = [(1, one), (1, two), (2, one), (None, two)]
+    docs = [(1, f"{one} x {two}"), (1, f"{one} x {two}"), (2, two), (None, one)]
+    found = got(decontam.overlaps(frame(spark, docs, "doc_id long, text string"), frame(spark, items + items[::-1] + items[:1], ITEMS), broadcast_limit=limit))
+    assert found == brute(docs, items, 12) and len(found) == 12
