@@ -285,24 +285,25 @@ class Model:
         z1, z0 = self.bare_ones * w1, self.bare_zeros * w0
         self.none = float(z1 / (z1 + z0)) if z1 + z0 > 0 else self.prior
         y, votes = self.y[self.known].astype(float), votes[self.known]
-        pools: list[list[float]] = []  # [weight, weight of toxic, lowest vote]
+        pools: list[list[float]] = []  # [weight, weight of toxic, lowest vote, highest vote]
         level, at = np.unique(np.round(votes, 9), return_inverse=True)  # examples with equal votes are one point
         weight, toxic = (np.bincount(at, np.where(y > 0, w1, z), minlength=level.size) for z in (w0, 0.0))
         for v, w, t in zip(level, weight, toxic):
-            pools.append([w, t, v])
+            pools.append([w, t, v, v])
             while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
                 last = pools.pop()
                 pools[-1][0] += last[0]
                 pools[-1][1] += last[1]
-        self.steps = np.array([x[2] for x in pools])
-        self.level = np.array([x[1] / x[0] for x in pools])
+                pools[-1][3] = last[3]
+        self.steps = np.array([v for x in pools for v in x[2:]])
+        self.level = np.array([x[1] / x[0] for x in pools for _ in (0, 1)])  # straight lines join the pools
         score = np.clip(self.probability(votes), 1e-3, 1 - 1e-3)
         return float(-(np.where(y > 0, w1 * np.log(score), w0 * np.log(1 - score))).sum())
 
     def probability(self, votes: np.ndarray) -> np.ndarray:
         if not self.steps.size:
             return np.full(votes.shape, self.prior)
-        return self.level[np.maximum(np.searchsorted(self.steps, np.round(votes, 9), "right") - 1, 0)]
+        return np.interp(np.round(votes, 9), self.steps, self.level)
 
     def shared(self, term: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Which of the terms any of these examples holds."""
