@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
+from .shared import remove, scratch, written
 
 
 def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> DataFrame:
@@ -19,7 +19,8 @@ def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> DataF
     a hub does no harm beyond its own rows.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = written(e, "graph")
+    with scratch() as old:
+        e = written(e, "graph")
     seen = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +28,10 @@ def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> DataF
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = written(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "graph")
+        with scratch() as new:
+            e = written(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "graph")
+        remove(edges.sparkSession, old)
+        old = new
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
