@@ -1,19 +1,21 @@
 """What the operators of this subpackage share: reading tables, the shared
-folder in which lineage is cut, and small helpers for Arrow batches."""
+folder in which lineage is cut, and columns of any name."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from typing import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import shared
+
 #: Rows of an Arrow batch. Texts are long, so the default of 10,000 rows would
 #: make batches of tens of megabytes.
 BATCH_ROWS = 1000
 
+shared_dir, scratch, remove = shared.folder, shared.scratch, shared.remove
+
 
 def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -24,52 +26,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the
-    session. Only where that is unset, as in tests on one machine, a temporary
-    folder takes its place."""
-    sc = spark.sparkContext
-    have = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not have:
-        have = "file://" + tempfile.mkdtemp(prefix="mdlake-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(have)
-    return have.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives the loss
-    of executors, and is computed once however often it is read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder, see ``shared.written``."""
+    return shared.written(df, name, compression="zstd")
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table made by ``written`` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def placed(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with its columns renamed by their places: ``columns``, found by
+    exact name (the first of equals), keep their names, and all others get names
+    that nothing else has. So the names of other columns don't matter, whether
+    they are reserved elsewhere, hold dots, or differ in case alone."""
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking:
+        raise ValueError(f"missing columns: {', '.join(lacking)}")
+    names = [f"__place_{i}" for i in range(len(df.columns))]
+    for c in columns:
+        names[df.columns.index(c)] = c
+    return df.toDF(*names)
 
 
-def plain_names(df: DataFrame) -> DataFrame:
-    """``df`` with other names for columns whose names hold dots or back quotes,
-    which ``mapInArrow`` can't take."""
-    return df.toDF(*(f"__column_{i}" if "." in c or "`" in c else c for i, c in enumerate(df.columns)))
+def require(df: DataFrame, *columns: str) -> DataFrame:
+    """Only these columns, see ``placed``."""
+    return placed(df, *columns).select(*columns)
 
 
-def through(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Rows of ``df``, with all their columns, that ``run`` lets through."""
-    inner = plain_names(df)
+def through(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *columns: str) -> DataFrame:
+    """Rows of ``df``, with all their columns, that ``run`` lets through; it
+    finds ``columns`` by name."""
+    inner = placed(df, *columns)
     return inner.mapInArrow(run, inner.schema).toDF(*df.columns)
-
-
-def require(df: DataFrame, *columns: str) -> DataFrame:
-    """Only these columns, found by exact name; other columns, whatever they
-    are called, don't matter."""
-    lacking = [c for c in columns if c not in df.columns]
-    if lacking:
-        raise ValueError(f"missing columns: {', '.join(lacking)}")
-    return df.select(*(f"`{c}`" for c in columns))

@@ -183,12 +183,13 @@ def _thin(pick: np.ndarray, g: np.ndarray, doc: np.ndarray, w: int) -> np.ndarra
     return pick[new | last | np.append(True, at[1:] != at[:-1])]
 
 
-def winnow(ws: Words, k: int, w: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
+def winnow(ws: Words, k: int, w: int, docs: int, thin: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Winnowed fingerprints of every document: (word index, hash).
 
     Each window of ``w`` consecutive k-grams keeps its least hash, the
     rightmost of equals, so two documents that share ``w + k - 1`` words share
-    a fingerprint at the same place of it. A document with at least k words
+    a fingerprint at the same place of it, unless ``thin`` takes out some of
+    those that follow each other closely where a text repeats itself. A document with at least k words
     but fewer than ``w + k - 1`` keeps its least k-gram.
     """
     g = kgrams(ws.hash, k)
@@ -198,7 +199,8 @@ def winnow(ws: Words, k: int, w: int, docs: int) -> tuple[np.ndarray, np.ndarray
     if pick.size:  # windows that cross from one document into the next don't count
         same = ws.doc[: pick.size] == ws.doc[w + k - 2 : w + k - 2 + pick.size]
         pick = pick[same]
-        pick = _thin(np.unique(pick), g, ws.doc, w)
+        pick = np.unique(pick)
+        pick = _thin(pick, g, ws.doc, w) if thin else pick
     size = np.diff(ws.bounds)
     short = np.flatnonzero((size >= k) & (size < w + k - 1))
     if short.size:

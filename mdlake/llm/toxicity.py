@@ -407,4 +407,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                 keep[row] = p < m.p["threshold"]
             yield batch.filter(pa.array(keep))
 
-    return through(docs, run)
+    return through(docs, run, "doc_id", "text")

@@ -6,7 +6,7 @@ import re
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside.
-CLASHES = ["th", "key", "h", "hi", "lo", "pid", "keep", "group_id", "level", "words", "span", "window_id", "slot", "shard", "distance", "node", "root", "d", "t", "at", "item_id", "url_key", "title", "a", "b", "x.y"]
+CLASHES = ["th", "key", "h", "hi", "lo", "pid", "keep", "group_id", "level", "words", "span", "window_id", "slot", "shard", "distance", "node", "root", "d", "t", "at", "item_id", "url_key", "title", "a", "b", "x.y", "__text_hash", "__spans", "__lose_id", "__bad", "bad", "Text", "DOC_ID", "Lang", "N_CHARS", "`q`", "__place_1"]
 
 
 def folded(text):
@@ -40,9 +40,9 @@ def frame(spark, rows, schema=SCHEMA, clash=False):
     if clash:
         from pyspark.sql import functions as F
 
-        for name in CLASHES:
-            if name not in df.columns:
-                df = df.withColumn(name, F.lit("clash"))
+        new = [name for name in CLASHES if name not in df.columns]
+        names = [*df.columns, *new]
+        df = df.select("*", *(F.lit("clash") for _ in new)).toDF(*names)
     return df
 
 

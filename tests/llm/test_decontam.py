@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -63,3 +64,29 @@ def test_repeated_items_are_one(spark, limit):
     docs = [(1, f"{one} x {two}"), (1, f"{one} x {two}"), (2, two), (None, one)]
     found = got(decontam.overlaps(frame(spark, docs, "doc_id long, text string"), frame(spark, items + items[::-1] + items[:1], ITEMS), broadcast_limit=limit))
     assert found == brute(docs, items, 12) and len(found) == 12
+
+
+@pytest.mark.parametrize("n", [60, 61])
+def test_texts_that_repeat_themselves(spark, n):
+    """Runs of a cycle, also broken ones, against brute force."""
+    rng = random.Random(n)
+    cycle = lambda k, m: " ".join(f"c{i % k}" for i in range(m))
+    items = [(1, cycle(4, n)), (2, cycle(1, 30)), (3, f"{cycle(4, 25)} x {cycle(4, 25)}"), (4, cycle(3, 20) + " " + cycle(4, 40))]
+    docs = [(1, cycle(4, n)), (2, f"{cycle(4, 30)} y {cycle(4, 41)}"), (3, cycle(1, 45)), (4, " ".join([cycle(3, 20), cycle(2, 20), cycle(4, 22)])), (5, " ".join(rng.choice(["a b c d", "a b", "c"]) for _ in range(40)))]
+    items.append((5, docs[4][1][20:150]))
+    found = got(decontam.overlaps(frame(spark, docs, "doc_id long, text string"), frame(spark, items, ITEMS)))
+    assert found == brute(docs, items, 12)
+
+
+def test_repetition_costs_little():
+    import numpy as np
+    import pyarrow as pa
+
+    from mdlake.llm import textkernel as K
+
+    for n, most in ((4_000, 1), (40_000, 5)):
+        text = pa.array([" ".join(f"c{i % 4}" for i in range(n))], pa.string())
+        began = time.perf_counter()
+        items = decontam.index(pa.array([1]), text, decontam.PARAMS)
+        runs = decontam.matches(next(K.slices(text)), items, decontam.PARAMS, decontam._bitmap(items))
+        assert time.perf_counter() - began < most and np.array_equal(runs[4].max(), n)
