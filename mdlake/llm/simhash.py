@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import components
 from . import textkernel as K
-from .common import prepare, require, written
+from .common import placed, prepare, require, written
 
 PARAMS: dict[str, Any] = {"tables": 32, "bits": 13, "cap": 400, "max_distance": 22, "seed": 7}
 WIDTH = 128
@@ -234,8 +234,14 @@ def near_duplicates(docs: DataFrame, **params: Any) -> DataFrame:
 def keep_one(docs: DataFrame, **params: Any) -> DataFrame:
     """The rows of ``docs`` without the further documents of each group, and
     without further rows that repeat doc_id and text; all columns stay, and so
-    do documents without words."""
-    lose = groups(docs, **params).where("not keep").select(F.col("doc_id").alias("__lose_id"), F.col("th").alias("__lose_th"))
-    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
-    left = rows.join(lose, rows["doc_id"].eqNullSafe(lose["__lose_id"]) & (rows["__text_hash"] == lose["__lose_th"]), "left_anti")
-    return left.dropDuplicates(["doc_id", "__text_hash"]).select(*(f"`{c}`" for c in docs.columns))
+    do documents without words (null or empty text). Of rows with one doc_id and
+    text that differ elsewhere, the one whose other columns have the least hash
+    stays. An empty table stays empty. See ``groups``."""
+    null, some = F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("some_id")
+    lose = groups(docs, **params).where("not keep").select(null, some, "th")
+    rows = placed(docs, "doc_id", "text")
+    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    order = F.xxhash64(F.lit(0), *(c for c, t in rows.dtypes if c in rest and "map<" not in t and "variant" not in t))
+    # one shuffle of the texts serves the repeated rows and the join
+    one = rows.groupBy(null, some, F.xxhash64("text").alias("th")).agg(F.min_by(F.struct(*rows.columns), order).alias("row"))
+    return one.join(lose, ["no_id", "some_id", "th"], "left_anti").select("row.*").toDF(*docs.columns)

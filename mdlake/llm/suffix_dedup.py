@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bwt
 from . import textkernel as K
-from .common import plain_names, prepare, require, shared_dir, written
+from .common import placed, prepare, require, shared_dir, written
 
 PARAMS: dict[str, Any] = {"words": 50, "k": 16, "segments": 10000}
 
@@ -259,16 +259,16 @@ def cut(docs: DataFrame, **params: Any) -> DataFrame:
     """``docs`` without the marked passages: what is left of a text keeps its
     white space, and ``n_chars``, where there is such a column, its new length.
     A document all of whose words are marked goes; all others stay."""
-    spans, every = repeats(docs, **params), docs.columns
-    docs = plain_names(docs)
-    spans = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans")).select(F.col("doc_id").alias("__span_id"), F.col("th").alias("__span_th"), "__spans")
-    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
-    met = rows.join(spans, rows["doc_id"].eqNullSafe(spans["__span_id"]) & (rows["__text_hash"] == spans["__span_th"]), "left").select(*(f"`{c}`" for c in docs.columns), "__spans")
-    names = docs.columns
+    spans = repeats(docs, **params)
+    rows = placed(docs, "doc_id", "text", *(c for c in ("n_chars",) if c in docs.columns))
+    names, schema = rows.columns, rows.schema
+    spans = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("spans")).select(F.col("doc_id").alias("span_id"), F.col("th").alias("span_th"), "spans")
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    met = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("th") == F.col("span_th")), "left").select(*names, "spans")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            text, spans = batch.column("text"), batch.column("__spans")
+            text, spans = batch.column("text"), batch.column("spans")
             has = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             out = batch.select(names)
             if has.size:
@@ -295,4 +295,4 @@ def cut(docs: DataFrame, **params: Any) -> DataFrame:
                 out = out.filter(pa.array(keep))
             yield out
 
-    return met.mapInArrow(run, docs.schema).toDF(*every)
+    return met.mapInArrow(run, schema).toDF(*docs.columns)
