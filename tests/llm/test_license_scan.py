@@ -1,6 +1,8 @@
 import itertools
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 
@@ -64,9 +66,9 @@ def test_bad_templates():
 
 def test_scan(spark):
     mit = L.TEMPLATES["MIT"][1].replace('<<var;match="the Software|the Materials">>', "the Materials")
-    full = re.sub("<<.*?>>", "", mit)
+    full = re.sub("<<.*?>>", "", mit.replace('<<var;match="NONINFRINGEMENT|NON-INFRINGEMENT">>', "NonInfringement").replace('<<var;match=".{1,20}">>', "the authors"))
     rows = [
-        (1, "Head.\n" + full.upper().replace(" ", "\n * ") + "\nTail"), (2, full.replace("without restriction", "without any restriction")), (3, "This program is licenced under the GNU General Public License, version 3.0!"),
+        (1, "Head.\n" + full.upper().replace(" ", "\n * ") + "\nTail"), (2, full.replace("without restriction", "without any restriction")), (20, full.replace("TORT OR OTHERWISE", "TORT OR ELSE")), (21, full[: full.index("IN NO EVENT")]), (3, "This program is licenced under the GNU General Public License, version 3.0!"),
         (4, "This work is licensed under CC BY-SA 4.0."), (5, "released under the Apache License, Version 2.0"), (6, "Apache License"), (7, "x " * 100_000 + "licensed under the MIT license"),
         (8, "This file is licensed under MIT License. This file is licensed under the MIT License."),
     ]
@@ -97,3 +99,33 @@ def test_awkward_rows(spark):
     assert [(r.doc_id, r.license, r.start_word) for r in out] == [(None, "MIT", 4)] * 2
     assert L.scan(frame(spark, rows).where("false")).count() == 0
     assert list(itertools.islice(L.find(L.compile_template("t", "a b"), "a b a b".split()), 3)) == [(0, 2), (2, 4)]
+
+
+def text_of(name):
+    """The wording of a template with all options in it, its own line breaks,
+    and a word for each free region."""
+    t = (Path(L.__file__).parent / "licenses" / f"{name}.txt").read_text()
+    return re.sub("<<(begin|end)Optional>>", "", t.replace('<<var;match="http|https">>', "http"))
+
+
+def test_whole_licences(spark):
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    rows = []
+    for i, name in enumerate(names):
+        t = text_of(name)
+        assert len(t.split()) > 900
+        ws = t.split()
+        at = next(k for k in range(len(ws) // 2, len(ws)) if ws[k].isalpha() and len(ws[k]) > 4)
+        rows += [(i, f"Before it.\n{t}\nBehind it."), (100 + i, " ".join(ws[:at] + ["altered"] + ws[at + 1 :])), (200 + i, " ".join(ws[: len(ws) // 2]))]
+    got = {}
+    for r in L.scan(frame(spark, rows, "doc_id long, text string")).collect():
+        if r.end_word - r.start_word > 200:
+            got.setdefault(r.doc_id, []).append(r.license)
+    assert got == {i: [name] for i, name in enumerate(names)}
+
+
+def test_many_matches_in_one_text(spark):
+    text = "Licensed under the MIT License. " * 50_000
+    began = time.perf_counter()
+    assert L.scan(frame(spark, [(1, text)], "doc_id long, text string")).count() == 50_000
+    assert time.perf_counter() - began < 15
