@@ -6,14 +6,19 @@ examples. A word whose presence doesn't depend on the label (chi-square below
 holds count as one word more, ``other``, of which a vector holds the number.
 Both factors are chosen on the examples. Document frequencies are counted over
 all documents. For every document with a word of any example the ``k`` examples
-of greatest cosine are found exactly: words of many examples are columns of a
-matrix, the others have postings, and every example gets its cosine. Votes
-weighted by distance give a score, which isotonic regression on the examples
-themselves (each left out of its own neighbours) turns into a probability.
+of greatest cosine are found exactly in a block-max inverted index: examples
+that are alike lie in one block of ``BLOCK``; for each word and block the index
+has the greatest weight that the word has in the block. These bound the cosines
+of a block; a document's blocks are scored from the greatest bound on, and those
+whose bound lies below its k-th cosine so far are skipped, which loses nothing.
+Votes weighted by distance give a score, which isotonic regression on the
+examples themselves (each left out of its own neighbours) turns into a
+probability.
 
 Only the labelled sample is bounded: at most ``max_examples`` rows of each
-class, those of least hash. Everything else covers all rows, words and whole
-texts.
+class, those of least hash, and of these as many as have ``max_words`` different
+words in all, again by least hash. Everything else covers all rows, words and
+whole texts.
 """
 
 from __future__ import annotations
@@ -22,14 +27,16 @@ from typing import Any, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkernel as K
-from .common import prepare, require, through
+from .common import prepare, require, through, written
 
-PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "min_chi2": 0.0, "strong_chi2": 10.0, "min_count": 3, "threshold": 0.5, "other": (0.0, 0.25, 0.5, 1.0), "weak": (0.05, 0.2, 1.0)}
+PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "max_words": 4_000_000, "min_chi2": 0.0, "strong_chi2": 10.0, "min_count": 3, "threshold": 0.5, "other": (0.0, 0.25, 0.5, 1.0), "weak": (0.05, 0.2, 1.0)}
 #: Documents, and postings, whose cosines are computed at once.
-BATCH_DOCS, BATCH_POSTINGS = 64, 2_000_000
+BATCH_DOCS, BATCH_POSTINGS = 128, 2_000_000
+#: Examples in a block of the index, and how many blocks a document has scored before bounds are looked at again.
+BLOCK, WAVES = 32, (2, 12)
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -79,15 +86,15 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
 
 def _example_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        ids, tox = batch.column("doc_id"), batch.column("toxic")
+        ids, tox, th = (batch.column(c) for c in ("doc_id", "toxic", "th"))
         for s in K.slices(batch.column("text")):
             d, h, n, *_ = term_counts(s)
             cut = np.searchsorted(d, np.arange(s.offs.size))
             k = s.offs.size - 1
             offs = pa.array(cut.astype(np.int32))
             yield pa.record_batch(
-                [ids.slice(s.first, k), tox.slice(s.first, k), pa.ListArray.from_arrays(offs, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offs, pa.array(n.astype(np.int32)))],
-                names=["doc_id", "toxic", "words", "counts"],
+                [ids.slice(s.first, k), tox.slice(s.first, k), th.slice(s.first, k), pa.ListArray.from_arrays(offs, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offs, pa.array(n.astype(np.int32)))],
+                names=["doc_id", "toxic", "th", "words", "counts"],
             )
 
 
@@ -97,10 +104,31 @@ def _chi2(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.where(den > 0, n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(den, 1), 0)
 
 
-def rounded(n: np.ndarray | float) -> np.ndarray | float:
-    """A number of words to the nearest half power of two, so that documents of
-    about equal length look alike; at least 1."""
-    return 2.0 ** (np.round(2 * np.log2(np.maximum(n, 1))) / 2)
+def weight(n: np.ndarray | float) -> np.ndarray | float:
+    """The weight of n occurrences; of none as of one, which keeps ``other``
+    comparable among short texts."""
+    return 1 + np.log(np.maximum(n, 1))
+
+
+def _alike(x: np.ndarray) -> np.ndarray:
+    """An order of the rows in which similar ones lie together: halves along
+    the direction of the greatest variance, again and again."""
+    out: list[np.ndarray] = []
+    todo = [np.arange(len(x))]
+    while todo:
+        at = todo.pop()
+        if at.size <= BLOCK:
+            out.append(at)
+            continue
+        y = x[at] - x[at].mean(axis=0)
+        way = y[np.argmax((y * y).sum(axis=1))]
+        for _ in range(6):
+            way = y.T @ (y @ way)
+            way = way / max(np.linalg.norm(way), 1e-300)
+        at = at[np.argsort(y @ way, kind="stable")]
+        half = -(-(at.size // 2) // BLOCK) * BLOCK
+        todo += [at[half:], at[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 class Model:
@@ -135,20 +163,35 @@ class Model:
         term = np.minimum(np.searchsorted(self.vocab, hash), max(size - 1, 0))
         ok = np.flatnonzero(self.vocab[term] == hash) if size else np.zeros(0, np.int64)
         row, term, count = row[ok], term[ok], count[ok]
+        value = (1 + np.log(count)) * self.idf[term]
+        order = self._order(row, term, value)
+        self.ids, self.y, words, rank = self.ids[order], self.y[order], words[order], np.argsort(order)
+        row = rank[row]
+        order = np.argsort(row, kind="stable")
+        row, term, count, value = row[order], term[order], count[order], value[order]
         self.share = max(int(self.y.sum()), 1) / max(len(self.y), 1)
         self.ones, self.zeros = max(int(self.y.sum()), 1), max(int((self.y == 0).sum()), 1)
         self.known = np.bincount(row, minlength=n) > 0  # examples that hold a word of the vocabulary
         self.bare_ones, self.bare_zeros = int(self.y[~self.known].sum()), int((self.y[~self.known] == 0).sum())
         self.full = words > 0
-        value = (1 + np.log(count)) * self.idf[term]
         rest = words - np.bincount(row, count, minlength=n)
         # As a document outside of the sample, an example would have its words that no other example holds in ``other``.
         own = self.once[term]
         alone = rest + np.bincount(row[own], count[own], minlength=n)
-        self._index(row, term, value, 1 + np.log(rounded(rest)))
-        self._choose(row, term, value, own, 1 + np.log(rounded(alone)))
+        self._index(row, term, value, weight(rest))
+        self._choose(row, term, value, own, weight(alone))
+        self._blocks()
         return self
 
+    def _order(self, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> np.ndarray:
+        n, at = len(self.ids), np.bincount(term, minlength=self.vocab.size)
+        often = np.argsort(-at, kind="stable")[:400]
+        column = np.full(self.vocab.size, -1)
+        column[often] = np.arange(often.size)
+        x, ok = np.zeros((n, often.size)), column[term] >= 0
+        x[row[ok], column[term[ok]]] = value[ok]
+        return _alike(x / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None])
+
     def _index(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, length: np.ndarray) -> None:
         """Words by example: a matrix of those of many examples, postings of
         the others; ``length`` is the weight of ``other``."""
@@ -184,6 +227,26 @@ class Model:
         out += np.bincount(np.repeat(doc * n, size) + self.post[at], np.repeat(q, size) * self.value[at], minlength=docs * n).reshape(docs, n)
         return out
 
+    def _blocks(self) -> None:
+        """The greatest weight of each word, scaled to the examples' norms, in
+        each block of examples that holds it."""
+        n = len(self.ids)
+        first = np.arange(0, n, BLOCK)
+        self.n_blocks, self.scored, self.bounded = first.size, 0, 0
+        scaled = self.matrix * self.scale
+        self.most = np.maximum.reduceat(scaled, first, axis=1) if n else np.zeros((len(scaled), 0))
+        self.most_other = np.maximum.reduceat(self.other * self.length * self.scale, first) if n else np.zeros(0)
+        self.scaled, self.scaled_other = scaled, self.other * self.length * self.scale
+        self.scaled_value = self.value * self.scale[self.post]
+        self.matrix = self.value = None  # only fitting needs them
+        term = np.repeat(np.arange(self.vocab.size), np.diff(self.start))
+        block = self.post // BLOCK
+        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) if term.size else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        self.entry = np.searchsorted(at, self.start)  # entries of each word
+        self.entry_block, self.entry_at = block[at].astype(np.int32), np.append(at, term.size)
+        self.entry_most = np.maximum.reduceat(self.scaled_value, at) if at.size else np.zeros(0)
+
     def _top(self, cos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, cosine) of the ``most`` greatest of each line, ties by the
         examples' doc_id; -1 where there are fewer."""
@@ -222,17 +285,69 @@ class Model:
         rest = rest + np.bincount(doc[at], count[at], minlength=docs)
         doc, term, count = (np.delete(x, at) for x in (doc, term, count))
         q = (1 + np.log(count)) * self.idf[term] * np.where(self.strong[term], 1.0, self.weak)
-        length = self.other * (1 + np.log(rounded(rest)))
+        length = self.other * weight(rest)
         norm = np.sqrt(np.bincount(doc, q * q, minlength=docs) + length**2)
         q = q * np.where(self.strong[term], 1.0, self.weak)  # the examples' values don't have the factor
-        cos = self._dots(doc, term, q, docs)
-        if self.other:
-            cos += np.outer(length, self.other * self.length)
-        cos *= self.scale
-        cos /= np.where(norm > 0, norm, 1)[:, None]
-        me = np.flatnonzero(own >= 0)
-        cos[me, own[me]] = 0
-        return self._top(cos, self.p["k"])
+        return self._search(doc, term, q, length, norm, own)
+
+    def _search(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, length: np.ndarray, norm: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest by bounds, block after block."""
+        docs, n, nb, k = norm.size, len(self.ids), self.n_blocks, self.p["k"]
+        cos = np.zeros((docs, nb * BLOCK))
+        if not nb:
+            return self._top(cos, k)
+        q = q / np.where(norm > 0, norm, 1)[doc]
+        length = length / np.where(norm > 0, norm, 1)
+        col = self.column[term]
+        dense = col >= 0
+        a = np.zeros((docs, self.scaled.shape[0]))
+        a[doc[dense], col[dense]] = q[dense]
+        doc, term, q = doc[~dense], term[~dense], q[~dense]
+        size = self.entry[term + 1] - self.entry[term]
+        e = np.repeat(self.entry[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        cell = np.repeat(doc * nb, size) + self.entry_block[e]
+        weight = np.repeat(q, size)
+        bound = np.bincount(cell, weight * self.entry_most[e], minlength=docs * nb).reshape(docs, nb) + a @ self.most + np.outer(length, self.most_other)
+        todo = bound > 1e-9
+        self.bounded += todo.size
+        lines = np.arange(docs)
+        for wave in (*WAVES, nb):
+            # the blocks of greatest bound of each document that still has any
+            here = np.where(todo[lines], bound[lines], -1.0)
+            if wave < nb:
+                here = np.where(here >= np.partition(here, nb - wave, axis=1)[:, nb - wave, None], here, -1.0)
+            x, block = np.nonzero(here >= 0)
+            if not x.size:
+                break
+            line = lines[x]
+            todo[line, block] = False
+            self.scored += line.size
+            mark = np.full(docs * nb, -1)
+            mark[line * nb + block] = np.arange(line.size)
+            some = np.flatnonzero(mark[cell] >= 0)
+            m = self.entry_at[e[some] + 1] - self.entry_at[e[some]]
+            at = np.repeat(self.entry_at[e[some]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            dots = np.bincount(np.repeat(mark[cell[some]], m) * BLOCK + self.post[at] % BLOCK, np.repeat(weight[some], m) * self.scaled_value[at], minlength=line.size * BLOCK).reshape(-1, BLOCK)
+            order = np.argsort(block, kind="stable")
+            cut = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
+            for i, j in zip(cut.tolist(), [*cut[1:].tolist(), order.size]):
+                mine, b = order[i:j], int(block[order[i]]) * BLOCK
+                w = min(BLOCK, n - b)
+                dots[mine, :w] += a[line[mine]] @ self.scaled[:, b : b + w] + np.outer(length[line[mine]], self.scaled_other[b : b + w])
+            cos.reshape(docs, nb, BLOCK)[line, block] = dots
+            hit = np.flatnonzero((own[line] >= 0) & (own[line] // BLOCK == block))
+            cos[line[hit], own[line[hit]]] = 0
+            left = todo[lines].any(axis=1)
+            lines = lines[left]
+            if not lines.size:
+                break
+            width = cos.shape[1]
+            least = np.partition(cos[lines], width - k, axis=1)[:, width - k] if width > k else np.zeros(lines.size)
+            todo[lines] &= bound[lines] >= np.maximum(least - 4e-9, 1e-9)[:, None]
+            lines = lines[todo[lines].any(axis=1)]
+            if not lines.size:
+                break
+        return self._top(cos[:, :n], k)
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> np.ndarray:
         """Share of toxic votes of each line; a neighbour counts by the inverse
@@ -314,17 +429,29 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, **params: Any) -> Model:
-    """Fits on labelled documents. Without any labelled document nothing is
-    toxic (the prior is 0)."""
+    """Fits on labelled documents. Labels that are null or neither 0 nor 1, or
+    of a null doc_id, don't count; of several labels of a doc_id the greatest
+    does. Without any labelled document, or any document, nothing is toxic (the
+    prior is 0)."""
     p = PARAMS | params
     spark = docs.sparkSession
     prepare(spark)
     docs = require(docs, "doc_id", "text")
     labels = require(labels, "doc_id", "toxic")
     chosen = F.broadcast(_sample(labels, p["max_examples"]))  # at most two times max_examples rows
-    one = docs.where("text is not null").join(chosen, "doc_id").select("doc_id", "toxic", "text")
-    rows = one.mapInArrow(_example_words, "doc_id long, toxic int, words array<long>, counts array<int>").toArrow().to_pandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True) if len(rows) else rows
+    one = docs.where("text is not null").join(chosen, "doc_id").select("doc_id", "toxic", "text", F.xxhash64("text").alias("th"))
+    found = one.mapInArrow(_example_words, "doc_id long, toxic int, th long, words array<long>, counts array<int>")
+    # of the texts of one doc_id the one of least hash counts
+    found = written(found.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "words", "counts"), "th").alias("x")).select("doc_id", "x.*"), "examples")
+    sizes = found.select("doc_id", F.size("words"), F.xxhash64("doc_id")).collect()  # at most two times max_examples rows
+    ids, total = [], 0
+    for doc, n, _ in sorted(sizes, key=lambda r: (r[2], r[0])):
+        total += n
+        if total > p["max_words"]:
+            break
+        ids.append(doc)
+    rows = found.where(F.col("doc_id").isin(ids)).toArrow().to_pandas()
+    rows = rows.sort_values("doc_id", ignore_index=True) if len(rows) else rows
     tally = {r[0]: r[1] for r in labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("toxic").cast("int")).count().collect()}
     prior = tally.get(1, 0) / max(sum(tally.values()), 1)
     feats = [(np.asarray(w, np.int64).view(np.uint64), np.asarray(c, float)) for w, c in zip(rows.get("words", []), rows.get("counts", []))]
@@ -370,7 +497,9 @@ def _scored(batch: pa.RecordBatch, model: Model, evidence: bool) -> Iterator[tup
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: probability, verdict, the neighbours that voted
-    and the words that they share. A document without any word of the
+    and the words that they share. Of examples of equal cosine those of least
+    doc_id count. A text may be of any length; an empty table yields no rows. A
+    document without any word of the
     examples (also a null or empty text) has the rate of such examples as its
     score and no evidence. Repeated rows are scored each; a null ``doc_id``
     stays null. Other columns are ignored."""
@@ -395,7 +524,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that aren't toxic."""
+    """The rows of ``docs``, with all their columns, that aren't toxic by
+    ``score``. Null and empty texts go by the rate of examples without words;
+    repeated rows stay or go alike; an empty table stays empty."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

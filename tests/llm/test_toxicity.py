@@ -35,7 +35,7 @@ def brute(docs, labels, model):
         for s in K.slices(pa.array([text])):
             _, t, n, _, _, total = X.term_counts(s, chosen)
             v[t] = n
-            v[-1] = X.rounded(total[0] - n.sum())
+            v[-1] = max(total[0] - n.sum(), 1)
         return v
 
     raw = {d: vector(t) for d, t in docs}
@@ -125,6 +125,8 @@ def test_awkward_rows(spark):
     assert kept.columns == df.columns and set(CLASHES) <= set(kept.columns)
     nothing = X.fit(df, labels.where("false"))
     assert X.keep_clean(df, nothing).count() == len(rows) and not any(r.toxic for r in X.score(df, nothing).collect())
+    few = X.fit(df, labels, max_words=200)
+    assert 0 < len(few.ids) < 20 and few.vocab.size <= 200
     empty = df.where("false")
     assert X.score(empty, X.fit(empty, labels)).count() == 0 and X.keep_clean(empty, model).count() == 0
 
@@ -153,7 +155,7 @@ def test_every_word_of_the_examples_is_searched(spark):
     def vector(d):
         known = [w for w in texts[d] if w in factor and not (d in labels and all(w not in texts[e] for e in labels if e != d))]
         v = {w: (1 + np.log(known.count(w))) * idf[w] * factor[w] for w in set(known)}
-        return v | {None: model.other * (1 + np.log(X.rounded(len(texts[d]) - len(known))))}
+        return v | {None: model.other * X.weight(len(texts[d]) - len(known))}
 
     def example(e):
         return {w: (1 + np.log(texts[e].count(w))) * idf[w] * factor[w] for w in set(texts[e])} | {None: model.other}
@@ -178,3 +180,41 @@ def test_a_word_of_three_toxic_examples_is_in_the_default_vocabulary():
     rows = [(np.array([7, 9] if i < 3 else [9], np.uint64), np.ones(2 if i < 3 else 1)) for i in range(y.size)]
     assert 20 < X._chi2(np.array([3.0]), np.array([0.0]), 25, 180)[0] < 24
     assert X.Model(np.arange(y.size), y, rows, 0.1, X.PARAMS).vocab.tolist() == [7, 9]
+
+
+def test_bounds_skip_blocks_and_lose_nothing():
+    """Documents of different subjects: most blocks are skipped, and the
+    neighbours are those of all cosines."""
+    import pyarrow as pa
+
+    from mdlake.llm import textkernel as K
+
+    rng = random.Random(9)
+    text = lambda: " ".join(f"s{rng.randrange(40) if rng.random() < 0.02 else sub}w{rng.randrange(60)}" for sub in [rng.randrange(40)] for _ in range(rng.randrange(20, 60)))
+    rows, y = [], np.array([int(rng.random() < 0.3) for _ in range(1280)])
+    for s in K.slices(pa.array([text() for _ in y])):
+        d, h, n, *_ = X.term_counts(s)
+        rows += [(h[d == i], n[d == i].astype(float)) for i in range(s.offs.size - 1)]
+    model = X.Model(np.arange(y.size), y, rows, 0.3, X.PARAMS | {"other": (0.25,), "weak": (1.0,)})
+    df = np.bincount(np.searchsorted(model.vocab, np.concatenate([r[0] for r in rows])), minlength=model.vocab.size)
+    kept = {int(i): r for i, r in enumerate(rows)}
+    model.weigh(df, y.size)
+    batch = pa.record_batch([pa.array([None] * 200, pa.int64()), pa.array([text() for _ in range(200)])], names=["doc_id", "text"])
+    out = list(X._scored(batch, model, True))
+    assert len(out) == 200 and model.scored < 0.5 * model.bounded
+
+    def vector(h, n):
+        v = np.zeros(model.vocab.size)
+        at = np.searchsorted(model.vocab, h)
+        v[at] = (1 + np.log(n)) * model.idf[at]
+        return v
+
+    every = {e: vector(*r) for e, r in kept.items()}
+    for row, _, near, cos, _ in out[:40]:
+        s = next(K.slices(batch.column("text").slice(row, 1)))
+        _, h, n, *_ = X.term_counts(s)
+        known = np.isin(h, model.vocab)
+        q = vector(h[known], n[known])
+        rest = model.other * X.weight(float(n[~known].sum()))
+        want = sorted((float(q @ v + rest * model.other) / np.hypot(np.linalg.norm(q), rest) / np.hypot(np.linalg.norm(v), model.other) for v in every.values()), reverse=True)
+        assert np.allclose(cos, want[:15], atol=1e-8)
