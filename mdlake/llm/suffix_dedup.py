@@ -1,15 +1,18 @@
 """Repeated passages: every run of at least ``words`` words that occurs before.
 
 Words are runs without ASCII white space, compared as they are (by 64-bit hash).
-Occurrences are ordered by doc_id (null first), text hash and position; of each
-window of ``words`` words the first occurrence stays and all others are marked.
-Marked windows are joined into passages, which can be cut out.
+Documents are ordered by doc_id (null first) and text hash. A window of
+``words`` words is marked where an earlier document holds it, too; in the first
+document that holds it, it stays. What a document repeats of itself only is
+marked, but for its first occurrence, if ``within`` is true. Marked windows are
+joined into passages, which can be cut out.
 
 1. Winnowing gives every window at least one anchor, a k-gram that depends on
    the window's words alone, so equal windows share an anchor. Anchors that
    occur once are dropped after a shuffle of hashes.
-2. Around each repeated anchor lies a segment that holds all its windows. Equal
-   segments of one anchor keep one representative; the others are marked whole.
+2. Around each repeated anchor lies a segment that holds all its windows. Of
+   equal segments of one anchor those of the first document are kept; those of
+   others are marked whole.
 3. The remaining segments meet by anchor, and ``bwt.build`` makes the sorted
    order of their suffixes with common prefixes, column by column. Neighbours
    with a common prefix of ``words`` words or more are equal windows.
@@ -20,9 +23,7 @@ as many more as one anchor has; nothing is capped.
 
 from __future__ import annotations
 
-import os
 from typing import Any, Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from . import bwt
 from . import textkernel as K
 from .common import placed, prepare, require, shared_dir, written
 
-PARAMS: dict[str, Any] = {"words": 50, "k": 16, "segments": 10000}
+PARAMS: dict[str, Any] = {"words": 50, "k": 16, "segments": 10000, "within": False, "ram": 1 << 23}
 
 SPANS = "doc_id long, th long, start_word int, end_word int, first_doc_id long"
 
@@ -89,9 +90,11 @@ def anchors(rows: DataFrame, p: dict[str, Any]) -> DataFrame:
     return rows.mapInArrow(run, "h long, seg long, doc_id long, th long, span long")
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """Of anchors that occur more than once: the first occurrence of each
-    segment, and every other one with the first's doc_id (``copy``)."""
+def repeated(found: DataFrame, within: bool) -> DataFrame:
+    """Of anchors that occur in more than one document: each segment's
+    occurrences in the first document that has it, and every other one with that
+    document's doc_id (``copy``). With ``within``, of anchors that occur more
+    than once: the first occurrence of each segment, and every other one."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole(it, "h"):
@@ -103,10 +106,15 @@ def repeated(found: DataFrame) -> DataFrame:
             new_seg = new_h | np.append(True, seg[1:] != seg[:-1])
             new = new_seg | np.append(True, (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]) | (th[1:] != th[:-1]) | (span[1:] != span[:-1]))
             group = np.cumsum(new_h) - 1
-            often = np.bincount(group[new])[group] > 1
             first = np.flatnonzero(new_seg)[np.cumsum(new_seg) - 1]
+            if within:
+                often, copy = np.bincount(group[new])[group] > 1, ~new_seg
+            else:
+                other = lambda x: (ids != ids[x]) | (null != null[x]) | (th != th[x])
+                start = np.flatnonzero(new_h)
+                often, copy = np.logical_or.reduceat(other(start[group]), start)[group], other(first)
             keep = np.flatnonzero(new & often)
-            yield pa.record_batch([*(batch.column(c).take(pa.array(keep)) for c in ("h", "doc_id", "th", "span")), pa.array(~new_seg[keep]), doc.take(pa.array(first[keep]))], names=["h", "doc_id", "th", "span", "copy", "first_doc_id"])
+            yield pa.record_batch([*(batch.column(c).take(pa.array(keep)) for c in ("h", "doc_id", "th", "span")), pa.array(copy[keep]), doc.take(pa.array(first[keep]))], names=["h", "doc_id", "th", "span", "copy", "first_doc_id"])
 
     order = [F.col("h"), F.col("seg"), F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("span")]
     return found.repartition("h").sortWithinPartitions(*order).mapInArrow(run, "h long, doc_id long, th long, span long, copy boolean, first_doc_id long")
@@ -165,12 +173,35 @@ def segments(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "h long, doc_id long, th long, start long, words string")
 
 
+def _groups(order: bwt.Table, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, number of its group) of the suffixes whose first ``words`` words
+    another suffix shares."""
+    kept, number, count = [], [], 0
+    before: np.ndarray | None = None  # the last suffix so far, while it isn't kept
+    for _, _, (lcp, own) in order.pieces(1, 2):
+        if not own.size:
+            break
+        like = lcp >= words  # the one before
+        keep = like | np.append(like[1:], False)
+        if before is not None and like[0]:
+            kept.append(before)
+            number.append(np.array([count]))
+        g = np.cumsum(~like) + count
+        kept.append(own[keep])
+        number.append(g[keep])
+        count = int(g[-1])
+        before = None if keep[-1] else own[-1:].copy()
+    order.drop()
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return cat(kept), cat(number)
+
+
 def marked(segs: DataFrame, p: dict[str, Any], folder: str | None) -> DataFrame:
     """The windows of segments that occur before, joined where they overlap."""
     words = p["words"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        room = bwt.Columns(folder)
+        room = bwt.Room(folder, p["ram"])
         for batch in whole(it, "h", p["segments"]):
             sym, starts = [], [0]
             for s in K.slices(batch.column("words")):
@@ -179,7 +210,10 @@ def marked(segs: DataFrame, p: dict[str, Any], folder: str | None) -> DataFrame:
                 starts.extend((ws.bounds[1:] + starts[-1]).tolist())
             sym = np.unique(np.concatenate(sym), return_inverse=True)[1]
             starts = np.array(starts)
-            seq, off, lcp = bwt.build(sym, starts, words, room)
+            own, g = _groups(bwt.build(sym, starts, words, room), words)
+            if not own.size:
+                continue
+            seq, off = own >> 32, own & ((1 << 32) - 1)
             doc = batch.column("doc_id")
             null = doc.is_null().to_numpy(zero_copy_only=False)
             ids, th = doc.fill_null(0).to_numpy(), batch.column("th").to_numpy()
@@ -188,16 +222,10 @@ def marked(segs: DataFrame, p: dict[str, Any], folder: str | None) -> DataFrame:
             rank = np.empty(order.size, np.int64)
             rank[order] = np.cumsum(new) - 1
             owner = order[np.flatnonzero(new)]  # a row of each document
-            group = np.cumsum(lcp < words) - 1
-            size = np.bincount(group)
-            at = np.flatnonzero(size[group] > 1)
-            if not at.size:
-                continue
-            place = (rank[seq[at]] << 40) | (batch.column("start").to_numpy()[seq[at]] + off[at])
-            g = group[at]
+            place = (rank[seq] << 40) | (batch.column("start").to_numpy()[seq] + off)
             cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             first = np.repeat(np.minimum.reduceat(place, cut), np.diff(np.append(cut, g.size)))
-            dup = place != first
+            dup = place != first if p["within"] else place >> 40 != first >> 40
             place, first = place[dup], first[dup]
             if not place.size:
                 continue
@@ -237,19 +265,20 @@ def united(spans: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, **params: Any) -> DataFrame:
     """(doc_id, th, start_word, end_word, first_doc_id) of every maximal
-    passage all of whose windows occur before.
+    passage all of whose windows an earlier document holds (or, with
+    ``within``, which occur before in this or an earlier document).
 
     Null and empty texts and texts of fewer than ``words`` words have no
-    windows. A passage that repeats within one document is marked there. Rows
-    that repeat doc_id and text are one document. A null doc_id comes first in
-    the order. Other columns are ignored."""
+    windows; a text may be of any length. Rows that repeat doc_id and text are
+    one document; documents of one doc_id with other texts are ordered by text
+    hash, so there are no ties. A null doc_id comes first in the order. An empty
+    table yields no rows. Other columns are ignored."""
     p = PARAMS | params
     spark = docs.sparkSession
     prepare(spark)
     rows = _rows(docs)
-    place = urlparse(shared_dir(spark))
-    folder = os.path.join(place.path, "columns") if place.scheme in ("", "file") else None
-    found = written(repeated(anchors(rows, p)), "anchors")
+    folder = f"{shared_dir(spark)}/columns"
+    found = written(repeated(anchors(rows, p), p["within"]), "anchors")
     copies = found.where("copy").select("doc_id", "th", F.expr("cast(span div 1048576 as int)").alias("start_word"), F.expr("cast((span div 1048576) + (span & 1048575) as int)").alias("end_word"), "first_doc_id")
     firsts = found.where("not copy")
     return united(copies.unionByName(marked(segments(rows, firsts), p, folder)))
@@ -258,7 +287,8 @@ def repeats(docs: DataFrame, **params: Any) -> DataFrame:
 def cut(docs: DataFrame, **params: Any) -> DataFrame:
     """``docs`` without the marked passages: what is left of a text keeps its
     white space, and ``n_chars``, where there is such a column, its new length.
-    A document all of whose words are marked goes; all others stay."""
+    A document all of whose words are marked goes; all others stay, also those
+    with null or empty texts. Repeated rows are cut alike. See ``repeats``."""
     spans = repeats(docs, **params)
     rows = placed(docs, "doc_id", "text", *(c for c in ("n_chars",) if c in docs.columns))
     names, schema = rows.columns, rows.schema

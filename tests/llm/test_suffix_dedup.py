@@ -8,8 +8,9 @@ from mdlake.llm import bwt, suffix_dedup as D
 from .helpers import awkward, frame, plain, prose
 
 
-def brute(docs, n):
-    """Marked passages: every window of n words that occurs before."""
+def brute(docs, n, within=False):
+    """Marked passages: every window of n words that an earlier document
+    holds, or that occurs before."""
     seen, out = {}, []
     order = sorted({(d, t) for d, t in docs if t}, key=lambda x: (x[0] is not None, x[0] or 0))
     for d, t in order:
@@ -17,19 +18,20 @@ def brute(docs, n):
         mark = np.zeros(len(w), bool)
         for i in range(len(w) - n + 1):
             k = tuple(w[i : i + n])
-            if k in seen:
+            if k in seen and (within or seen[k] != (d, t)):
                 mark[i : i + n] = True
-            else:
-                seen[k] = d
+            seen.setdefault(k, (d, t))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.view(np.int8), [0]])))
         out += [(d, int(b), int(e)) for b, e in zip(edge[::2], edge[1::2])]
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("vocabulary, words", [(3000, 50), (3, 20), (2, 10)])
-def test_against_brute_force(spark, vocabulary, words):
+@pytest.mark.parametrize("ram", [1 << 23, 1000])
+@pytest.mark.parametrize("within", [False, True])
+@pytest.mark.parametrize("vocabulary, words", [(3000, 50), (3, 20), (2, 10), (3000, 300)])
+def test_against_brute_force(spark, vocabulary, words, within, ram):
     rng = random.Random(vocabulary)
-    passages = [prose(rng, n, vocabulary) for n in (49, 50, 51, 80, 200)]
+    passages = [prose(rng, n, vocabulary) for n in (49, 50, 51, 80, 200, 299, 300, 301, 420)]
     docs = []
     for i in range(40):
         parts = [prose(rng, rng.randrange(0, 70), vocabulary)]
@@ -37,8 +39,8 @@ def test_against_brute_force(spark, vocabulary, words):
             parts += [rng.choice(passages), prose(rng, rng.randrange(0, 30), vocabulary)]
         docs.append((i, rng.choice([" ", "\n", "\t "]).join(parts)))
     docs.append((50, " ".join([passages[1]] * 4)))
-    rows = D.repeats(frame(spark, docs, "doc_id long, text string"), words=words, k=min(16, words // 2)).collect()
-    assert sorted(((r.doc_id, r.start_word, r.end_word) for r in rows), key=repr) == brute(docs, words)
+    rows = D.repeats(frame(spark, docs, "doc_id long, text string"), words=words, k=min(16, words // 2), within=within, ram=ram).collect()
+    assert sorted(((r.doc_id, r.start_word, r.end_word) for r in rows), key=repr) == brute(docs, words, within)
     assert all(r.first_doc_id <= r.doc_id for r in rows)
 
 
@@ -68,7 +70,13 @@ def test_order_of_suffixes(tmp_path, ram):
     for alphabet in (1, 2, 50):
         seqs = [rng.integers(0, alphabet, rng.integers(0, 25)) for _ in range(20)]
         starts = np.append(0, np.cumsum([len(s) for s in seqs]))
-        seq, off, lcp = bwt.build(np.concatenate(seqs).astype(np.int64), starts, 200, bwt.Columns(str(tmp_path), ram))
+        order = bwt.build(np.concatenate(seqs).astype(np.int64), starts, 200, bwt.Room(str(tmp_path), ram))
+        pieces = [(lcp.copy(), own.copy()) for _, _, (lcp, own) in order.pieces(1, 2)]
+        assert (len(pieces) > 3) == (ram < 100)
+        lcp, own = (np.concatenate(x) for x in zip(*pieces))
+        seq, off = own >> 32, own & (2**32 - 1)
+        order.drop()
+        assert not list(tmp_path.iterdir())
         want = sorted((tuple(s[i:]), n, i) for n, s in enumerate(seqs) for i in range(len(s)))
         assert [(int(a), int(b)) for a, b in zip(seq, off)] == [(n, i) for _, n, i in want]
         for i in range(1, len(want)):
