@@ -36,7 +36,7 @@ PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "max_words": 4_000_000,
 #: Documents, and postings, whose cosines are computed at once.
 BATCH_DOCS, BATCH_POSTINGS = 128, 2_000_000
 #: Examples in a block of the index, and how many blocks a document has scored before bounds are looked at again.
-BLOCK, WAVES = 32, (2, 12)
+BLOCK, WAVES = 64, (2, 12)
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -68,7 +68,7 @@ def term_counts(s: K.Slice, vocab: np.ndarray | None = None) -> tuple[np.ndarray
         doc = doc[at]
     else:
         term = h
-    order = np.lexsort((at, term, doc))
+    order = np.lexsort((at, term, doc)) if vocab is None else np.argsort(doc * vocab.size + term, kind="stable")
     d, t, a = doc[order], term[order], at[order]
     new = np.ones(d.size, bool)
     new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
@@ -244,7 +244,8 @@ class Model:
         new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) if term.size else np.zeros(0, bool)
         at = np.flatnonzero(new)
         self.entry = np.searchsorted(at, self.start)  # entries of each word
-        self.entry_block, self.entry_at = block[at].astype(np.int32), np.append(at, term.size)
+        self.entry_block, self.entry_at = block[at].astype(np.int32), np.append(at, term.size).astype(np.int32)
+        self.within = (self.post % BLOCK).astype(np.uint8 if BLOCK <= 256 else np.int32)
         self.entry_most = np.maximum.reduceat(self.scaled_value, at) if at.size else np.zeros(0)
 
     def _top(self, cos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,49 +305,52 @@ class Model:
         a[doc[dense], col[dense]] = q[dense]
         doc, term, q = doc[~dense], term[~dense], q[~dense]
         size = self.entry[term + 1] - self.entry[term]
-        e = np.repeat(self.entry[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        cell = np.repeat(doc * nb, size) + self.entry_block[e]
-        weight = np.repeat(q, size)
-        bound = np.bincount(cell, weight * self.entry_most[e], minlength=docs * nb).reshape(docs, nb) + a @ self.most + np.outer(length, self.most_other)
+        e = np.repeat((self.entry[term] - (np.cumsum(size) - size)).astype(np.int32), size) + np.arange(int(size.sum()), dtype=np.int32)
+        cell = np.repeat((doc * nb).astype(np.int32), size) + self.entry_block[e]
+        share = np.repeat(q, size)
+        bound = np.bincount(cell, share * self.entry_most[e], minlength=docs * nb).reshape(docs, nb) + a @ self.most + np.outer(length, self.most_other)
         todo = bound > 1e-9
         self.bounded += todo.size
-        lines = np.arange(docs)
-        for wave in (*WAVES, nb):
-            # the blocks of greatest bound of each document that still has any
-            here = np.where(todo[lines], bound[lines], -1.0)
-            if wave < nb:
-                here = np.where(here >= np.partition(here, nb - wave, axis=1)[:, nb - wave, None], here, -1.0)
-            x, block = np.nonzero(here >= 0)
-            if not x.size:
-                break
-            line = lines[x]
+        mark = np.full(docs * nb, -1, np.int32)
+
+        def run(line: np.ndarray, block: np.ndarray) -> np.ndarray:
+            """Cosines of the examples of some documents' blocks."""
             todo[line, block] = False
             self.scored += line.size
-            mark = np.full(docs * nb, -1)
-            mark[line * nb + block] = np.arange(line.size)
-            some = np.flatnonzero(mark[cell] >= 0)
-            m = self.entry_at[e[some] + 1] - self.entry_at[e[some]]
-            at = np.repeat(self.entry_at[e[some]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-            dots = np.bincount(np.repeat(mark[cell[some]], m) * BLOCK + self.post[at] % BLOCK, np.repeat(weight[some], m) * self.scaled_value[at], minlength=line.size * BLOCK).reshape(-1, BLOCK)
+            mark[line * nb + block] = np.arange(line.size, dtype=np.int32)
+            to = mark[cell]
+            some = np.flatnonzero(to >= 0)
+            mark[line * nb + block] = -1
+            to, e_some = to[some], e[some]
+            first = self.entry_at[e_some]
+            m = self.entry_at[e_some + 1] - first
+            at = np.repeat(first - (np.cumsum(m, dtype=np.int32) - m), m) + np.arange(int(m.sum()), dtype=np.int32)
+            dots = np.bincount(np.repeat(to * BLOCK, m) + self.within[at], np.repeat(share[some], m) * self.scaled_value[at], minlength=line.size * BLOCK).reshape(-1, BLOCK)
             order = np.argsort(block, kind="stable")
             cut = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
             for i, j in zip(cut.tolist(), [*cut[1:].tolist(), order.size]):
                 mine, b = order[i:j], int(block[order[i]]) * BLOCK
                 w = min(BLOCK, n - b)
-                dots[mine, :w] += a[line[mine]] @ self.scaled[:, b : b + w] + np.outer(length[line[mine]], self.scaled_other[b : b + w])
-            cos.reshape(docs, nb, BLOCK)[line, block] = dots
+                own_line = line[mine]
+                dots[mine, :w] += a[own_line] @ self.scaled[:, b : b + w] + length[own_line, None] * self.scaled_other[b : b + w]
             hit = np.flatnonzero((own[line] >= 0) & (own[line] // BLOCK == block))
-            cos[line[hit], own[line[hit]]] = 0
-            left = todo[lines].any(axis=1)
-            lines = lines[left]
-            if not lines.size:
-                break
-            width = cos.shape[1]
-            least = np.partition(cos[lines], width - k, axis=1)[:, width - k] if width > k else np.zeros(lines.size)
-            todo[lines] &= bound[lines] >= np.maximum(least - 4e-9, 1e-9)[:, None]
-            lines = lines[todo[lines].any(axis=1)]
-            if not lines.size:
+            dots[hit, own[line[hit]] % BLOCK] = 0
+            cos.reshape(docs, nb, BLOCK)[line, block] = dots
+            return dots
+
+        seen = np.zeros((docs, 0))
+        for wave in WAVES:
+            if wave >= nb:
                 break
+            block = np.argpartition(np.where(todo, bound, -1.0), nb - wave, axis=1)[:, nb - wave :]
+            dots = run(np.repeat(np.arange(docs), wave), block.ravel())
+            seen = np.concatenate([seen, dots.reshape(docs, -1)], axis=1)
+            if seen.shape[1] > k:
+                seen = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k:]
+                todo &= bound >= np.maximum(seen.min(axis=1) - 4e-9, 1e-9)[:, None]
+        line, block = np.nonzero(todo)
+        if line.size:
+            run(line, block)
         return self._top(cos[:, :n], k)
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> np.ndarray:
@@ -478,6 +482,7 @@ def _scored(batch: pa.RecordBatch, model: Model, evidence: bool) -> Iterator[tup
     ids = batch.column("doc_id")
     for s in K.slices(batch.column("text")):
         d, t, n, b, e, total = term_counts(s, model.vocab)
+        raw = s.buf.tobytes() if evidence else b""
         rest = total - np.bincount(d, n, minlength=total.size)
         for lo, hi in model._batches(d, t):
             here, doc = np.unique(d[lo:hi], return_inverse=True)
@@ -492,7 +497,7 @@ def _scored(batch: pa.RecordBatch, model: Model, evidence: bool) -> Iterator[tup
                 r = rows[i][rows[i] >= 0]
                 if r.size:
                     w = cut[i] + np.flatnonzero(model.shared(t[cut[i] : cut[i + 1]], r))
-                    yield x, prob[i], r, cos[i, : r.size], [s.buf[f:g].tobytes().decode("utf-8", "replace") for f, g in zip(b[w].tolist(), e[w].tolist())]
+                    yield x, prob[i], r, cos[i, : r.size], [raw[f:g].decode("utf-8", "replace") for f, g in zip(b[w].tolist(), e[w].tolist())]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
