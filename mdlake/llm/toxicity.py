@@ -343,8 +343,10 @@ class Model:
             if wave >= nb:
                 break
             block = np.argpartition(np.where(todo, bound, -1.0), nb - wave, axis=1)[:, nb - wave :]
-            dots = run(np.repeat(np.arange(docs), wave), block.ravel())
-            seen = np.concatenate([seen, dots.reshape(docs, -1)], axis=1)
+            line, place = np.nonzero(np.take_along_axis(todo, block, axis=1))
+            found = np.zeros((docs, wave, BLOCK))
+            found[line, place] = run(line, block[line, place])
+            seen = np.concatenate([seen, found.reshape(docs, -1)], axis=1)
             if seen.shape[1] > k:
                 seen = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k:]
                 todo &= bound >= np.maximum(seen.min(axis=1) - 4e-9, 1e-9)[:, None]

@@ -190,8 +190,8 @@ def test_bounds_skip_blocks_and_lose_nothing():
     from mdlake.llm import textkernel as K
 
     rng = random.Random(9)
-    text = lambda: " ".join(f"s{rng.randrange(40) if rng.random() < 0.02 else sub}w{rng.randrange(60)}" for sub in [rng.randrange(40)] for _ in range(rng.randrange(20, 60)))
-    rows, y = [], np.array([int(rng.random() < 0.3) for _ in range(1280)])
+    text = lambda: " ".join(f"s{rng.randrange(10) if rng.random() < 0.02 else sub}w{rng.randrange(200)}" for sub in [rng.randrange(10)] for _ in range(rng.randrange(20, 60)))
+    rows, y = [], np.array([int(rng.random() < 0.3) for _ in range(2560)])
     for s in K.slices(pa.array([text() for _ in y])):
         d, h, n, *_ = X.term_counts(s)
         rows += [(h[d == i], n[d == i].astype(float)) for i in range(s.offs.size - 1)]
