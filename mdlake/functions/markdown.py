@@ -1,8 +1,10 @@
 """Markdown structure: CommonMark blocks with tables, task items, footnotes,
 strike-through and bare links.
 
-``parse`` gives a tree of ``Node``; containers are parsed by stripping their
-prefix from their lines and parsing what is left. Known differences from a
+``Parser.document`` gives a tree of ``Node``; containers are parsed by stripping
+their prefix from their lines and parsing what is left, with a stack of its own,
+so no nesting is too deep. Every text has a tree, and no text without nesting
+takes more than about linear time. Known differences from a
 complete CommonMark parser: a tab counts as up to the next multiple of four
 columns only at the start of a line, and lazy continuation is judged by the last
 line of the container alone.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 
@@ -31,13 +34,19 @@ class Node:
     cells: list[str] = field(default_factory=list)
 
 
+#: Every container holds its source, so the rows of a text grow as its nesting.
+#: Below level DEPTH, where the level times the characters of a container is more
+#: than NESTED, no further containers are opened: their marks are text.
+DEPTH, NESTED = 100, 1 << 24
+
 _BLANK = re.compile(r"[ \t]*\Z")
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*\Z")
+_ATX = re.compile(r" {0,3}(#{1,6})(?=[ \t]|\Z)")
 _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})\Z")
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*\Z")
-_FENCE = re.compile(r"( {0,3})(`{3,}|~{3,})[ \t]*(.*?)[ \t]*\Z")
+_FENCE = re.compile(r"( {0,3})(`{3,}|~{3,})(.*)\Z")
 _QUOTE = re.compile(r" {0,3}> ?")
 _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])([ \t]+|\Z)")
+_PREFIXES = re.compile(r"(?: {0,3}(?:> ?|(?:[-+*]|\d{1,9}[.)])(?:[ \t]+|\Z)))*")
 _TASK = re.compile(r"\[[ xX]\](?=[ \t])")
 _FOOT = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*")
 _DEFINE = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:\n[ \t]*)?(<[^<>\n]*>|\S+)(?:[ \t]*(?:\n[ \t]*)?(?<=\s)(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|\Z)")
@@ -99,17 +108,16 @@ def _interrupts(line: str) -> bool:
 
 def cells(line: str) -> list[str]:
     """The cells of a row of a table."""
-    row, out, cell, i = line.strip(), [], "", 0
-    row = row[1:] if row.startswith("|") else row
-    while i < len(row):
-        if row[i] == "\\" and row[i + 1 : i + 2] == "|":
-            cell, i = cell + "|", i + 2
-        elif row[i] == "|":
-            out.append(cell.strip())
-            cell, i = "", i + 1
-        else:
-            cell, i = cell + row[i], i + 1
-    return out + [cell.strip()] if cell.strip() else out
+    row = line.strip()
+    out = [x.strip().replace("\\|", "|") for x in re.split(r"(?<!\\)\|", row[1:] if row.startswith("|") else row)]
+    return out if out[-1] else out[:-1]
+
+
+def heading_text(line: str, m: re.Match) -> str:
+    """The text of an ATX heading, without closing marks."""
+    text = line[m.end() :].strip(" \t")
+    bare = text.rstrip("#")
+    return bare.rstrip(" \t") if bare != text and (not bare or bare[-1] in " \t") else text
 
 
 class Parser:
@@ -118,6 +126,8 @@ class Parser:
     def __init__(self) -> None:
         self.defined: dict[str, str] = {}
         self.notes: list[Node] = []
+        self.flat = False
+        self.inside: list[tuple[list[str], list[Node]]] = []  # the containers of the block at hand: their lines, and where their nodes go
 
     def document(self, body: str) -> list[Node]:
         lines = [_expand(x) for x in re.split(r"\r\n|\n|\r", body.replace("\0", "\ufffd"))]
@@ -126,15 +136,27 @@ class Parser:
 
     def blocks(self, lines: list[str]) -> list[Node]:
         out: list[Node] = []
-        i = 0
-        while i < len(lines):
-            line = lines[i]
-            if _BLANK.match(line):
+        stack = [[lines, 0, out, False]]
+        while stack:
+            frame = stack[-1]
+            lines, i, into, self.flat = frame
+            while i < len(lines) and _BLANK.match(lines[i]):
                 i += 1
+            if i >= len(lines):
+                stack.pop()
                 continue
-            i = self._one(lines, i, line, out)
+            self.inside = []
+            frame[1] = self._one(lines, i, lines[i], into)
+            # what is inside of a container comes before what is behind it
+            level = len(stack)
+            stack += [[inner, 0, children, level > DEPTH and level * sum(map(len, inner)) > NESTED] for inner, children in reversed(self.inside)]
         return out
 
+    def _container(self, kind: str, raw: str, inner: list[str], **more: str) -> Node:
+        node = Node(kind, raw, **more)
+        self.inside.append((inner, node.children))
+        return node
+
     def _one(self, lines: list[str], i: int, line: str, out: list[Node]) -> int:
         """Parses the block that begins at line i; the line behind it."""
         if _indent(line) >= 4:
@@ -143,11 +165,13 @@ class Parser:
             if not (m[2][0] == "`" and "`" in m[3]):
                 return self._fenced(lines, i, m, out)
         if m := _ATX.match(line):
-            out.append(Node("heading", line, (m[2] or "").strip(), level=len(m[1])))
+            out.append(Node("heading", line, heading_text(line, m), level=len(m[1])))
             return i + 1
         if _RULE.match(line):
             out.append(Node("thematic_break", line))
             return i + 1
+        if self.flat and (_QUOTE.match(line) or _ITEM.match(line)):
+            return self._paragraph(lines, i, out)
         if _QUOTE.match(line):
             return self._quote(lines, i, out)
         if _ITEM.match(line):
@@ -179,7 +203,7 @@ class Parser:
         if j == len(lines):  # not closed: empty lines at the end of all input aren't part of it
             while text and j == len(lines) and text[-1] == "":
                 text.pop()
-        info = unescape(m[3])
+        info = unescape(m[3].strip(" \t"))
         out.append(Node("code_block", "\n".join(lines[i : j + 1]), "".join(x + "\n" for x in text), info=info))
         return j + 1
 
@@ -195,30 +219,29 @@ class Parser:
         out.append(Node("html", "\n".join(lines[i:j]), "".join(x + "\n" for x in lines[i:j])))
         return j
 
-    def _lazy(self, inner: list[str], line: str) -> bool:
+    def _lazy(self, inner: list[str], fences: int, line: str) -> bool:
         """Whether a line without the container's prefix goes on with its last
-        paragraph."""
-        if not line.strip() or not inner or not inner[-1].strip() or _interrupts(line) or _ITEM.match(line) and line[_ITEM.match(line).end() :].strip():
+        paragraph; ``fences`` counts the fences of its lines."""
+        if fences % 2 or not line.strip() or not inner or not inner[-1].strip() or _interrupts(line) or (m := _ITEM.match(line)) and line[m.end() :].strip():
             return False
         last = inner[-1]
-        while m := _QUOTE.match(last) or _ITEM.match(last):
-            last = last[m.end() :]
-        fences = sum(bool(_FENCE.match(x)) for x in inner)
-        return bool(last.strip()) and not fences % 2 and _indent(last) < 4 and not (_ATX.match(last) or _RULE.match(last) or _FENCE.match(last))
+        last = last[_PREFIXES.match(last).end() :]
+        return bool(last.strip()) and _indent(last) < 4 and not (_ATX.match(last) or _RULE.match(last) or _FENCE.match(last))
 
     def _quote(self, lines: list[str], i: int, out: list[Node]) -> int:
         inner: list[str] = []
-        j = i
+        j, fences = i, 0
         while j < len(lines):
             m = _QUOTE.match(lines[j])
             if m:
                 inner.append(lines[j][m.end() :])
-            elif self._lazy(inner, lines[j]):
+            elif self._lazy(inner, fences, lines[j]):
                 inner.append(lines[j])
             else:
                 break
+            fences += bool(_FENCE.match(inner[-1]))
             j += 1
-        out.append(Node("block_quote", "\n".join(lines[i:j]), children=self.blocks(inner)))
+        out.append(self._container("block_quote", "\n".join(lines[i:j]), inner))
         return j
 
     def _list(self, lines: list[str], i: int, out: list[Node]) -> int:
@@ -237,7 +260,7 @@ class Parser:
             elif pad > 4:
                 rest, pad = " " * (pad - 1) + rest, 1
             width = len(m[1]) + len(m[2]) + pad
-            inner, k = [rest], j + 1
+            inner, k, fences = [rest], j + 1, int(bool(_FENCE.match(rest)))
             while k < len(lines):
                 line = lines[k]
                 if not line.strip():
@@ -246,10 +269,11 @@ class Parser:
                     inner.append("")
                 elif _indent(line) >= width:
                     inner.append(line[width:])
-                elif self._lazy(inner, line):
+                elif self._lazy(inner, fences, line):
                     inner.append(line)
                 else:
                     break
+                fences += bool(_FENCE.match(inner[-1]))
                 k += 1
             last = k
             while inner and not inner[-1].strip() and len(inner) > 1:
@@ -258,7 +282,7 @@ class Parser:
             task = _TASK.match(inner[0])
             if task:
                 inner[0] = inner[0][task.end() :].lstrip(" \t")
-            node.children.append(Node("task_item" if task else "list_item", "\n".join(lines[j:last]), children=self.blocks(inner)))
+            node.children.append(self._container("task_item" if task else "list_item", "\n".join(lines[j:last]), inner))
             j = k
             end = last
         node.raw = "\n".join(lines[i:end])
@@ -267,18 +291,20 @@ class Parser:
 
     def _note(self, lines: list[str], i: int, m: re.Match) -> int:
         inner, j = [lines[i][m.end() :]], i + 1
+        fences = int(bool(_FENCE.match(inner[0])))
         while j < len(lines):
             line = lines[j]
             if not line.strip():
                 inner.append("")
             elif _indent(line) >= 4:
                 inner.append(line[4:])
-            elif not _FOOT.match(line) and self._lazy(inner, line):
+            elif not _FOOT.match(line) and self._lazy(inner, fences, line):
                 inner.append(line)
             else:
                 break
+            fences += bool(_FENCE.match(inner[-1]))
             j += 1
-        self.notes.append(Node("footnote_definition", "\n".join(lines[i:j]).rstrip(), name=m[1], children=self.blocks(inner)))
+        self.notes.append(self._container("footnote_definition", "\n".join(lines[i:j]).rstrip(), inner, name=m[1]))
         return j
 
     def _paragraph(self, lines: list[str], i: int, out: list[Node]) -> int:
@@ -301,13 +327,14 @@ class Parser:
 
     def _define(self, text: str) -> str:
         """Takes link reference definitions off the front of a paragraph."""
-        while m := _DEFINE.match(text):
+        at = 0
+        while m := _DEFINE.match(text, at):
             if m[1].startswith("^"):
                 break
             url = m[2][1:-1] if m[2].startswith("<") else m[2]
             self.defined.setdefault(label(m[1]), unescape(url))
-            text = text[m.end() :]
-        return text
+            at = m.end()
+        return text[at:]
 
     def _text(self, lines: list[str], out: list[Node]) -> None:
         raw = "\n".join(lines)
@@ -335,20 +362,22 @@ class Parser:
         order: list[str] = []
 
         def visit(some: list[Node]) -> None:
-            for n in some:
+            todo = some[::-1]
+            while todo:
+                n = todo.pop()
                 if n.kind in ("heading", "paragraph"):
                     order.extend(label(x) for x in re.findall(r"\[\^([^\]\s]+)\]", n.text))
                 order.extend(label(x) for c in n.cells for x in re.findall(r"\[\^([^\]\s]+)\]", c))
-                visit(n.children)
+                todo += n.children[::-1]
 
         visit(nodes)
         done = 0
-        found: list[str] = []
+        found: dict[str, None] = {}
         while done < len(order):  # a footnote may refer to another
             name = order[done]
             done += 1
             if name in known and name not in found:
-                found.append(name)
+                found[name] = None
                 visit(known[name].children)
         self.used = set(found)
         return nodes + [known[x] for x in found]
@@ -374,10 +403,16 @@ class Link:
 
 
 _AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>|<([\w.!#$%&'*+/=?^`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?)>")
-_TAG = re.compile(rf"{_ONE_TAG}|<!--.*?-->|<\?.*?\?>|<![A-Za-z][^>]*>", re.S)
+_TAG = re.compile(_ONE_TAG)
+_SPANS = (("<!--", "-->"), ("<?", "?>"), ("<!", ">"))
 _BARE = re.compile(r"(?:https?://|ftp://|www\.)[^\s<]+|[A-Za-z0-9._+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")
 _TARGET = re.compile(r"\(\s*(<(?:[^<>\n\\]|\\.)*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.|\([^\s()]*\))*\))*)(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)")
 _PUNCTUATION = re.compile(r"[^\w\s]|_")
+_PLAIN = re.compile(r"[^\\`\n*_~\[\]!<&]+")
+_LINK_START = re.compile(r"(?<=[ \t(])(?:https?://|ftp://|www\.|[A-Za-z0-9._+-]+@)")
+_TICKS = re.compile("`+")
+_NOTE = re.compile(r"\[\^([^\]\s]+)\]")
+_LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.){0,999})\]", re.S)
 
 
 def _bare_end(text: str) -> str:
@@ -402,8 +437,12 @@ class _Inline:
         self.s, self.parser, self.notes = text, parser, notes
         self.pieces: list[str] = []
         self.runs: list[list] = []  # [piece, character, count, opens, closes, first count]
-        self.open: list[tuple[int, bool, int, int, bool]] = []  # (piece, image, source position, runs so far, active)
+        self.open: list[tuple[int, bool, int, int]] = []  # (piece, image, source position, runs so far)
+        self.inactive, self.live = 0, 0  # brackets below can't be links any more; brackets above that may be links
         self.links: list[Link] = []
+        self.next_link = -1
+        self.absent: set[str] = set()  # ends that don't occur any more
+        self.ticks: dict[int, list[int]] | None = None
 
     def run(self) -> "_Inline":
         s, i, n = self.s, 0, len(self.s)
@@ -429,12 +468,13 @@ class _Inline:
             elif c in "*_~":
                 i = self._delimiter(i)
             elif c == "[" or c == "!" and s[i + 1 : i + 2] == "[":
-                m = re.compile(r"\[\^([^\]\s]+)\]").match(s, i)
+                m = _NOTE.match(s, i) if self.notes else None
                 if m and label(m[1]) in self.notes:
                     i = m.end()
                     continue
                 size = 1 + (c == "!")
-                self.open.append((len(self.pieces), c == "!", i + size, len(self.runs), True))
+                self.open.append((len(self.pieces), c == "!", i + size, len(self.runs)))
+                self.live += c == "["
                 self.pieces.append(s[i : i + size])
                 i += size
             elif c == "]":
@@ -444,12 +484,12 @@ class _Inline:
                 self.links.append(Link(False, text if m[1] else f"mailto:{text}", text, i))
                 self.pieces.append(text)
                 i = m.end()
-            elif c == "<" and (m := _TAG.match(s, i)):
-                i = m.end()
+            elif c == "<" and (end := self._tag(i)):
+                i = end
             elif c == "&" and (m := _ESCAPE.match(s, i)):
                 self.pieces.append(html.unescape(m[2]))
                 i = m.end()
-            elif (c.isalnum()) and (i == 0 or s[i - 1] in " \t\n*_~(") and not any(o[4] and not o[1] for o in self.open) and (m := _BARE.match(s, i)) and (text := _bare_end(m[0])):
+            elif (c.isalnum()) and (i == 0 or s[i - 1] in " \t\n*_~(") and not self.live and (m := _BARE.match(s, i)) and (text := _bare_end(m[0])):
                 mail = "@" in text and not re.match(r"https?:|ftp:|www\.", text)
                 if text in ("www", "http://", "https://", "ftp://") or mail and not re.search(r"@.*\..*[A-Za-z0-9]\Z", text):
                     self.pieces.append(c)
@@ -459,10 +499,11 @@ class _Inline:
                     self.pieces.append(text)
                     i += len(text)
             else:
-                m = re.compile(r"[^\\`\n*_~\[\]!<&]+").match(s, i)
+                if self.next_link <= i:
+                    b = _LINK_START.search(s, i + 1)
+                    self.next_link = b.start() if b else n
+                m = _PLAIN.match(s, i, self.next_link)
                 end = m.end() if m else i + 1
-                if m and (b := _BARE.search(s, i + 1, n)) and b.start() < end:
-                    end = max(b.start(), i + 1)
                 self.pieces.append(s[i:end])
                 i = end
         self._emphasis(0)
@@ -474,18 +515,40 @@ class _Inline:
             i += 1
         return i
 
+    def _tag(self, i: int) -> int:
+        """The end of a tag, comment, instruction or declaration, or 0."""
+        s = self.s
+        for begin, shut in _SPANS:
+            if s.startswith(begin, i):
+                if shut in self.absent or begin == "<!" and not ("A" <= s[i + 2 : i + 3].upper() <= "Z"):
+                    return 0
+                end = s.find(shut, i + len(begin))
+                if end < 0:
+                    self.absent.add(shut)
+                    return 0
+                return end + len(shut)
+        m = None if ">" in self.absent else _TAG.match(s, i)
+        if m is None and ">" not in self.absent and s.find(">", i) < 0:
+            self.absent.add(">")
+        return m.end() if m else 0
+
     def _code(self, i: int) -> int:
         s = self.s
-        n = len(re.compile("`+").match(s, i)[0])
-        for m in re.compile("`+").finditer(s, i + n):
-            if len(m[0]) == n:
-                text = s[i + n : m.start()].replace("\n", " ")
-                if len(text) > 1 and text[0] == text[-1] == " " and text.strip():
-                    text = text[1:-1]
-                self.pieces.append(f"`{text}`")
-                return m.end()
-        self.pieces.append("`" * n)
-        return i + n
+        if self.ticks is None:
+            self.ticks = {}
+            for m in _TICKS.finditer(s):
+                self.ticks.setdefault(m.end() - m.start(), []).append(m.start())
+        n = _TICKS.match(s, i).end() - i
+        same = self.ticks.get(n, [])
+        k = bisect_left(same, i + n)
+        if k == len(same):
+            self.pieces.append("`" * n)
+            return i + n
+        text = s[i + n : same[k]].replace("\n", " ")
+        if len(text) > 1 and text[0] == text[-1] == " " and text.strip():
+            text = text[1:-1]
+        self.pieces.append(f"`{text}`")
+        return same[k] + n
 
     def _delimiter(self, i: int) -> int:
         s, c, j = self.s, self.s[i], i
@@ -505,54 +568,58 @@ class _Inline:
         return j
 
     def _emphasis(self, bottom: int) -> None:
-        k = bottom
-        while k < len(self.runs):
+        """Pairs delimiter runs from ``bottom`` on. ``before`` links the runs
+        that may still open; ``floor`` says, for runs that close alike, below
+        which none of these fits."""
+        before: dict[int, int] = {}
+        floor: dict[tuple[str, bool, int], int] = {}
+        last = -1
+        for k in range(bottom, len(self.runs)):
             shut = self.runs[k]
-            if not shut[4] or not shut[2]:
-                k += 1
-                continue
-            for o in range(k - 1, bottom - 1, -1):
+            while shut[4] and shut[2]:
+                key = (shut[1], shut[3], shut[2] if shut[1] == "~" else shut[5] % 3)
+                o, stop = last, floor.get(key, -1)
+                while o > stop and not self._fits(self.runs[o], shut):
+                    o = before[o]
+                if o <= stop:
+                    floor[key] = last
+                    break
                 start = self.runs[o]
-                if start[1] != shut[1] or not start[3] or not start[2]:
-                    continue
-                if shut[1] == "~":
-                    if start[2] != shut[2]:
-                        continue
-                    used = start[2]
-                elif (start[4] or shut[3]) and (start[5] + shut[5]) % 3 == 0 and (start[5] % 3 or shut[5] % 3):
-                    continue
-                else:
-                    used = 2 if start[2] >= 2 and shut[2] >= 2 else 1
+                used = shut[2] if shut[1] == "~" else 2 if start[2] >= 2 and shut[2] >= 2 else 1
                 for r in (start, shut):
                     r[2] -= used
                     self.pieces[r[0]] = r[1] * r[2]
-                for r in self.runs[o + 1 : k]:
-                    r[3] = r[4] = False
-                break
-            else:
-                if not shut[3]:
-                    shut[4] = False
-                k += 1
-                continue
-            if not shut[2]:
-                k += 1
+                last = o if start[2] else before[o]
+            if shut[3] and shut[2]:
+                before[k], last = last, k
         del self.runs[bottom:]
 
+    @staticmethod
+    def _fits(start: list, shut: list) -> bool:
+        if start[1] != shut[1]:
+            return False
+        if shut[1] == "~":
+            return start[2] == shut[2]
+        return not ((start[4] or shut[3]) and (start[5] + shut[5]) % 3 == 0 and (start[5] % 3 or shut[5] % 3))
+
     def _close(self, i: int) -> int:
         if not self.open:
             self.pieces.append("]")
             return i + 1
-        piece, image, start, runs, active = self.open.pop()
+        piece, image, start, runs = self.open.pop()
+        active = image or len(self.open) >= self.inactive
+        self.inactive = min(self.inactive, len(self.open))
         if not active:
             self.pieces.append("]")
             return i + 1
+        self.live -= not image
         s, url, end = self.s, None, i + 1
         if m := _TARGET.match(s, i + 1):
             target = m[1]
             url, end = unescape(target[1:-1] if target.startswith("<") else target), m.end()
         elif self.parser.defined:
-            m = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]").match(s, i + 1)
-            name = m[1] if m and m[1].strip() else s[start:i]
+            m = _LABEL.match(s, i + 1)
+            name = m[1] if m and m[1].strip() else s[start:i] if i - start < 1000 else ""
             url = self.parser.defined.get(label(name))
             if url is not None and m:
                 end = m.end()
@@ -561,10 +628,11 @@ class _Inline:
             return i + 1
         self._emphasis(runs)
         self.pieces[piece] = ""
-        anchor = "".join(self.pieces[piece:]).strip()
-        self.links.append(Link(image, url, anchor, start))
-        if not image:
-            self.open = [(a, b, c, d, e and b) for a, b, c, d, e in self.open]
+        anchor = "".join(self.pieces[piece:])
+        self.pieces[piece:] = [anchor]  # one piece from now on
+        self.links.append(Link(image, url, anchor.strip(), start))
+        if not image:  # links aren't nested
+            self.inactive, self.live = len(self.open), 0
         return end
 
 

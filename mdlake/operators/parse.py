@@ -33,17 +33,31 @@ class _Walk:
         self.blocks: list[dict] = []
         self.links: list[dict] = []
 
-    def visit(self, nodes: list[M.Node], parents: list[int]) -> str:
-        """Emits the blocks below; the plain text of all of them, one after
-        another without anything between."""
-        text = []
-        for n in nodes:
+    def visit(self, nodes: list[M.Node]) -> str:
+        """Emits all blocks; the plain text of all of them, one after another
+        without anything between."""
+        top: list[str] = []
+        # (nodes to come, text so far, node, its block, ordinal of the block around, depth)
+        stack: list[tuple] = [(iter(nodes), top, None, None, None, 0)]
+        while stack:
+            todo, text, node, block, parent, depth = stack[-1]
+            n = next(todo, None)
+            if n is None:
+                stack.pop()
+                if node is not None:
+                    own = "".join(text)
+                    stack[-1][1].append(own)
+                    if block is not None:
+                        block["text_content"] = f"[^{node.name}]: {own.strip()}" if node.kind == "footnote_definition" else own.strip()
+                continue
             if n.kind == "task_item":  # isn't a block itself; what is in it belongs to the list
-                text.append(self.visit(n.children, parents))
+                stack.append((iter(n.children), [], n, None, parent, depth))
                 continue
-            block = {"ordinal": len(self.blocks), "parent": parents[-1] if parents else None, "depth": len(parents), "block_type": n.kind, "heading_level": n.level, "language": None, "list_ordered": n.ordered}
+            block = {"ordinal": len(self.blocks), "parent": parent, "depth": depth, "block_type": n.kind, "heading_level": n.level, "language": None, "list_ordered": n.ordered, "raw_markdown": n.raw.strip()}
             self.blocks.append(block)
-            if n.kind in ("heading", "paragraph", "table"):
+            if n.kind in ("list", "list_item", "block_quote", "footnote_definition"):
+                stack.append((iter(n.children), [], n, block, block["ordinal"], depth + 1))
+            elif n.kind in ("heading", "paragraph", "table"):
                 parts = []
                 for source in n.cells if n.kind == "table" else [n.text]:
                     plain, links = M.inline(source, self.parser)
@@ -52,38 +66,33 @@ class _Walk:
                 own = "".join(parts)
                 block["text_content"] = own.strip()
                 text.append(own)
-            elif n.kind in ("list", "list_item", "block_quote", "footnote_definition"):
-                own = self.visit(n.children, [*parents, block["ordinal"]])
-                block["text_content"] = f"[^{n.name}]: {own.strip()}" if n.kind == "footnote_definition" else own.strip()
-                text.append(own)
             elif n.kind == "thematic_break":
-                block["text_content"] = ""
-            else:
-                block["text_content"] = n.text
-            block["raw_markdown"] = n.raw.strip()
-            if n.kind == "thematic_break":
-                block["raw_markdown"] = "---"
+                block["text_content"], block["raw_markdown"] = "", "---"
             elif n.kind == "code_block":
-                block["language"] = (n.info.split() or [None])[0]
+                block["text_content"], block["language"] = n.text, (n.info.split() or [None])[0]
                 block["raw_markdown"] = f"```{n.info}\n{n.text}" + ("" if n.text.endswith("\n") else "\n") + "```"
-            elif n.kind == "html":
-                block["raw_markdown"] = n.text
-        return "".join(text)
+            else:
+                block["text_content"] = block["raw_markdown"] = n.text
+        return "".join(top)
 
 
 def parse_one(content: str) -> dict:
     """Title, frontmatter, blocks, links and tags of one text; ``error`` and
-    nothing else where its frontmatter is invalid."""
-    matter = None
+    nothing else where its frontmatter is invalid, or anything else fails, so
+    that no text stops a job."""
+    try:
+        return _parsed(content)
+    except Exception as e:  # noqa: BLE001 - the row says what
+        text = str(e) if isinstance(e, frontmatter.FrontmatterError) else f"{type(e).__name__}: {e}"
+        return {"title": None, "frontmatter": None, "error": text, "blocks": [], "links": [], "tags": []}
+
+
+def _parsed(content: str) -> dict:
     yaml, body = frontmatter.split(content)
-    if yaml is not None:
-        try:
-            matter = frontmatter.load(yaml)
-        except frontmatter.FrontmatterError as e:
-            return {"title": None, "frontmatter": None, "error": str(e), "blocks": [], "links": [], "tags": []}
+    matter = None if yaml is None else frontmatter.load(yaml)
     parser = M.Parser()
     walk = _Walk(parser)
-    walk.visit(parser.document(body), [])
+    walk.visit(parser.document(body))
     links = walk.links + [{"block": None, "target": t, "link_type": "wiki_link", "anchor_text": a} for t, a in M.wiki_links(body)]
     title = frontmatter.title(matter) or next((b["text_content"] for b in walk.blocks if b["heading_level"] == 1), None)
     return {

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from mdlake.functions import frontmatter as FM, markdown as M
@@ -162,3 +164,34 @@ def test_never_fails():
         text = "".join(rng.choice(["a", " ", "\n", "- ", "> ", "#", "```", "[", "]", "(", ")", "*", "_", "|", "---", "<", "!", "\\", "1. ", "[^a]", ":", "\t", "é", "&amp;", "~~", "[[", "]]"]) for _ in range(60))
         r = parse_one(text)
         assert all(b["parent"] is None or b["parent"] < b["ordinal"] for b in r["blocks"])
+
+
+HARD = {
+    "quotes": ">" * 3000 + " x", "lists": "- " * 2000 + "x", "list of rules": "* " * 30_000 + "x", "emphasis": "*a " * 20_000, "mixed": "a**b" + "c* " * 20_000, "ticks": " ".join("`" * i for i in range(1, 1500)), "brackets": "[a" * 20_000 + "]" * 20_000,
+    "targets": "[a](b" * 20_000, "one word": "a" * 200_000, "addresses": "a@" * 30_000, "bare links": "http://a.b " * 20_000, "comments": "<!--" * 20_000, "declarations": "<!A " * 20_000, "tags": "<a " * 20_000, "spaces": "# " + " " * 50_000 + "x",
+    "fence": "```" + " " * 50_000 + "x", "lazy lines": "> a\n" + "b\n" * 20_000, "definitions": "\n".join(f"[r{i}]: /u" for i in range(20_000)), "notes": "\n".join(f"[^{i}]: n [^{i + 1}]" for i in range(5000)) + "\n\n[^0]", "cells": "|".join("a" * 30_000),
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_texts_end_soon(name):
+    began = time.perf_counter()
+    row = parse_one(HARD[name])
+    assert row["error"] is None and row["blocks"] and time.perf_counter() - began < 5
+
+
+def test_deep_nesting():
+    row = parse_one(">" * 3000 + " x")
+    assert len(row["blocks"]) == 3001 and row["blocks"][-1]["depth"] == 3000 and all(b["text_content"] == "x" for b in row["blocks"])
+    row = parse_one("- " * 2000 + "x")
+    assert len(row["blocks"]) == 4001 and row["blocks"][-1]["parent"] == 3999
+    row = parse_one("* " * 30_000 + "x")  # beyond the bound the marks are text
+    assert row["blocks"][-1]["block_type"] == "paragraph" and row["blocks"][-1]["text_content"].endswith("* x")
+
+
+def test_any_failure_is_a_row(monkeypatch):
+    from mdlake.functions import markdown
+
+    monkeypatch.setattr(markdown.Parser, "document", lambda *_: 1 // 0)
+    row = parse_one("# x")
+    assert row["error"].startswith("ZeroDivisionError") and row["blocks"] == []
