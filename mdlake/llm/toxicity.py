@@ -456,7 +456,9 @@ def fit(docs: DataFrame, labels: DataFrame, **params: Any) -> Model:
         if total > p["max_words"]:
             break
         ids.append(doc)
-    rows = found.where(F.col("doc_id").isin(ids)).toArrow().to_pandas()
+    if len(ids) < len(sizes):
+        found = found.join(F.broadcast(spark.createDataFrame([(x,) for x in ids], "doc_id long")), "doc_id", "left_semi")
+    rows = found.toArrow().to_pandas()
     rows = rows.sort_values("doc_id", ignore_index=True) if len(rows) else rows
     tally = {r[0]: r[1] for r in labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("toxic").cast("int")).count().collect()}
     prior = tally.get(1, 0) / max(sum(tally.values()), 1)
