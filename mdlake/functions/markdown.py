@@ -16,6 +16,7 @@ import html
 import re
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from typing import Iterator
 
 
 @dataclass
@@ -362,13 +363,10 @@ class Parser:
         order: list[str] = []
 
         def visit(some: list[Node]) -> None:
-            todo = some[::-1]
-            while todo:
-                n = todo.pop()
+            for n in preorder(some):
                 if n.kind in ("heading", "paragraph"):
                     order.extend(label(x) for x in re.findall(r"\[\^([^\]\s]+)\]", n.text))
                 order.extend(label(x) for c in n.cells for x in re.findall(r"\[\^([^\]\s]+)\]", c))
-                todo += n.children[::-1]
 
         visit(nodes)
         done = 0
@@ -383,6 +381,14 @@ class Parser:
         return nodes + [known[x] for x in found]
 
 
+def preorder(nodes: list[Node]) -> Iterator[Node]:
+    todo = nodes[::-1]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += n.children[::-1]
+
+
 def label(text: str) -> str:
     return " ".join(text.split()).casefold()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -76,42 +76,53 @@ class _Walk:
         return "".join(top)
 
 
-def parse_one(content: str) -> dict:
+TABLES = ("blocks", "links", "tags")
+
+
+def parse_one(content: str, want: Collection[str] = TABLES) -> dict:
     """Title, frontmatter, blocks, links and tags of one text; ``error`` and
     nothing else where its frontmatter is invalid, or anything else fails, so
-    that no text stops a job."""
+    that no text stops a job. Only the tables wanted are filled."""
     try:
-        return _parsed(content)
+        return _parsed(content, want)
     except Exception as e:  # noqa: BLE001 - the row says what
         text = str(e) if isinstance(e, frontmatter.FrontmatterError) else f"{type(e).__name__}: {e}"
         return {"title": None, "frontmatter": None, "error": text, "blocks": [], "links": [], "tags": []}
 
 
-def _parsed(content: str) -> dict:
+def _parsed(content: str, want: Collection[str]) -> dict:
     yaml, body = frontmatter.split(content)
     matter = None if yaml is None else frontmatter.load(yaml)
     parser = M.Parser()
-    walk = _Walk(parser)
-    walk.visit(parser.document(body))
-    links = walk.links + [{"block": None, "target": t, "link_type": "wiki_link", "anchor_text": a} for t, a in M.wiki_links(body)]
-    title = frontmatter.title(matter) or next((b["text_content"] for b in walk.blocks if b["heading_level"] == 1), None)
+    title, blocks, links = frontmatter.title(matter), [], []
+    if "blocks" in want or "links" in want:
+        walk = _Walk(parser)
+        walk.visit(parser.document(body))
+        blocks = walk.blocks
+        links = walk.links + [{"block": None, "target": t, "link_type": "wiki_link", "anchor_text": a} for t, a in M.wiki_links(body)]
+        title = title or next((b["text_content"] for b in blocks if b["heading_level"] == 1), None)
+    elif "title" in want and title is None:
+        first = next((n for n in M.preorder(parser.document(body)) if n.level == 1), None)
+        title = first and M.inline(first.text, parser)[0].strip()
     return {
         "title": title,
         "frontmatter": None if matter is None else frontmatter.dumps(matter),
         "error": None,
-        "blocks": walk.blocks,
-        "links": [{"seq": i, **x} for i, x in enumerate(links)],
-        "tags": [{"seq": i, "key": k, "value": v} for i, (k, v) in enumerate(frontmatter.tags(matter))],
+        "blocks": blocks if "blocks" in want else [],
+        "links": [{"seq": i, **x} for i, x in enumerate(links)] if "links" in want else [],
+        "tags": [{"seq": i, "key": k, "value": v} for i, (k, v) in enumerate(frontmatter.tags(matter))] if "tags" in want else [],
     }
 
 
-def parse(docs: DataFrame) -> DataFrame:
+def parse(docs: DataFrame, want: Collection[str] = ("title", *TABLES)) -> DataFrame:
     """(path, content) to one nested row per document. A null content is an
-    empty document, a null path is no document; other columns are ignored."""
+    empty document, a null path is no document; other columns are ignored. What
+    isn't wanted (``title``, ``blocks``, ``links``, ``tags``) may stay empty and
+    isn't parsed for its own sake."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = [parse_one(x or "") for x in batch.column("content").to_pylist()]
+            rows = [parse_one(x or "", want) for x in batch.column("content").to_pylist()]
             columns = [batch.column("path"), batch.column("content_hash"), *(pa.array([r[f.name] for r in rows], f.type) for f in list(_OUT)[2:])]
             yield pa.record_batch(columns, schema=_OUT)
 
@@ -129,23 +140,35 @@ def doc_id(path: Column) -> Column:
     return uuid_of(path)
 
 
+#: What each table needs of a parse.
+_NEEDS = {"documents": ("title",), "blocks": ("blocks",), "links": ("links",), "tags": ("tags",)}
+
+
+def tables_of(docs: DataFrame) -> dict[str, DataFrame]:
+    """The four tables of (path, content) rows, each with a column ``path`` and
+    each by a parse of its own that makes nothing but that table: for queries
+    that read one table. What reads several should parse once, see ``tables``."""
+    return {name: tables(parse(docs, want))[name] for name, want in _NEEDS.items()}
+
+
 def tables(parsed: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
-    """The four tables of parsed rows. Rows with an error are left out."""
+    """The four tables of parsed rows, each with the column ``path``. Rows with
+    an error are left out."""
     good = parsed.where("error is null").withColumn("doc_id", doc_id(F.col("path")))
     now = F.current_timestamp() if now is None else now
     part = lambda kind, seq: uuid_of(F.col("doc_id"), F.lit(kind), seq.cast("string"))
-    block = good.select("doc_id", F.inline("blocks"))
-    link = good.select("doc_id", F.inline("links"))
-    tag = good.select("doc_id", F.inline("tags"))
+    block = good.select("doc_id", "path", F.inline("blocks"))
+    link = good.select("doc_id", "path", F.inline("links"))
+    tag = good.select("doc_id", "path", F.inline("tags"))
     return {
         "documents": good.select("doc_id", "path", "title", "frontmatter", "content_hash", now.alias("created_at"), now.alias("updated_at"), F.lit(1).cast("long").alias("version")),
         "blocks": block.select(
             part("block", F.col("ordinal")).alias("block_id"), "doc_id", "block_type", "heading_level", "language", "list_ordered", "depth", "ordinal",
-            F.when(F.col("parent").isNotNull(), part("block", F.col("parent"))).alias("parent_block_id"), "text_content", "raw_markdown",
+            F.when(F.col("parent").isNotNull(), part("block", F.col("parent"))).alias("parent_block_id"), "text_content", "raw_markdown", "path",
         ),
         "links": link.select(
             part("link", F.col("seq")).alias("link_id"), F.col("doc_id").alias("source_doc_id"), F.when(F.col("block").isNotNull(), part("block", F.col("block"))).alias("source_block_id"),
-            "target", F.lit(None).cast("string").alias("target_doc_id"), "link_type", "anchor_text",
+            "target", F.lit(None).cast("string").alias("target_doc_id"), "link_type", "anchor_text", "path",
         ),
-        "tags": tag.select(part("tag", F.col("seq")).alias("tag_id"), "doc_id", "key", "value"),
+        "tags": tag.select(part("tag", F.col("seq")).alias("tag_id"), "doc_id", "key", "value", "path"),
     }

@@ -37,6 +37,14 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores, so that work
+    on its rows isn't done by one task where a file has a single row group; a
+    table of many files or groups stays as it is and isn't shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 @contextmanager
 def scratch() -> Iterator[list[str]]:
     """The paths of the tables that are ``written`` inside of the block, in

@@ -31,15 +31,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return P.tables(P.parse(corpus.parts(spark, sf_dir)))
+    return P.tables_of(corpus.parts(spark, sf_dir))
 
 
 def _places(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return P.tables(P.parse(corpus.places(spark, sf_dir)))
-
-
-def _with_path(t: dict[str, DataFrame], name: str, key: str = "doc_id") -> DataFrame:
-    return t[name].join(t["documents"].select(F.col("doc_id").alias(key), "path"), key)
+    return P.tables_of(corpus.places(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +64,13 @@ def document_count(spark, sf_dir):
     return _parts(spark, sf_dir)["documents"].agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query(f"SELECT 'part/' || p_partkey || '.md' AS path, {_TITLE} AS title, CAST(8 AS INTEGER) AS n_blocks, CAST(4 AS INTEGER) + CAST(p_partkey % 2 = 0 AS INTEGER) AS n_tags FROM part WHERE p_partkey = 8")
+@query(f"SELECT 'part/' || p_partkey || '.md' AS path, {_TITLE} AS title, CAST(9 AS INTEGER) AS n_blocks, CAST(4 AS INTEGER) + CAST(p_partkey % 2 = 0 AS INTEGER) AS n_tags FROM part WHERE p_partkey = 8")
 def full_document(spark, sf_dir):
     t = _parts(spark, sf_dir)
     return B.full_document(t["documents"], t["blocks"], t["tags"], "part/8.md").select("path", "title", F.size("blocks").alias("n_blocks"), F.size("tags").alias("n_tags"))
 
 
-@query("SELECT 'part/' || p_partkey || '.md' AS path, CAST(10 AS BIGINT) AS blocks, CAST(1 AS BIGINT) AS links, CAST(4 + CAST(p_partkey % 2 = 0 AS INTEGER) AS BIGINT) AS tags FROM part")
+@query("SELECT 'part/' || p_partkey || '.md' AS path, CAST(9 AS BIGINT) AS blocks, CAST(1 AS BIGINT) AS links, CAST(4 + CAST(p_partkey % 2 = 0 AS INTEGER) AS BIGINT) AS tags FROM part")
 def ingest_counts(spark, sf_dir):
     t = _parts(spark, sf_dir)
     return B.counts(t["documents"], t["blocks"], t["links"], t["tags"]).drop("doc_id")
@@ -109,30 +105,28 @@ _BLOCKS = f"""WITH p AS ({_PARTS}), b AS (
   UNION ALL SELECT path, 7, 1, 'list_item', NULL, 'by ' || p_type, 4 FROM p
   UNION ALL SELECT path, 8, 2, 'paragraph', NULL, 'by ' || p_type, 7 FROM p)
 """
-ORACLE["full_document"] = ORACLE["full_document"].replace("CAST(8 AS", "CAST(9 AS")
-ORACLE["ingest_counts"] = ORACLE["ingest_counts"].replace("CAST(10 AS", "CAST(9 AS")
 
 
 @query(_BLOCKS + "SELECT path, ordinal, depth, block_type, heading_level, text_content FROM b")
 def all_blocks(spark, sf_dir):
-    return _with_path(_parts(spark, sf_dir), "blocks").select("path", "ordinal", "depth", "block_type", "heading_level", "text_content")
+    return _parts(spark, sf_dir)["blocks"].select("path", "ordinal", "depth", "block_type", "heading_level", "text_content")
 
 
 @query(_BLOCKS + "SELECT path, ordinal, text_content FROM b WHERE block_type = 'list_item'")
 def blocks_by_type(spark, sf_dir):
-    return B.query_blocks(_with_path(_parts(spark, sf_dir), "blocks"), kind="ListItem").select("path", "ordinal", "text_content")
+    return B.query_blocks(_parts(spark, sf_dir)["blocks"], kind="ListItem").select("path", "ordinal", "text_content")
 
 
 @query("SELECT 'conversation/' || conv_id || '.md' AS path, CAST(1 + 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 2 AS INTEGER) AS ordinal, 'Turn ' || turn AS text_content FROM conversations")
 def blocks_heading_level(spark, sf_dir):
-    t = P.tables(P.parse(corpus.conversations(spark, sf_dir)))
-    return B.query_blocks(_with_path(t, "blocks"), heading_level=2).select("path", "ordinal", "text_content")
+    t = P.tables_of(corpus.conversations(spark, sf_dir))
+    return B.query_blocks(t["blocks"], heading_level=2).select("path", "ordinal", "text_content")
 
 
 @query("SELECT 'conversation/' || conv_id || '.md' AS path, role AS language, text || chr(10) AS text_content FROM conversations WHERE role = 'user'")
 def code_blocks_by_language(spark, sf_dir):
-    t = P.tables(P.parse(corpus.conversations(spark, sf_dir)))
-    return B.query_blocks(_with_path(t, "blocks"), language="user").select("path", "language", "text_content")
+    t = P.tables_of(corpus.conversations(spark, sf_dir))
+    return B.query_blocks(t["blocks"], language="user").select("path", "language", "text_content")
 
 
 @query(_BLOCKS + "SELECT ordinal, block_type, depth FROM b WHERE path = 'part/7.md'")
@@ -143,7 +137,7 @@ def blocks_by_doc(spark, sf_dir):
 
 @query(_BLOCKS + "SELECT c.path, c.ordinal, p.ordinal AS parent_ordinal, p.block_type AS parent_type FROM b c JOIN b p ON c.path = p.path AND c.parent = p.ordinal")
 def block_parents(spark, sf_dir):
-    rows = _with_path(_parts(spark, sf_dir), "blocks")
+    rows = _parts(spark, sf_dir)["blocks"]
     up = rows.select(F.col("block_id").alias("parent_block_id"), F.col("ordinal").alias("parent_ordinal"), F.col("block_type").alias("parent_type"))
     return rows.join(up, "parent_block_id").select("path", "ordinal", "parent_ordinal", "parent_type")
 
@@ -161,7 +155,7 @@ SELECT path, 0 AS ordinal, '# Part ' || p_name AS raw_markdown FROM p UNION ALL
 UNION ALL SELECT path, 3, {_FENCE} || 'sql' || chr(10) || 'SELECT ' || p_partkey || ';' || chr(10) || {_FENCE} FROM p UNION ALL SELECT path, 4, '- type ' || p_type || chr(10) || '- ' || by_link FROM p
 UNION ALL SELECT path, 5, '- type ' || p_type FROM p UNION ALL SELECT path, 6, 'type ' || p_type FROM p UNION ALL SELECT path, 7, '- ' || by_link FROM p UNION ALL SELECT path, 8, by_link FROM p""")
 def raw_markdown(spark, sf_dir):
-    return _with_path(_parts(spark, sf_dir), "blocks").select("path", "ordinal", "raw_markdown")
+    return _parts(spark, sf_dir)["blocks"].select("path", "ordinal", "raw_markdown")
 
 
 # Tags, titles and links
@@ -171,7 +165,7 @@ def raw_markdown(spark, sf_dir):
 SELECT path, 'title' AS key, '"' || p_name || '"' AS value FROM p WHERE p_partkey % 2 = 0 UNION ALL SELECT path, 'brand', '"' || p_brand || '"' FROM p UNION ALL SELECT path, 'size', CAST(p_size AS VARCHAR) FROM p
 UNION ALL SELECT path, 'tags', '"' || p_type || '"' FROM p UNION ALL SELECT path, 'tags', '"' || p_brand || '"' FROM p""")
 def tags_flattened(spark, sf_dir):
-    return _with_path(_parts(spark, sf_dir), "tags").select("path", "key", "value")
+    return _parts(spark, sf_dir)["tags"].select("path", "key", "value")
 
 
 @query(f"SELECT 'part/' || p_partkey || '.md' AS path, {_TITLE} AS title, p_partkey % 2 = 0 AS from_key FROM part")
@@ -188,7 +182,7 @@ _LINKS = """WITH l AS (
 
 @query(_LINKS + "SELECT path, target, anchor_text FROM l WHERE link_type = 'wiki_link'")
 def wiki_links(spark, sf_dir):
-    return _with_path(_places(spark, sf_dir), "links", "source_doc_id").where("link_type = 'wiki_link'").select("path", "target", "anchor_text")
+    return _places(spark, sf_dir)["links"].where("link_type = 'wiki_link'").select("path", "target", "anchor_text")
 
 
 @query(_LINKS + "SELECT link_type, count(*) AS links FROM l GROUP BY link_type")
@@ -205,7 +199,7 @@ def links_from(spark, sf_dir):
 @query(_LINKS + "SELECT path, anchor_text FROM l WHERE target = 'nation/NATION_3'")
 def links_to(spark, sf_dir):
     t = _places(spark, sf_dir)
-    return B.links_to(_with_path(t, "links", "source_doc_id"), "nation/NATION_3").select("path", "anchor_text")
+    return B.links_to(t["links"], "nation/NATION_3").select("path", "anchor_text")
 
 
 # Mutation and versions
@@ -464,7 +458,7 @@ def shortest_path(spark, sf_dir):
 def mql_select(spark, sf_dir):
     t = _parts(spark, sf_dir)
     rows = mql.plan("SELECT blocks WHERE block_type = 'heading' AND level = 2", t.__getitem__)
-    return rows.join(t["documents"].select("doc_id", "path"), "doc_id").select("path", "ordinal", "text_content")
+    return rows.select("path", "ordinal", "text_content")
 
 
 @query(f"SELECT 'part/' || p_partkey || '.md' AS path, {_TITLE} AS title FROM part ORDER BY path LIMIT 5")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mdlake.operators.shared import spread
+
 _FENCE = "```"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers link to their nation (wiki links) and segment, nations to their
     region."""
-    nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
+    nation, region = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("nation", "region"))
     customer = _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     own = customer.selectExpr("concat('customer/', c_custkey) AS path", "concat('# ', replace(c_name, '#', '-'), '\\n\\nLives in [[nation/', n_name, '|', n_name, ']], buys for [', c_mktsegment, '](segment/', c_mktsegment, ').\\n') AS content")
     of = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("concat('nation/', n_name) AS path", "concat('# ', n_name, '\\n\\nPart of [[region/', r_name, ']].\\n') AS content")

@@ -165,7 +165,7 @@ class Store:
             bad = parsed.where("error is not null").select("path", "error").first() if on_error == "raise" else None
             if bad:
                 raise ParseError(f"{bad['path']}: {bad['error']}")
-            rows = P.tables(parsed)
+            rows = {name: df.select(*schema.TABLES[name].names) for name, df in P.tables(parsed).items()}
             old = self.snapshot().documents.select("doc_id", F.col("created_at").alias("_was"), F.col("version").alias("_had"))
             new = rows["documents"].join(old, "doc_id", "left")
             rows["documents"] = new.withColumns({"created_at": F.coalesce("_was", "created_at"), "version": F.coalesce(F.col("_had") + 1, "version")}).select(*schema.DOCUMENTS.names)
