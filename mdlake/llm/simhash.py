@@ -3,24 +3,30 @@
 A document's fingerprint has 128 bits: each bit is the majority, over its
 distinct folded words, of that bit of the word's hash. Equal fingerprints are
 one point from then on. Each of ``tables`` hash tables groups the points by
-``bits`` coordinates drawn at random (a fixed permutation per table). A bucket
-of more than ``cap`` points is split by the next coordinates of its table's
-permutation until it fits; every pair within a final bucket has its distance
-verified, and a bucket passes on a spanning forest of its pairs within
-``max_distance`` (which has the same connected components as all its pairs).
+``bits`` coordinates drawn at random (a fixed permutation per table). Within a
+bucket all pairs at distance ``max_distance`` or less are found, as far as
+connected components need them (see ``forest``), with no limit on partners.
 Groups are the components over all tables; the least (doc_id, text hash) of a
 group stays.
 
 A pair at distance d meets in one table with probability (1 - d/128)^bits, so
-for the default parameters in any of them with probability 0.999 at d = 15 and
+with 32 tables of 13 bits in any of them with probability 0.999 at d = 15 and
 0.94 at d = 22; distances of copies with some words changed are mostly 5 to 15.
-A split raises ``bits`` for the points of its bucket and no table makes up for
-it: at 16 bits, 0.991 at d = 15 and 0.80 at d = 22. On average buckets are full
-at 2^bits * cap points, about 3 million.
+So that buckets don't grow with the corpus, ``bits`` rises by one whenever the
+number of points doubles beyond ``bucket`` times 2^bits, and so that recall
+doesn't fall with it, ``tables`` rises to keep the probability at
+``max_distance`` (``plan``): recall is the same at every size, and work a point
+grows as the points to the power 0.27.
+
+A bucket of more than ``cap`` points, as hardly any but a dense cluster makes
+it, is split by the next coordinates of its table's permutation until it fits.
+That is what bounds a task; the pairs that a split parts are looked for in as
+many further tables as restore the probability for the points concerned.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Any, Iterator
 
 import numpy as np
@@ -31,7 +37,7 @@ from ..operators import components
 from . import textkernel as K
 from .common import placed, prepare, require, written
 
-PARAMS: dict[str, Any] = {"tables": 32, "bits": 13, "cap": 400, "max_distance": 22, "seed": 7}
+PARAMS: dict[str, Any] = {"tables": 32, "bits": 13, "bucket": 400, "cap": 20_000, "max_distance": 22, "seed": 7}
 WIDTH = 128
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -76,9 +82,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, th long, hi long, lo long").distinct()
 
 
-def permutations(p: dict[str, Any]) -> np.ndarray:
-    rng = np.random.default_rng(p["seed"])
-    return np.stack([rng.permutation(WIDTH) for _ in range(p["tables"])])
+def meets(distance: int, bits: int, tables: int) -> float:
+    """The probability that a pair at a distance shares a bucket in any table."""
+    return 1 - (1 - (1 - distance / WIDTH) ** bits) ** tables
+
+
+def plan(points: int, p: dict[str, Any]) -> tuple[int, int]:
+    """(bits, tables) for a number of points."""
+    bits = max(p["bits"], math.ceil(math.log2(max(points, 1) / p["bucket"])))
+    tables = p["tables"]
+    while meets(p["max_distance"], bits, tables) < meets(p["max_distance"], p["bits"], p["tables"]):
+        tables += 1
+    return bits, tables
+
+
+def permutations(seed: int, tables: range) -> np.ndarray:
+    """The order in which each table samples the coordinates."""
+    return np.stack([np.random.default_rng([seed, t]).permutation(WIDTH) for t in tables])
 
 
 def sampled(hi: np.ndarray, lo: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -90,27 +110,13 @@ def sampled(hi: np.ndarray, lo: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def _find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def _distance(hi: np.ndarray, lo: np.ndarray, a: Any, b: Any) -> np.ndarray:
+    return np.bitwise_count(hi[a] ^ hi[b]) + np.bitwise_count(lo[a] ^ lo[b])
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    parent = np.arange(n)
-    edges = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        x, y = _find(parent, x), _find(parent, y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            edges.append((min(x, y), max(x, y)))
-    return edges
-
-
-def bucket_pairs(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _small(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (positions) with the same key and a distance of at most
-    ``most``; rows are sorted by key."""
+    ``most``; rows are sorted by key. For many small buckets at once."""
     n = key.size
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, np.int64)
     end = np.append(start[1:], n)
@@ -120,8 +126,7 @@ def bucket_pairs(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, most: int) ->
     step = 1
     while alive.size:
         other = alive + step
-        d = np.bitwise_count(hi[alive] ^ hi[other]) + np.bitwise_count(lo[alive] ^ lo[other])
-        ok = d <= most
+        ok = _distance(hi, lo, alive, other) <= most
         found_a.append(alive[ok])
         found_b.append(other[ok])
         step += 1
@@ -130,6 +135,37 @@ def bucket_pairs(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, most: int) ->
     return cat(found_a), cat(found_b)
 
 
+def forest(hi: np.ndarray, lo: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs within the distance that connect the same components as all such
+    pairs do.
+
+    A pivot takes all points within the distance of it; they are one component
+    and are done with. A point outside of that ball can have a neighbour in it
+    only within twice the distance of the pivot, and needs one neighbour only.
+    So a cluster costs about its size, not the square of it. Up to 2048 points
+    all distances are computed at once, which suits points that are far apart."""
+    if hi.size <= 2048:
+        a, b = np.nonzero(np.triu(_distance(hi, lo, np.arange(hi.size)[:, None], np.arange(hi.size)[None, :]) <= most, 1))
+        if a.size <= 4 * hi.size:
+            return list(zip(a.tolist(), b.tolist()))
+    edges: list[tuple[int, int]] = []
+    left = np.arange(hi.size)
+    while left.size:
+        d = _distance(hi, lo, left, left[0])
+        ball = left[d <= most]
+        edges += [(int(ball[0]), int(x)) for x in ball[1:]]
+        near = left[(d > most) & (d <= 2 * most)]
+        for x in ball[1:] if near.size else ():
+            ok = _distance(hi, lo, near, x) <= most
+            if ok.any():
+                edges += [(int(x), int(y)) for y in near[ok]]
+                near = near[~ok]
+                if not near.size:
+                    break
+        left = left[d > most]
+    return edges
+
+
 def split(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, perm: np.ndarray, bits: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, key): buckets of more than ``cap`` points take one further
     sampled bit after another until none is too large."""
@@ -149,76 +185,106 @@ def split(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, perm: np.ndarray, bit
     return order, key
 
 
-def edges(points: DataFrame, **params: Any) -> DataFrame:
-    """(a, b): pairs of points (``pid``) within the distance, enough of them to
-    connect every bucket's components."""
-    p = PARAMS | params
-    perms = permutations(p)
+def edges(points: DataFrame, bits: int, tables: range, p: dict[str, Any], strained: bool = False) -> DataFrame:
+    """(a_hi, a_lo, b_hi, b_lo): pairs of points within the distance, enough of
+    them to connect every bucket's components; a pair of a point with itself
+    tells that its bucket was split, b_lo's place then holding the depth, if
+    ``strained``."""
+    perms = permutations(p["seed"], tables)
+    first = tables.start
 
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             hi, lo = (batch.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
-            for t in range(p["tables"]):
-                key = sampled(hi, lo, perms[t, : p["bits"]]) | (t << 40)
-                yield pa.record_batch([pa.array(key), batch.column("pid"), batch.column("hi"), batch.column("lo")], names=["key", "pid", "hi", "lo"])
+            for t in tables:
+                yield pa.record_batch([pa.array(sampled(hi, lo, perms[t - first, :bits])), pa.array(np.full(hi.size, t, np.int32)), batch.column("hi"), batch.column("lo")], names=["key", "t", "hi", "lo"])
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole(it, "key"):
-            key, pid = batch.column("key").to_numpy(), batch.column("pid").to_numpy()
+        for batch in _whole(it):
+            t, key = batch.column("t").to_numpy(), batch.column("key").to_numpy()
             hi, lo = (batch.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
-            out: list[tuple[int, int]] = []
-            for t in np.unique(key >> 40):
-                at = np.flatnonzero(key >> 40 == t)
-                order, k = split(key[at], hi[at], lo[at], perms[t], p["bits"], p["cap"])
+            a, b = [], []
+            bucket = np.cumsum(np.append(True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]))) - 1
+            size = np.bincount(bucket)
+            few = np.flatnonzero(size[bucket] <= 64)
+            x, y = _small(bucket[few], hi[few], lo[few], p["max_distance"])
+            a.append(few[x])
+            b.append(few[y])
+            start = np.append(0, np.cumsum(size))
+            for k in np.flatnonzero(size > 64).tolist():
+                at = np.arange(start[k], start[k + 1])
+                order, part = split(np.zeros(at.size, np.int64), hi[at], lo[at], perms[t[at[0]] - first], bits, p["cap"])
                 at = at[order]
-                a, b = bucket_pairs(k, hi[at], lo[at], p["max_distance"])
-                if a.size:
-                    u, inv = np.unique(np.concatenate([at[a], at[b]]), return_inverse=True)
-                    out += [(pid[u[x]], pid[u[y]]) for x, y in _forest(u.size, inv[: a.size], inv[a.size :])]
-            if out:
-                x = np.array(out, np.int64)
-                yield pa.record_batch([pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], names=["a", "b"])
-
-    pairs = points.mapInArrow(keys, "key long, pid long, hi long, lo long").repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
-    return pairs
-
-
-def _whole(it: Iterator[pa.RecordBatch], key: str, least: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Batches of at least ``least`` rows that end where ``key`` changes."""
+                cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), at.size)
+                for u, v in zip(cut[:-1], cut[1:]):
+                    mine = at[u:v]
+                    found = np.array(forest(hi[mine], lo[mine], p["max_distance"]), np.int64).reshape(-1, 2)
+                    a.append(mine[found[:, 0]])
+                    b.append(mine[found[:, 1]])
+                if cut.size > 2 and strained:  # all points of a bucket that was split
+                    a.append(at)
+                    b.append(at)
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.record_batch([pa.array(v.view(np.int64)) for v in (hi[a], lo[a], hi[b], lo[b])], names=["a_hi", "a_lo", "b_hi", "b_lo"])
+
+    keyed = points.select("hi", "lo").mapInArrow(keys, "key long, t int, hi long, lo long")
+    return keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(verify, "a_hi long, a_lo long, b_hi long, b_lo long")
+
+
+def _whole(it: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``least`` rows that end where a bucket does."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, need = 0, least
     for batch in it:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < least:
+        if rows < need:
             continue
         one = pa.concat_batches(held)
-        k = one.column(key).to_numpy()
-        cut = int(np.searchsorted(k, k[-1]))
+        t, k = (one.column(c).to_numpy() for c in ("t", "key"))
+        other = np.flatnonzero((t != t[-1]) | (k != k[-1]))
+        cut = int(other[-1]) + 1 if other.size else 0
         if cut:
             yield one.slice(0, cut)
             one = one.slice(cut)
         held, rows = [one], one.num_rows
-        least = max(least, 2 * rows)
-    if held:
+        need = max(least, 2 * rows)
+    if rows:
         yield pa.concat_batches(held)
 
 
+def links(points: DataFrame, p: dict[str, Any]) -> DataFrame:
+    """The pairs over all tables. Points whose bucket was split get as many
+    tables more as they had, until no more buckets of theirs are split or
+    ``tables`` times four were searched; their share of recall is restored by
+    chance alone, so it isn't certain."""
+    bits, tables = plan(points.count(), p)
+    found = written(edges(points, bits, range(tables), p, True), "simhash-pairs")
+    same = (F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") == F.col("b_lo"))
+    strained = found.where(same).select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).distinct()
+    pairs = found.where(~same)
+    if not strained.isEmpty():
+        pairs = pairs.unionByName(edges(strained, bits, range(tables, 4 * tables), p))
+    return pairs
+
+
 def groups(docs: DataFrame, **params: Any) -> DataFrame:
     """(doc_id, th, group_id, group_size, keep) of every document with a word.
 
     ``group_id`` is the least doc_id of the group; ``keep`` marks the one that
     stays, the least (doc_id, th). A null doc_id sorts first and is a document
     like others. Rows that repeat doc_id and text are one document. Documents
-    without words (null or empty text) are copies of none and aren't listed."""
+    without words (null or empty text) are copies of none and aren't listed. A
+    text may be of any length. An empty table yields no rows. Other columns are
+    ignored."""
     p = PARAMS | params
     marks = written(fingerprints(docs), "simhash")
-    points = marks.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("least"))
-    points = written(points.withColumn("pid", F.xxhash64("hi", "lo")), "simhash-points")
-    roots = components.connected(edges(points, **p), "a", "b")
-    named = points.join(roots, points["pid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "pid"))
+    points = written(marks.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("least")), "simhash-points")
+    node = lambda x: F.struct(F.col(f"{x}hi").alias("hi"), F.col(f"{x}lo").alias("lo"))
+    roots = components.connected(links(points, p).select(node("a_").alias("a"), node("b_").alias("b")), "a", "b").select("node.*", "root")
+    named = points.join(roots, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", node("")))
     whole = named.groupBy("root").agg(F.sum("n").alias("group_size"), F.min("least").alias("first"))
     named = named.select("hi", "lo", "root").join(whole, "root")
     key = F.struct("doc_id", "th")

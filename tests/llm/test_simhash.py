@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
 from mdlake.llm import simhash as S
 from mdlake.llm import textkernel as K
 
@@ -82,3 +85,52 @@ def test_awkward_rows(spark):
     near = S.near_duplicates(docs).collect()
     assert {r.doc_id for r in near} == {None, 1, 2, 9} and {r.group_size for r in near} == {4}
     assert S.keep_one(docs.where("false")).count() == 0 and S.near_duplicates(docs.where("false")).count() == 0
+
+
+def components(n, pairs):
+    label = list(range(n))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    return [root(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("n, centres, flips", [(300, 300, 0), (300, 5, 14), (3000, 8, 12), (2500, 2500, 0), (2600, 40, 20)])
+def test_forest_connects_what_all_pairs_connect(n, centres, flips):
+    rng = np.random.default_rng(n + centres)
+    base = rng.integers(0, 2, (centres, 128))
+    x = base[rng.integers(0, centres, n)]
+    for row in x:
+        row[rng.choice(128, rng.integers(0, flips + 1), replace=False)] ^= 1
+    word = np.packbits(x, axis=1).view(np.uint64)
+    hi, lo = word[:, 0].copy(), word[:, 1].copy()
+    near = S._distance(hi, lo, np.arange(n)[:, None], np.arange(n)[None, :]) <= 22
+    found = S.forest(hi, lo, 22)
+    assert all(near[a, b] for a, b in found) and len(found) < 5 * n
+    assert components(n, found) == components(n, zip(*(v.tolist() for v in np.nonzero(np.triu(near, 1)))))
+
+
+def test_recall_is_planned_to_be_the_same_at_every_size():
+    least = S.meets(22, 13, 32)
+    assert S.plan(1000, S.PARAMS) == (13, 32) and S.plan(3_200_000, S.PARAMS) == (13, 32)
+    for points in (4_000_000, 12_000_000, 10**9, 4 * 10**10):
+        bits, tables = S.plan(points, S.PARAMS)
+        assert points / 2**bits <= S.PARAMS["bucket"] and S.meets(22, bits, tables) >= least > S.meets(22, bits, tables - 1)
+
+
+def test_recall_with_more_bits(spark):
+    """As on a corpus for which 18 bits are planned, with the tables for them."""
+    rng = random.Random(7)
+    texts = [prose(rng, rng.randrange(60, 200)) for _ in range(200)]
+    texts += [changed(rng, t, 8) for t in texts]
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    pairs, _ = brute(texts, 22)
+    assert S.plan(400, S.PARAMS | {"bucket": 400 / 2**18})[0] == 18
+    group = {r.doc_id: r.group_id for r in S.near_duplicates(docs, bucket=400 / 2**18).collect()}
+    assert len(pairs) > 150 and sum(group.get(a, -1) == group.get(b, -2) for a, b in pairs) / len(pairs) > 0.9
