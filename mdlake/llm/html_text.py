@@ -92,19 +92,28 @@ def classify(tree: Any, x: np.ndarray) -> np.ndarray:
 
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose contents aren't text of the page, once they are closed.
+_DROPPED = frozenset("template svg math iframe textarea select object".split())
+_RAW = "script|style"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:[\s/][^<>]*)?>|<[!?][^<>]*>", re.S | re.I
+    rf"""<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^<>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"""
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:(?=[\s/>])(?:(?:[^<>"']|"[^"]*"|'[^']*')*+>|[^<>]*>))|<[!?][^<>]*>""",
+    re.S | re.I,
 )
 
 
 def blocks(page: str) -> tuple[str, list[tuple[str, int, int]]]:
     """(title, [(text, words, words in links)]) of a page. Unclosed and
-    misnested tags are taken as they come; a ``<`` that begins no tag is text."""
+    misnested tags are taken as they come; a ``<`` that begins no tag is text. A
+    quoted attribute may hold ``>``. An unclosed script or style reaches to the
+    end; of other dropped elements one that isn't closed is a tag like others."""
     found: list[tuple[str, int, int]] = []
     parts: list[str] = []
     title: list[str] = []
     linked = 0
     link = in_title = False
+    tokens = list(_TOKEN.finditer(page))
+    last = {m[3].lower(): m.start() for m in tokens if m[2]}  # where each element is closed for the last time
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -125,15 +134,25 @@ def blocks(page: str) -> tuple[str, list[tuple[str, int, int]]]:
         parts.clear()
         linked = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, dropped, depth = 0, "", 0
+    for m in tokens:
+        name = (m[3] or "").lower()
+        opens = not m[2]
+        if dropped:
+            if name == dropped and not m[0].endswith("/>"):
+                depth += 1 if opens else -1
+                if not depth or m.start() == last[name]:
+                    at, dropped = m.end(), ""
+            continue
         text(page[at : m.start()])
         at = m.end()
-        name = (m[3] or "").lower()
         if not name:
             continue
-        opens = not m[2]
-        if name == "a":
+        if name in _DROPPED:
+            close()
+            if opens and last.get(name, -1) > m.start() and not m[0].endswith("/>"):
+                dropped, depth = name, 1
+        elif name == "a":
             link = opens
         elif name == "br":
             parts.append("\n")
@@ -161,8 +180,8 @@ def extract(pages: DataFrame, table: list[tuple] = LABELLED) -> DataFrame:
     blocks, a line each.
 
     A null page has a null text and no blocks; an empty page, or one without
-    text, an empty text. Repeated rows are extracted each. Other columns are
-    ignored."""
+    text, an empty text. A page may be of any length. Repeated rows are extracted
+    each, alike; an empty table yields no rows. Other columns are ignored."""
     prepare(pages.sparkSession)
     tree = train(table)
 
