@@ -9,8 +9,10 @@ all documents. For every document with a word of any example the ``k`` examples
 of greatest cosine are found exactly in a block-max inverted index: examples
 that are alike lie in one block of ``BLOCK``; for each word and block the index
 has the greatest weight that the word has in the block. These bound the cosines
-of a block; a document's blocks are scored from the greatest bound on, and those
-whose bound lies below its k-th cosine so far are skipped, which loses nothing.
+of a block (for words that an eighth of the examples hold, and ``other``, it is
+the block's greatest sum); a document's blocks are scored from the greatest
+bound on, and those whose bound lies below its k-th cosine so far are skipped,
+which loses nothing.
 Votes weighted by distance give a score, which isotonic regression on the
 examples themselves (each left out of its own neighbours) turns into a
 probability.
@@ -233,10 +235,9 @@ class Model:
         n = len(self.ids)
         first = np.arange(0, n, BLOCK)
         self.n_blocks, self.scored, self.bounded = first.size, 0, 0
-        scaled = self.matrix * self.scale
-        self.most = np.maximum.reduceat(scaled, first, axis=1) if n else np.zeros((len(scaled), 0))
-        self.most_other = np.maximum.reduceat(self.other * self.length * self.scale, first) if n else np.zeros(0)
-        self.scaled, self.scaled_other = scaled, self.other * self.length * self.scale
+        pad = self.n_blocks * BLOCK - n
+        self.scaled = np.pad(self.matrix * self.scale, ((0, 0), (0, pad)))
+        self.scaled_other = np.pad(self.other * self.length * self.scale, (0, pad))
         self.scaled_value = self.value * self.scale[self.post]
         self.matrix = self.value = None  # only fitting needs them
         term = np.repeat(np.arange(self.vocab.size), np.diff(self.start))
@@ -308,7 +309,10 @@ class Model:
         e = np.repeat((self.entry[term] - (np.cumsum(size) - size)).astype(np.int32), size) + np.arange(int(size.sum()), dtype=np.int32)
         cell = np.repeat((doc * nb).astype(np.int32), size) + self.entry_block[e]
         share = np.repeat(q, size)
-        bound = np.bincount(cell, share * self.entry_most[e], minlength=docs * nb).reshape(docs, nb) + a @ self.most + np.outer(length, self.most_other)
+        common = a @ self.scaled
+        common += np.outer(length, self.scaled_other)
+        common = common.reshape(docs, nb, BLOCK)
+        bound = np.bincount(cell, share * self.entry_most[e], minlength=docs * nb).reshape(docs, nb) + common.max(axis=2)
         todo = bound > 1e-9
         self.bounded += todo.size
         mark = np.full(docs * nb, -1, np.int32)
@@ -326,13 +330,7 @@ class Model:
             m = self.entry_at[e_some + 1] - first
             at = np.repeat(first - (np.cumsum(m, dtype=np.int32) - m), m) + np.arange(int(m.sum()), dtype=np.int32)
             dots = np.bincount(np.repeat(to * BLOCK, m) + self.within[at], np.repeat(share[some], m) * self.scaled_value[at], minlength=line.size * BLOCK).reshape(-1, BLOCK)
-            order = np.argsort(block, kind="stable")
-            cut = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
-            for i, j in zip(cut.tolist(), [*cut[1:].tolist(), order.size]):
-                mine, b = order[i:j], int(block[order[i]]) * BLOCK
-                w = min(BLOCK, n - b)
-                own_line = line[mine]
-                dots[mine, :w] += a[own_line] @ self.scaled[:, b : b + w] + length[own_line, None] * self.scaled_other[b : b + w]
+            dots += common[line, block]
             hit = np.flatnonzero((own[line] >= 0) & (own[line] // BLOCK == block))
             dots[hit, own[line[hit]] % BLOCK] = 0
             cos.reshape(docs, nb, BLOCK)[line, block] = dots
