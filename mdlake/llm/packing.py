@@ -78,9 +78,13 @@ def pack(docs: DataFrame, **params: Any) -> DataFrame:
 
     ``pieces`` says which tokens of which documents a window holds, in order;
     ``first_token`` counts within the document, whose last token is the end
-    mark. Every token of every document is in one window. Null and empty texts
-    have nothing to pack and appear nowhere. Rows that repeat are packed each; a
-    null doc_id stays null. Other columns are ignored."""
+    mark. A window holds places, not ids: whoever reads it encodes the
+    documents by the same vocabulary (``tokens.Encoder``) and takes those tokens.
+    Every token of every document is in one window. Null and empty texts have
+    nothing to pack and appear nowhere; a text longer than a window fills
+    several. Of windows that are equally full the oldest is taken. Rows that
+    repeat are packed each; a null doc_id stays null. An empty table yields no
+    windows. Other columns are ignored."""
     p = PARAMS | params
     spark = docs.sparkSession
     prepare(spark)

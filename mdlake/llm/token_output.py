@@ -5,8 +5,8 @@ end mark, form one stream, which is cut into sequences of ``length`` ids (only
 the partition's last is padded, with end marks). Sequence i of n gets the slot
 that a keyed Feistel permutation of [0, n) assigns to i; values that fall
 outside of [0, n) walk the cycle until they fall inside. Slots are cut into
-ranges of ``per_shard``; each range is one task's and one file's, in slot order,
-so any slot is at ``(slot % per_shard) * stride`` of file ``slot // per_shard``
+ranges of ``per_shard``; each range is one file's, in slot order, and a task
+writes up to ``per_task`` consecutive ones, so any slot is at ``(slot % per_shard) * stride`` of file ``slot // per_shard``
 and a reader can stop and resume anywhere.
 
 A file is written under another name and then renamed, so a task that is run
@@ -29,7 +29,7 @@ from . import textkernel as K
 from . import tokens
 from .common import prepare, require, shared_dir
 
-PARAMS: dict[str, Any] = {"length": 2048, "per_shard": 2048, "key": 0x5EED, "rounds": 6, "end": 50256, "vocabulary": tokens.VOCABULARY}
+PARAMS: dict[str, Any] = {"length": 2048, "per_shard": 2048, "per_task": 32, "key": 0x5EED, "rounds": 6, "end": 50256, "vocabulary": tokens.VOCABULARY}
 
 
 def _half_bits(n: int) -> int:
@@ -78,14 +78,47 @@ def _sequences(it: Iterator[pa.RecordBatch], enc: tokens.Encoder, length: int, e
         yield np.append(held, np.full(length - held.size, end, held.dtype))[None, :], [np.unique(owner)], pa.concat_arrays(ids)
 
 
+class _Shards:
+    """One file after another below a folder, each under its name only when it
+    is whole."""
+
+    def __init__(self, path: str):
+        self.files, self.base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        self.files.create_dir(self.base, recursive=True)
+        self.shard, self.stream, self.temp = -1, None, ""
+
+    def _name(self, shard: int) -> str:
+        return f"{self.base}/shard-{shard:08d}.bin"
+
+    def write(self, shard: int, blob: Any) -> str:
+        if shard != self.shard:
+            self.close()
+            self.shard, self.temp = shard, f"{self.base}/part-{shard:08d}-{uuid.uuid4().hex}"
+            self.stream = self.files.open_output_stream(self.temp)
+        self.stream.write(blob)
+        return self._name(shard)
+
+    def close(self) -> None:
+        if self.stream is not None:
+            self.stream.close()
+            self.files.move(self.temp, self._name(self.shard))
+            self.stream = None
+
+    def drop(self) -> None:
+        """Removes a file that isn't whole, as a task that fails leaves it."""
+        if self.stream is not None:
+            self.stream.close()
+            self.files.delete_file(self.temp)
+
+
 def write(docs: DataFrame, path: str | None = None, **params: Any) -> DataFrame:
     """Writes the shards below ``path`` (by default a new folder in the shared
     one) and returns a row per sequence: (slot, shard, path, offset, stride,
     doc_ids, crc32). The files are written when the rows are computed.
 
     Null and empty texts have no tokens and are in no sequence. Rows that
-    repeat are tokenised each. Null doc_ids stay null in ``doc_ids``. An empty
-    table makes no file. Other columns are ignored. ``docs`` is read twice, to
+    repeat are tokenised each. Null doc_ids stay null in ``doc_ids``. A text may
+    be of any length. An empty table makes no file. Other columns are ignored. ``docs`` is read twice, to
     count and to write, and its partitions must hold the same rows both times, as
     those of a table in files do."""
     p = PARAMS | params
@@ -125,35 +158,26 @@ def write(docs: DataFrame, path: str | None = None, **params: Any) -> DataFrame:
             yield pa.record_batch([pa.array(slot), pa.array(slot // per), who, data], names=["slot", "shard", "doc_ids", "data"])
 
     def store(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        target.create_dir(base, recursive=True)
-        now, stream, temp = -1, None, ""
-
-        def close() -> None:
-            if stream is not None:
-                stream.close()
-                target.move(temp, f"{base}/shard-{now:08d}.bin")
-
-        for batch in it:
-            shard = batch.column("shard").to_numpy()
-            data = batch.column("data")
-            crc, offset, names = [], [], []
-            for i in range(batch.num_rows):
-                if shard[i] != now:
-                    close()
-                    now, at = int(shard[i]), 0
-                    temp = f"{base}/part-{now:08d}-{uuid.uuid4().hex}"
-                    stream = target.open_output_stream(temp)
-                blob = data[i].as_buffer()
-                stream.write(blob)
-                crc.append(zlib.crc32(blob))
-                offset.append((int(batch.column("slot")[i].as_py()) % per) * blob.size)
-                names.append(f"{base}/shard-{now:08d}.bin")
-            yield pa.record_batch([batch.column("slot"), batch.column("shard"), pa.array(names), pa.array(offset, pa.int64()), pa.array([len(data[0].as_buffer())] * batch.num_rows, pa.int32()), batch.column("doc_ids"), pa.array(crc, pa.int64())], names=["slot", "shard", "path", "offset", "stride", "doc_ids", "crc32"])
-        close()
+        out = _Shards(path)
+        try:
+            for batch in it:
+                data, slot = batch.column("data"), batch.column("slot").to_numpy()
+                crc, offset, names = [], [], []
+                for i, shard in enumerate(batch.column("shard").to_pylist()):
+                    blob = data[i].as_buffer()
+                    names.append(out.write(shard, blob))
+                    crc.append(zlib.crc32(blob))
+                    offset.append(int(slot[i]) % per * blob.size)
+                stride = len(data[0].as_buffer()) if batch.num_rows else 0
+                yield pa.record_batch([batch.column("slot"), batch.column("shard"), pa.array(names, pa.string()), pa.array(offset, pa.int64()), pa.array([stride] * batch.num_rows, pa.int32()), batch.column("doc_ids"), pa.array(crc, pa.int64())], names=["slot", "shard", "path", "offset", "stride", "doc_ids", "crc32"])
+            out.close()
+        finally:
+            out.drop()
 
     made = docs.mapInArrow(encode, "slot long, shard long, doc_ids array<long>, data binary")
-    return made.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot").mapInArrow(store, "slot long, shard long, path string, offset long, stride int, doc_ids array<long>, crc32 long")
+    # fewer shards a task where there are few shards for the cores
+    each = max(1, min(p["per_task"], shards // (2 * spark.sparkContext.defaultParallelism)))
+    return made.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot").mapInArrow(store, "slot long, shard long, path string, offset long, stride int, doc_ids array<long>, crc32 long")
 
 
 def read(path: str, slot: int, count: int, per_shard: int, stride: int, dtype: type = np.uint16) -> np.ndarray:

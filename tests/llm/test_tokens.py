@@ -42,7 +42,7 @@ def test_slots_are_a_permutation():
 
 def test_round_trip(spark, tmp_path, exact):
     rows = awkward(random.Random(3), 5000)
-    docs = frame(spark, rows, clash=True).repartition(3, "doc_id")
+    docs = frame(spark, rows).selectExpr("*", "'c' AS slot", "'c' AS shard", "'c' AS data", "'c' AS `x.y`").repartition(3)
     path = str(tmp_path / "out")
     docs.write.parquet(str(tmp_path / "in"))
     docs = spark.read.parquet(str(tmp_path / "in"))
@@ -102,35 +102,52 @@ def test_packing(spark, exact):
 
 
 def test_packer_is_best_fit():
-    def plain_best_fit(sizes, window, most):
-        held, out = [], []
+    """Window by window, in the order in which they are emitted: the least room
+    that holds an item takes it, the oldest of equals; the fullest window leaves
+    when none does."""
+
+    def plain(sizes, window, most):
+        held, out, made = [], [], 0  # [room, number, items]
         for i, s in enumerate(sizes):
             fits = [w for w in held if w[0] >= s]
+            gone = None
             if fits:
-                w = min(fits, key=lambda w: (w[0], w[1]))
+                w = min(fits)
             else:
                 if len(held) >= most:
-                    w = min(held, key=lambda w: (w[0], w[1]))
-                    held.remove(w)
-                    out.append(w[2])
-                w = [window, i, []]
+                    gone = min(held)
+                    held.remove(gone)
+                w = [window, made, []]
+                made += 1
                 held.append(w)
             w[0] -= s
             w[2].append(i)
-            if w[0] == 0:
+            if gone is not None:
+                out.append(gone[2])
+            elif w[0] == 0:
                 held.remove(w)
                 out.append(w[2])
-        return sorted(out), sorted(w[2] for w in held)
+        return out, sorted(held)
 
     rng = random.Random(8)
-    for most in (1, 3, 10):
-        sizes = [rng.randrange(1, 51) for _ in range(400)]
-        p = packing.Packer(50, most)
-        out = [x for x in (p.add(s, i) for i, s in enumerate(sizes)) if x]
-        every = sorted(out + [x for _, x in p.rest()])
-        a, b = plain_best_fit(sizes, 50, most)
-        assert all(sum(sizes[i] for i in w) <= 50 for w in every) and sorted(i for w in every for i in w) == list(range(400))
-        assert abs(len(every) - len(a) - len(b)) <= 2
+    for most in (1, 2, 3, 10, 64):
+        for top in (5, 50):
+            sizes = [rng.randrange(1, top + 1) for _ in range(2000)]
+            p = packing.Packer(50, most)
+            out = [x for x in (p.add(s, i) for i, s in enumerate(sizes)) if x]
+            want, held = plain(sizes, 50, most)
+            assert out == want and list(p.rest()) == [(50 - room, items) for room, _, items in held]
+
+
+def test_an_unfinished_shard_is_removed(tmp_path):
+    from mdlake.llm import token_output
+
+    out = token_output._Shards(str(tmp_path))
+    out.write(0, b"ab")
+    out.write(1, b"cd")
+    assert [x.name for x in tmp_path.glob("shard-*")] == ["shard-00000000.bin"]
+    out.drop()
+    assert [x.name for x in tmp_path.iterdir()] == ["shard-00000000.bin"]
 
 
 def test_ranks_file():
