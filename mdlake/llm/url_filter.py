@@ -8,12 +8,14 @@ prefix ``org,example,``; a rule for a path of one host the prefix
 nested or apart. Keys are range-partitioned by bounds sampled from the URLs, a
 rule goes to each partition that its interval meets, and one sweep over the
 sorted rows of a partition keeps the stack of rules whose interval is open; the
-innermost decides.
+innermost decides. A key that is many bounds at once, as very many URLs have it,
+has as many partitions, among which its rows are dealt. An IP address is a host
+like others, a version 6 address in its brackets.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from typing import Any, Iterator
 
 import pyarrow as pa
@@ -24,7 +26,7 @@ from .common import prepare, require
 PARAMS: dict[str, Any] = {"samples": 40}
 
 _HEAD = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
-_HOST = _HEAD + r"(?:[^/?#@]*@)?([^/?#:@]*)"
+_HOST = _HEAD + r"(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)"
 _PATH = _HEAD + r"[^/?#]*([^#]*)"
 
 #: Unwanted sites, with their subdomains, and pages of them that are wanted.
@@ -70,8 +72,9 @@ def decide(pages: DataFrame, rules: DataFrame, **params: Any) -> DataFrame:
     says how many do; of rules with equal prefixes ``block`` goes before
     ``allow``, then the least rule_id. ``kept`` is false for ``block``. A page
     that no rule matches is kept, with null rule and depth 0; so is a null or
-    unparsable URL, whose key is null. Repeated rows are decided each. Rules
-    with a null or empty pattern match nothing. Other columns are ignored."""
+    unparsable URL, whose key is null. A URL may be of any length. Repeated rows
+    are decided each. Rules with a null or empty pattern match nothing. No pages
+    give no rows, no rules keep all. Other columns are ignored."""
     p = PARAMS | params
     spark = pages.sparkSession
     prepare(spark)
@@ -81,19 +84,24 @@ def decide(pages: DataFrame, rules: DataFrame, **params: Any) -> DataFrame:
     order = F.xxhash64("key", "page_id")
     sample = keyed.where("key is not null").select("key", order.alias("o")).orderBy("o").limit(parts * p["samples"]).collect()
     keys = sorted(r[0].encode() for r in sample)
-    bounds = sorted(set(keys[p["samples"] :: p["samples"]])) if keys else []
+    bounds = keys[p["samples"] :: p["samples"]]
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            # URLs without a key meet no rule, wherever they go
-            pid = [-1 - i % parts if k is None else bisect_right(bounds, k.encode()) for i, k in enumerate(batch.column("key").to_pylist())]
+            pid = []
+            for i, k in enumerate(batch.column("key").to_pylist()):
+                if k is None:  # meets no rule, wherever it goes
+                    pid.append(-1 - i % parts)
+                    continue
+                lo, hi = bisect_left(bounds, k := k.encode()), bisect_right(bounds, k)
+                pid.append(hi - i % (hi - lo) if hi > lo else hi)
             yield batch.append_column("pid", pa.array(pid, pa.int32()))
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows, pid = [], []
             for i, k in enumerate(batch.column("key").to_pylist()):
-                for x in range(bisect_right(bounds, k.encode()), bisect_right(bounds, _after(k.encode())) + 1):
+                for x in range(bisect_left(bounds, k.encode()), bisect_right(bounds, _after(k.encode())) + 1):
                     rows.append(i)
                     pid.append(x)
             yield batch.take(pa.array(rows, pa.int64())).append_column("pid", pa.array(pid, pa.int32()))

@@ -13,7 +13,7 @@ def key(url):
     if url is None or "//" not in url:
         return None
     p = urlsplit(url.strip())
-    host = (p.hostname or "").lower().removeprefix("www.").removesuffix(".")
+    host = (f"[{p.hostname}]" if ":" in (p.hostname or "") else p.hostname or "").lower().removeprefix("www.").removesuffix(".")
     if not host:
         return None
     return ",".join(reversed(host.split("."))) + ",)" + (p.path if p.path.startswith("/") else "/" + p.path) + (f"?{p.query}" if p.query else "")
@@ -40,9 +40,17 @@ def test_against_brute_force(spark):
     host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randrange(1, 4))) + ".org"
     path = lambda: "".join("/" + rng.choice(["x", "xy", "y-", "z.html"]) for _ in range(rng.randrange(0, 4)))
     rules = [(i, host() + (path() or "/") * rng.randrange(2), rng.choice(["block", "allow"])) for i in range(120)] + [(500, None, "block"), (501, "", "block")]
-    urls = [f"http://{rng.choice(['', 'www.', 'u@'])}{host()}{rng.choice(['', ':80'])}{path()}{rng.choice(['', '?q=1', '#f', '/?a'])}" for _ in range(1500)] + [None, "", "no scheme", "//a.org/x", "http://", "HTTP://A.B.org/X"]
+    urls = [f"http://{rng.choice(['', 'www.', 'u@'])}{host()}{rng.choice(['', ':80'])}{path()}{rng.choice(['', '?q=1', '#f', '/?a'])}" for _ in range(1500)] + [None, "", "no scheme", "//a.org/x", "http://", "HTTP://A.B.org/X", "http://[::1]/x", "http://u@[2001:DB8::7]:8080/y?z", "http://127.0.0.1:80/x"] + ["http://a.org/x/xy"] * 700
+    rules += [(600, "[::1]", "block"), (601, "[2001:db8::7]/y", "block"), (602, "a.org/x", "block"), (603, "a.org/x/xy", "allow")]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], PAGES)
-    out = got(U.decide(pages, spark.createDataFrame(rules, RULES), samples=5))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = U.decide(pages, spark.createDataFrame(rules, RULES), samples=5)
+        out = got(found)
+        assert found.where("url = 'http://a.org/x/xy'").selectExpr("spark_partition_id() AS p").distinct().count() > 1  # a hot key is dealt out
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
     want = sorted(((i, u, *brute(u, rules)) for i, u in [*enumerate(urls), (0, urls[0])]), key=repr)
     assert out == want
     assert sum(r[5] > 1 for r in out) > 50
