@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline as P
 from mdlake.llm import packing, queries, simhash, suffix_dedup
-from mdlake.llm.common import table
+from mdlake.llm.common import shared_dir, table
 
 from .helpers import SCHEMA, awkward, frame, prose
 
@@ -48,6 +48,25 @@ def test_stages_take_effect(spark, tmp_path):
     assert len(P.STAGES) == 5 and P.ORACLE_SQL is None
 
 
+def test_stages_take_any_columns(spark, tmp_path):
+    """Clashing names, nulls and repeated rows pass through the four stages that
+    filter; what they leave behind but the last table is removed."""
+    rows = awkward(random.Random(2), 3000)
+    docs = frame(spark, rows, clash=True)
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (9, 1, 0), (8, 1, 0), (10, 1, 0), (7, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(random.Random(9), 30)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert {str(r[0]) for r in out.collect()} >= {"3", "4", "5", "6", "8", "10"}
+    P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = spark.sparkContext._jvm.java.io.File(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(folder.list())
+    assert P.run(spark, str(tmp_path)).count() > 0
+    assert sorted(x.rpartition("-")[0] for x in set(folder.list()) - before if not x.startswith("columns")) == ["stage-decontamination", "windows"]
+
+
 def test_empty_table(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
