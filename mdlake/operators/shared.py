@@ -48,13 +48,16 @@ def spread(scan: DataFrame) -> DataFrame:
 @contextmanager
 def scratch() -> Iterator[list[str]]:
     """The paths of the tables that are ``written`` inside of the block, in
-    order, for the caller to remove those that nothing reads any more."""
+    order, for the caller to remove those that nothing reads any more. A block
+    around it gets them, too, removed or not."""
     paths: list[str] = []
     token = _noted.set(paths)
     try:
         yield paths
     finally:
         _noted.reset(token)
+        if (outer := _noted.get()) is not None:
+            outer += paths
 
 
 def remove(spark: SparkSession, paths: Iterable[str]) -> None:
