@@ -26,12 +26,13 @@ class Engine:
     # documents
 
     def ingest(self, docs: DataFrame, on_error: str = "raise") -> DataFrame:
-        """Ingests (path, content) rows; (doc_id, path, blocks, links, tags)."""
+        """Ingests (path, content) rows; (doc_id, path, blocks, links, tags), in
+        order of path."""
         self.store.ingest(docs, on_error)
         s = self.snapshot()
         mine = docs.select("path").distinct()
         found = s.documents.join(mine, "path", "left_semi")
-        return B.counts(found, s.blocks, s.links, s.tags)
+        return B.counts(found, s.blocks, s.links, s.tags).orderBy("path")
 
     def ingest_document(self, path: str, content: str) -> dict[str, Any]:
         return self.ingest(markdown.single(self.spark, path, content)).first().asDict()
@@ -88,6 +89,15 @@ class Engine:
 
     # search
 
+    def vector_count(self) -> int:
+        return self.vectors().count()
+
+    def clear_vectors(self) -> None:
+        """Empties the vectors of this version; those of the next are made from
+        its blocks."""
+        none = knn.clear(self.vectors())
+        self._made["vectors", self.store.version] = self.spark.createDataFrame([], none.schema)
+
     def _derived(self, kind: str) -> Any:
         n = self.store.version
         key = (kind, n)
@@ -136,6 +146,9 @@ class Engine:
     def graph_components(self) -> DataFrame:
         return graph.component_lists(graph.connected_components(*self._graph()))
 
+    def graph_component_members(self) -> DataFrame:
+        return graph.component_members(graph.connected_components(*self._graph()))
+
     @staticmethod
     def to_json(df: DataFrame) -> DataFrame:
         """A row as one JSON text."""

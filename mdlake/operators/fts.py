@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from html import escape
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 K1, B = 1.2, 0.75
 RAW = ("doc_id", "block_id", "path", "block_type")
@@ -350,20 +352,55 @@ class Index:
         top = self.scores(query).orderBy(F.desc(F.round("score", 9)), "doc_id", "block_id").limit(limit)
         met = top.join(self.entries, ["doc_id", "block_id"])
         words = sorted({w for leaf, _, no in _leaves(parse_query(query)) if not no for w in leaf.words})
+        # one row: rare words count more
+        rare = self.postings.where((F.col("field") == "content") & F.col("term").isin(words)).groupBy("term").agg((1 / (1 + F.count(F.lit(1)))).alias("w")).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("rare"))
+        met = met.crossJoin(F.broadcast(rare))
         empty = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
-        out = met.select("doc_id", empty("block_id"), "path", empty("title"), empty("block_type"), snippet(F.col("content"), words).alias("snippet"), F.col("score").cast("float").alias("score"), F.round("score", 9).alias("_s"), F.col("block_id").alias("_b"))
+        out = met.select("doc_id", empty("block_id"), "path", empty("title"), empty("block_type"), snippet("content", "rare").alias("snippet"), F.col("score").cast("float").alias("score"), F.round("score", 9).alias("_s"), F.col("block_id").alias("_b"))
         return out.orderBy(F.desc("_s"), "doc_id", "_b").drop("_s", "_b")
 
 
-def snippet(content: Column, words: list[str], most: int = 150) -> Column:
-    """Up to ``most`` characters around the first hit, as HTML with the words in
-    bold; all of the content where none of the words is in it."""
-    if not words:
-        return content
-    any_word = "|".join(re.escape(w) for w in words)
-    pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}])({any_word})(?![\p{{L}}\p{{N}}])"
-    before = F.length(F.regexp_extract(content, rf"(?s)\A(.*?){pattern}", 1))
-    start = F.greatest(before - 40, F.lit(0)) + 1
-    cut = F.substring(content, start, F.lit(most))
-    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(cut, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    return F.when(content.rlike(pattern), F.regexp_replace(safe, pattern, "<b>$1</b>")).otherwise(content)
+_SPAN = re.compile(r"[^\W_]+")
+
+
+def fragment(text: str, weight: dict[str, float], most: int = 150) -> str:
+    """The part of a text that the words suit best, as HTML with the words in
+    bold; all of the text where none is in it.
+
+    The text is cut, from its begin on, into parts of whole words of ``most``
+    bytes; a part counts the weights of its words, the first of the best is
+    taken."""
+    best, start, score, at, end, hits = (0.0, 0, 0, []), 0, 0.0, 0, 0, []
+    size = 0  # bytes before ``at``
+    begin = 0
+    for m in _SPAN.finditer(text):
+        word = m[0].lower()
+        if len(word.encode()) > 40:
+            continue
+        first = size + len(text[at : m.start()].encode())
+        last = first + len(m[0].encode())
+        at, size = m.end(), last
+        if last - begin > most:
+            if score > best[0]:
+                best = score, start, end, hits
+            begin, start, score, hits = first, m.start(), 0.0, []
+        end = m.end()
+        if word in weight:
+            score += weight[word]
+            hits.append((m.start(), m.end()))
+    if score > best[0]:
+        best = score, start, end, hits
+    if not best[0]:
+        return text
+    _, start, end, hits = best
+    out, at = [], start
+    for b, e in hits:
+        out += [escape(text[at:b], quote=False), "<b>", escape(text[b:e], quote=False), "</b>"]
+        at = e
+    return "".join([*out, escape(text[at:end], quote=False)])
+
+
+@F.pandas_udf(T.StringType())
+def snippet(content: pd.Series, weight: pd.Series) -> pd.Series:
+    """The best ``fragment`` of each text; for the rows of a result only."""
+    return pd.Series([None if c is None else fragment(c, dict(w or ())) for c, w in zip(content, weight)])

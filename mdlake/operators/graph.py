@@ -86,19 +86,29 @@ def connected_components(edges: DataFrame, more: DataFrame | None = None) -> Dat
     return nodes(edges, more).join(found, F.col("path") == F.col("node"), "left").select("path", F.coalesce("root", "path").alias("component"))
 
 
-def component_lists(parts: DataFrame) -> DataFrame:
-    """(component, size, members), largest first, then by first member."""
-    out = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("path")).alias("members"))
-    return out.orderBy(F.desc("size"), "component")
+def component_members(parts: DataFrame) -> DataFrame:
+    """(component, size, path), a row per member whatever the size: components
+    largest first, then by first member, members in order."""
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return parts.join(sizes, "component").select("component", "size", "path").orderBy(F.desc("size"), "component", "path")
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, more: DataFrame | None = None, most: int = 1000) -> list[str] | None:
+def component_lists(parts: DataFrame, most: int = 100_000) -> DataFrame:
+    """(component, size, members), largest first, then by first member. A
+    component of more than ``most`` nodes has a null list, as a row can't hold
+    any number of them; ``component_members`` has them all."""
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    lists = parts.join(sizes.where(F.col("size") <= most), "component").groupBy("component").agg(F.sort_array(F.collect_list("path")).alias("members"))
+    return sizes.join(lists, "component", "left").select("component", "size", "members").orderBy(F.desc("size"), "component")
+
+
+def shortest_path(edges: DataFrame, start: str, end: str, more: DataFrame | None = None) -> list[str] | None:
     """The nodes of a shortest directed path, the lexicographically least of
     those; None if a node is unknown or there is no path.
 
     Breadth first from the end over reversed edges, a join per level; each level
     holds (node, next node), the least next node being kept, so that following
-    them from the start gives the path."""
+    them from the start gives the path, however long it is."""
     spark = edges.sparkSession
     known = nodes(edges, more).where(F.col("path").isin(start, end)).count()
     if known < len({start, end}):
@@ -108,7 +118,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, more: DataFrame | None
     back = written(edges.select(F.col("source_path").alias("src"), F.col("target_path").alias("dst")).where("src <> dst").distinct().repartition("dst"), "reverse")
     seen = spark.createDataFrame([(end, None)], "node string, nxt string")
     front, levels = seen, []
-    for _ in range(most):
+    while True:
         step = back.join(front.select("node"), F.col("dst") == F.col("node")).groupBy("src").agg(F.min("dst").alias("nxt")).select(F.col("src").alias("node"), "nxt")
         front = written(step.join(seen.select("node"), "node", "left_anti"), "front")
         if front.isEmpty():
@@ -117,6 +127,8 @@ def shortest_path(edges: DataFrame, start: str, end: str, more: DataFrame | None
         if not front.where(F.col("node") == start).isEmpty():
             break
         seen = seen.unionByName(front)
+        if len(levels) % 16 == 0:  # keeps the plan small
+            seen = written(seen, "seen")
     path = [start]
     for level in reversed(levels):  # a row of each level
         path.append(level.where(F.col("node") == path[-1]).first()["nxt"])

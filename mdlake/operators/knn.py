@@ -40,6 +40,11 @@ def upsert(have: DataFrame, new: DataFrame, dimension: int) -> DataFrame:
     return have.join(new.select("doc_id", "block_id"), ["doc_id", "block_id"], "left_anti").unionByName(checked)
 
 
+def clear(have: DataFrame) -> DataFrame:
+    """An index without vectors."""
+    return have.where(F.lit(False))
+
+
 def delete_document(have: DataFrame, doc_id: str) -> DataFrame:
     return have.where(F.col("doc_id") != doc_id)
 

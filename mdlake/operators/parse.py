@@ -66,6 +66,8 @@ class _Walk:
                 own = "".join(parts)
                 block["text_content"] = own.strip()
                 text.append(own)
+                if n.kind == "heading":  # also one that is underlined
+                    block["raw_markdown"] = f"{'#' * n.level} {n.text}".strip()
             elif n.kind == "thematic_break":
                 block["text_content"], block["raw_markdown"] = "", "---"
             elif n.kind == "code_block":

@@ -3,29 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mdlake.functions import embedding as E
 from mdlake.operators import blocks as B, fts, graph, knn, parse as P, shared
-from mdlake.plans import corpus, mql
+from mdlake.plans import corpus, features, mql  # noqa: F401 - features registers its queries
+from mdlake.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from mdlake.sources import markdown, store
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -313,9 +299,26 @@ def fts_delete(spark, sf_dir):
     return fts.delete_document(_line_entries(spark, sf_dir), "7").agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query()
+_BEST = _bm25(["the", "and", "nicht"])
+_SNIPPETS = (
+    _ENTRIES.replace("WITH lines", "WITH RECURSIVE lines")
+    + _BEST[len(_ENTRIES) :].replace("\nSELECT doc_id, block_id, round(score, 6) AS score FROM scored", "\n, top AS MATERIALIZED (SELECT doc_id, block_id, round(score, 4) AS score, content FROM scored JOIN entries USING (doc_id, block_id)")
+    + """),
+pieces AS (SELECT doc_id, block_id, unnest(regexp_extract_all(content, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+')) AS piece, generate_subscripts(regexp_extract_all(content, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+'), 1) AS i FROM top),
+placed AS (SELECT *, sum(strlen(piece)) OVER (PARTITION BY doc_id, block_id ORDER BY i) AS shut, regexp_matches(piece, '[\\p{L}\\p{N}]') AND strlen(piece) <= 40 AS is_word FROM pieces),
+worded AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, block_id ORDER BY i) AS k FROM placed WHERE is_word),
+cuts AS (SELECT doc_id, block_id, k, CASE WHEN shut > 150 THEN shut - strlen(piece) ELSE 0 END AS start FROM worded WHERE k = 1
+  UNION ALL SELECT w.doc_id, w.block_id, w.k, CASE WHEN w.shut - c.start > 150 THEN w.shut - strlen(w.piece) ELSE c.start END FROM cuts c JOIN worded w ON w.doc_id = c.doc_id AND w.block_id = c.block_id AND w.k = c.k + 1),
+parts AS (SELECT w.doc_id, w.block_id, c.start, max(w.shut) AS stop, round(sum(coalesce(1.0 / (1 + df), 0)), 12) AS worth FROM worded w JOIN cuts c USING (doc_id, block_id, k) LEFT JOIN dfs ON term = lower(piece) GROUP BY w.doc_id, w.block_id, c.start),
+best AS (SELECT doc_id, block_id, arg_min(start, (-worth, start)) AS start, arg_min(stop, (-worth, start)) AS stop FROM parts GROUP BY doc_id, block_id),
+safe AS (SELECT p.doc_id, p.block_id, p.i, CASE WHEN lower(piece) IN ('the', 'and', 'nicht') THEN '<b>' || piece || '</b>' ELSE replace(replace(replace(piece, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END AS html FROM placed p JOIN best b USING (doc_id, block_id) WHERE p.shut - strlen(p.piece) >= b.start AND p.shut <= b.stop)
+SELECT doc_id, block_id, string_agg(html, '' ORDER BY i) AS snippet, any_value(score) AS score FROM safe JOIN top USING (doc_id, block_id) GROUP BY doc_id, block_id"""
+)
+
+
+@query(_SNIPPETS)
 def snippet(spark, sf_dir):
-    return fts.Index(_line_entries(spark, sf_dir)).search("the and nicht", 10).select("doc_id", "block_id", "snippet", "score")
+    return fts.Index(_line_entries(spark, sf_dir)).search("the and nicht", 10).select("doc_id", "block_id", "snippet", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 # Embeddings and nearest neighbours

@@ -39,3 +39,14 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").selectExpr("conv_id", "struct(turn, concat('## Turn ', turn, '\\n\\n~~~~ ', coalesce(role, ''), '\\n', coalesce(text, ''), '\\n~~~~\\n\\n') AS part) AS t")
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts")).selectExpr("concat('conversation/', conv_id, '.md') AS path", "concat('# Conversation ', conv_id, '\\n\\n', array_join(transform(ts, t -> t.part), '')) AS content")
 
+
+
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of block, link and extension for each nation, and a document of
+    3,000 quotes inside of each other."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr(
+        "concat('kinds/', n_nationkey, '.md') AS path",
+        f"""concat('# Kinds of ', n_name, '\\n\\n| a | b |\\n|---|---|\\n| ', n_name, ' | ', n_nationkey, ' |\\n\\n> Quoted ', n_name, '\\n\\n---\\n\\n<div>', n_name, '</div>\\n\\n- [x] done ', n_name, '\\n- [ ] todo\\n\\n',
+        '![map](img/', n_nationkey, '.png) <https://x.org/', n_nationkey, '> http://y.org/', n_nationkey, ' ~~old~~ *text*[^f]\\n\\nUnder ', n_name, '\\n------\\n\\n{_FENCE}py\\nx = ', n_nationkey, '\\n{_FENCE}\\n\\n[^f]: Note on ', n_name, '\\n') AS content""",
+    )
+    return rows.unionByName(spark.createDataFrame([("kinds/deep.md", ">" * 3000 + " x")], rows.schema))
