@@ -32,8 +32,7 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     of executors, and is computed once however often it is read."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    if (noted := _noted.get()) is not None:
-        noted.append(path)
+    note(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +44,12 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def note(path: str) -> None:
+    """Adds a path in the shared folder to those of the block around."""
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
+
+
 @contextmanager
 def scratch() -> Iterator[list[str]]:
     """The paths of the tables that are ``written`` inside of the block, in
@@ -61,7 +66,7 @@ def scratch() -> Iterator[list[str]]:
 
 
 def remove(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Deletes folders made by ``written``."""
+    """Deletes folders, or files, in the shared folder."""
     jvm = spark.sparkContext._jvm
     for x in paths:
         path = jvm.org.apache.hadoop.fs.Path(x)
