@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkernel as K
-from .common import prepare, require, through, written
+from .common import Shipped, fetched, prepare, require, through, written
 
 PARAMS: dict[str, Any] = {"k": 15, "max_examples": 3000, "max_words": 4_000_000, "min_chi2": 0.0, "strong_chi2": 10.0, "min_count": 3, "threshold": 0.5, "other": (0.0, 0.25, 0.5, 1.0), "weak": (0.05, 0.2, 1.0)}
 #: Documents, and postings, whose cosines are computed at once.
@@ -454,9 +454,9 @@ def fit(docs: DataFrame, labels: DataFrame, **params: Any) -> Model:
         if total > p["max_words"]:
             break
         ids.append(doc)
+    rows = fetched(found).to_pandas()
     if len(ids) < len(sizes):
-        found = found.join(F.broadcast(spark.createDataFrame([(x,) for x in ids], "doc_id long")), "doc_id", "left_semi")
-    rows = found.toArrow().to_pandas()
+        rows = rows[rows["doc_id"].isin(ids)]
     rows = rows.sort_values("doc_id", ignore_index=True) if len(rows) else rows
     tally = {r[0]: r[1] for r in labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("toxic").cast("int")).count().collect()}
     prior = tally.get(1, 0) / max(sum(tally.values()), 1)
@@ -473,8 +473,10 @@ def fit(docs: DataFrame, labels: DataFrame, **params: Any) -> Model:
         yield pa.record_batch([pa.array(np.append(np.flatnonzero(df), -1)), pa.array(np.append(df[df > 0], n))], names=["term", "n"])
 
     df = np.zeros(vocab.size + 1, np.int64)  # the last one is the number of documents
-    found = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = fetched(written(docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "frequencies"))
     df[found["term"].to_numpy()] = found["n"].to_numpy()
+    del rows, feats, found
+    pa.default_memory_pool().release_unused()
     return model.weigh(df[:-1], int(df[-1]))
 
 
@@ -511,7 +513,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     score and no evidence. Repeated rows are scored each; a null ``doc_id``
     stays null. Other columns are ignored."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(docs.sparkSession, model, "toxicity-model")  # bounded by max_examples and max_words
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("toxic", pa.bool_()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))), ("terms", pa.list_(pa.string()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,7 +537,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     ``score``. Null and empty texts go by the rate of examples without words;
     repeated rows stay or go alike; an empty table stays empty."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(docs.sparkSession, model, "toxicity-model")  # bounded by max_examples and max_words
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
