@@ -18,7 +18,10 @@ joined into passages, which can be cut out.
    with a common prefix of ``words`` words or more are equal windows.
 
 A collection is all segments of some anchors, at least ``segments`` of them and
-as many more as one anchor has; nothing is capped.
+as many more as one anchor has. No task gets more of one anchor than ``hot``
+occurrences: the windows around anchors that occur more often (a passage in a
+third of all documents has such) are grouped by their own hashes, which partial
+aggregation does before any shuffle, and give the same marks (``hot_windows``).
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bwt
 from . import textkernel as K
-from .common import placed, prepare, require, shared_dir, written
+from .common import Shipped, placed, prepare, require, shared_dir, written
 
-PARAMS: dict[str, Any] = {"words": 50, "k": 16, "segments": 10000, "within": False, "ram": 1 << 23}
+PARAMS: dict[str, Any] = {"words": 50, "k": 16, "segments": 10000, "within": False, "ram": 1 << 23, "hot": 1_000_000}
 
 SPANS = "doc_id long, th long, start_word int, end_word int, first_doc_id long"
 
@@ -241,9 +244,46 @@ def marked(segs: DataFrame, p: dict[str, Any], folder: str | None) -> DataFrame:
     return segs.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
+def hot_windows(rows: DataFrame, hot: Any, p: dict[str, Any]) -> DataFrame:
+    """Marked windows, each a span of its own, of those that hold one of the
+    anchors ``hot``: the first document, or place, of each window is found by a
+    least value over its hash."""
+    words, k = p["words"], p["k"]
+    w = words - k + 1
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = hot.value
+        for batch in it:
+            for s in K.slices(batch.column("text")):
+                ws = K.words(s, folded=False)
+                at, h = K.winnow(ws, k, w, s.offs.size - 1)
+                at = at[np.isin(h, some)]
+                if not at.size:
+                    continue
+                doc = ws.doc[at]
+                lo = np.maximum(ws.bounds[doc], at - w + 1)
+                n = np.minimum(ws.bounds[doc + 1] - words, at) - lo + 1  # windows that hold the anchor
+                lo, n = lo[n > 0], n[n > 0]
+                start = np.unique(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+                cs, _ = _prefix(ws.hash)
+                back = np.full(ws.hash.size + 1, _INVERSE, np.uint64)
+                back[0] = 1
+                np.multiply.accumulate(back, out=back)
+                hashed = K.mix((cs[start + words] - cs[start]) * back[start])
+                doc = ws.doc[start]
+                for i in range(0, start.size, 1 << 18):
+                    j = slice(i, i + (1 << 18))
+                    yield pa.record_batch([pa.array(hashed[j].view(np.int64)), *_take(batch, s.first, doc[j]), pa.array((start[j] - ws.bounds[doc[j]]).astype(np.int32))], names=["wh", "doc_id", "th", "start_word"])
+
+    each = written(rows.mapInArrow(run, "wh long, doc_id long, th long, start_word int").distinct(), "hot-windows")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", *(["start_word"] if p["within"] else []))
+    first = each.groupBy("wh").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("wh", "first")
+    return each.join(first, "wh").where(place != F.col("first")).select("doc_id", "th", "start_word", (F.col("start_word") + words).alias("end_word"), F.col("first.doc_id").alias("first_doc_id"))
+
+
 def united(spans: DataFrame) -> DataFrame:
     """Passages of a document that overlap or touch become one; it keeps the
-    first_doc_id of its first part."""
+    first_doc_id of its first part. A task gets whole documents."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole(it, "th"):
@@ -278,10 +318,18 @@ def repeats(docs: DataFrame, **params: Any) -> DataFrame:
     prepare(spark)
     rows = _rows(docs)
     folder = f"{shared_dir(spark)}/columns"
-    found = written(repeated(anchors(rows, p), p["within"]), "anchors")
+    every = written(anchors(rows, p), "anchors")
+    often = every.groupBy("h").count().where(F.col("count") > p["hot"]).select("h")
+    hot = sorted(r[0] for r in often.collect())  # at most one in ``hot`` of all anchors
+    cold = every
+    if hot:
+        shared = Shipped(spark, np.array(hot, np.int64).view(np.uint64), "hot-anchors")
+        cold = every.join(F.broadcast(spark.createDataFrame([(x,) for x in hot], "h long")), "h", "left_anti")
+    found = written(repeated(cold, p["within"]), "anchors")
     copies = found.where("copy").select("doc_id", "th", F.expr("cast(span div 1048576 as int)").alias("start_word"), F.expr("cast((span div 1048576) + (span & 1048575) as int)").alias("end_word"), "first_doc_id")
     firsts = found.where("not copy")
-    return united(copies.unionByName(marked(segments(rows, firsts), p, folder)))
+    spans = copies.unionByName(marked(segments(rows, firsts), p, folder))
+    return united(spans.unionByName(hot_windows(rows, shared, p)) if hot else spans)
 
 
 def cut(docs: DataFrame, **params: Any) -> DataFrame:

@@ -26,10 +26,10 @@ def brute(docs, n, within=False):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("ram", [1 << 23, 1000])
+@pytest.mark.parametrize("ram, hot", [(1 << 23, 1 << 40), (1000, 1 << 40), (1 << 23, 3), (1 << 23, 0)])
 @pytest.mark.parametrize("within", [False, True])
 @pytest.mark.parametrize("vocabulary, words", [(3000, 50), (3, 20), (2, 10), (3000, 300)])
-def test_against_brute_force(spark, vocabulary, words, within, ram):
+def test_against_brute_force(spark, vocabulary, words, within, ram, hot):
     rng = random.Random(vocabulary)
     passages = [prose(rng, n, vocabulary) for n in (49, 50, 51, 80, 200, 299, 300, 301, 420)]
     docs = []
@@ -39,7 +39,7 @@ def test_against_brute_force(spark, vocabulary, words, within, ram):
             parts += [rng.choice(passages), prose(rng, rng.randrange(0, 30), vocabulary)]
         docs.append((i, rng.choice([" ", "\n", "\t "]).join(parts)))
     docs.append((50, " ".join([passages[1]] * 4)))
-    rows = D.repeats(frame(spark, docs, "doc_id long, text string"), words=words, k=min(16, words // 2), within=within, ram=ram).collect()
+    rows = D.repeats(frame(spark, docs, "doc_id long, text string"), words=words, k=min(16, words // 2), within=within, ram=ram, hot=hot).collect()
     assert sorted(((r.doc_id, r.start_word, r.end_word) for r in rows), key=repr) == brute(docs, words, within)
     assert all(r.first_doc_id <= r.doc_id for r in rows)
 
