@@ -5,8 +5,11 @@ documents whose earlier rows it replaces or deletes. Nothing is rewritten by a
 commit, so its cost follows the change and not the collection. A read takes the
 segments up to its version in one scan per table and leaves out rows of
 documents that a later commit dropped; ``compact`` folds all of it into one
-segment. The commit file comes last and is created only if its number is free,
-so a reader never sees half of a commit and of two writers one fails.
+segment. The commit file comes last, renamed into place only if its number is
+free, so a reader never sees half of a commit. Where renaming is atomic and
+doesn't replace (HDFS), of two writers one fails; on a local file system or an
+object store two that publish in the same moment may both believe that they
+succeeded, so there a collection should have one writer.
 """
 
 from __future__ import annotations
