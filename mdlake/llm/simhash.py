@@ -19,9 +19,10 @@ doesn't fall with it, ``tables`` rises to keep the probability at
 grows as the points to the power 0.27.
 
 A bucket of more than ``cap`` points, as hardly any but a dense cluster makes
-it, is split by the next coordinates of its table's permutation until it fits.
-That is what bounds a task; the pairs that a split parts are looked for in as
-many further tables as restore the probability for the points concerned.
+it, is split by the next ``more`` coordinates of its table's permutation, again
+and again until it fits. Buckets are counted for that before they are shuffled,
+so no task ever gets more than ``cap`` points of one. The pairs that a split
+parts are looked for in further tables.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from ..operators import components
 from . import textkernel as K
 from .common import placed, prepare, require, written
 
-PARAMS: dict[str, Any] = {"tables": 32, "bits": 13, "bucket": 400, "cap": 20_000, "max_distance": 22, "seed": 7}
+PARAMS: dict[str, Any] = {"tables": 32, "bits": 13, "bucket": 400, "cap": 20_000, "more": 8, "max_distance": 22, "seed": 7}
 WIDTH = 128
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -166,69 +167,69 @@ def forest(hi: np.ndarray, lo: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
-def split(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, perm: np.ndarray, bits: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, key): buckets of more than ``cap`` points take one further
-    sampled bit after another until none is too large."""
-    order = np.argsort(key, kind="stable")
-    key = np.unique(key[order], return_inverse=True)[1].astype(np.int64)
-    for place in perm[bits:]:
-        size = np.bincount(key)
-        big = size[key] > cap
-        if not big.any():
-            break
-        word = hi[order] if place < 64 else lo[order]
-        bit = ((word >> np.uint64(place & 63)) & np.uint64(1)).astype(np.int64)
-        key = key * 2 + np.where(big, bit, 0)
-        again = np.argsort(key, kind="stable")
-        order = order[again]
-        key = np.unique(key[again], return_inverse=True)[1].astype(np.int64)
-    return order, key
-
-
-def edges(points: DataFrame, bits: int, tables: range, p: dict[str, Any], strained: bool = False) -> DataFrame:
-    """(a_hi, a_lo, b_hi, b_lo): pairs of points within the distance, enough of
-    them to connect every bucket's components; a pair of a point with itself
-    tells that its bucket was split, b_lo's place then holding the depth, if
-    ``strained``."""
+def buckets(points: DataFrame, bits: int, tables: range, p: dict[str, Any]) -> tuple[DataFrame, DataFrame | None]:
+    """(t, key, hi, lo) of every point and table, in buckets of at most ``cap``
+    points; then the points (hi, lo) whose bucket was split in any table, if
+    there are such."""
     perms = permutations(p["seed"], tables)
-    first = tables.start
+    shape = "t int, key long, hi long, lo long"
+
+    def batch_of(t: np.ndarray, key: np.ndarray, depth: int, hi: pa.Array, lo: pa.Array) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(t, pa.int32()), pa.array(K.mix(key.view(np.uint64) + np.uint64(depth)).view(np.int64)), hi, lo], names=["t", "key", "hi", "lo"])
 
-    def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             hi, lo = (batch.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
-            for t in tables:
-                yield pa.record_batch([pa.array(sampled(hi, lo, perms[t - first, :bits])), pa.array(np.full(hi.size, t, np.int32)), batch.column("hi"), batch.column("lo")], names=["key", "t", "hi", "lo"])
+            for i, t in enumerate(tables):
+                yield batch_of(np.full(hi.size, t, np.int32), sampled(hi, lo, perms[i, :bits]), 0, batch.column("hi"), batch.column("lo"))
+
+    def deeper(depth: int) -> Any:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                hi, lo = (batch.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
+                t, key = batch.column("t").to_numpy(), batch.column("key").to_numpy().copy()
+                for x in np.unique(t):
+                    at = np.flatnonzero(t == x)
+                    key[at] += sampled(hi[at], lo[at], perms[x - tables.start, depth : depth + p["more"]])
+                yield batch_of(t, key, depth, batch.column("hi"), batch.column("lo"))
+
+        return run
+
+    rows, depth, out, strained = points.select("hi", "lo").mapInArrow(begin, shape), bits, None, None
+    while True:
+        big = written(rows.groupBy("t", "key").count().where(F.col("count") > p["cap"]).select("t", "key"), "simhash-split") if depth < WIDTH else None
+        if big is None or big.isEmpty():
+            return rows if out is None else out.unionByName(rows), strained
+        fit = rows.join(big, ["t", "key"], "left_anti").select("t", "key", "hi", "lo")
+        out = fit if out is None else out.unionByName(fit)
+        inside = written(rows.join(big, ["t", "key"], "left_semi").select("t", "key", "hi", "lo"), "simhash-inside")
+        strained = inside.select("hi", "lo").distinct() if strained is None else strained
+        rows, depth = inside.mapInArrow(deeper(depth), shape), depth + p["more"]
+
+
+def edges(rows: DataFrame, p: dict[str, Any]) -> DataFrame:
+    """(a_hi, a_lo, b_hi, b_lo): pairs of points within the distance, enough of
+    them to connect every bucket's components."""
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole(it):
             t, key = batch.column("t").to_numpy(), batch.column("key").to_numpy()
             hi, lo = (batch.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
-            a, b = [], []
             bucket = np.cumsum(np.append(True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]))) - 1
             size = np.bincount(bucket)
             few = np.flatnonzero(size[bucket] <= 64)
             x, y = _small(bucket[few], hi[few], lo[few], p["max_distance"])
-            a.append(few[x])
-            b.append(few[y])
+            a, b = [few[x]], [few[y]]
             start = np.append(0, np.cumsum(size))
             for k in np.flatnonzero(size > 64).tolist():
-                at = np.arange(start[k], start[k + 1])
-                order, part = split(np.zeros(at.size, np.int64), hi[at], lo[at], perms[t[at[0]] - first], bits, p["cap"])
-                at = at[order]
-                cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), at.size)
-                for u, v in zip(cut[:-1], cut[1:]):
-                    mine = at[u:v]
-                    found = np.array(forest(hi[mine], lo[mine], p["max_distance"]), np.int64).reshape(-1, 2)
-                    a.append(mine[found[:, 0]])
-                    b.append(mine[found[:, 1]])
-                if cut.size > 2 and strained:  # all points of a bucket that was split
-                    a.append(at)
-                    b.append(at)
+                mine = slice(start[k], start[k + 1])
+                found = np.array(forest(hi[mine], lo[mine], p["max_distance"]), np.int64).reshape(-1, 2) + start[k]
+                a.append(found[:, 0])
+                b.append(found[:, 1])
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.record_batch([pa.array(v.view(np.int64)) for v in (hi[a], lo[a], hi[b], lo[b])], names=["a_hi", "a_lo", "b_hi", "b_lo"])
 
-    keyed = points.select("hi", "lo").mapInArrow(keys, "key long, t int, hi long, lo long")
-    return keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(verify, "a_hi long, a_lo long, b_hi long, b_lo long")
+    return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(verify, "a_hi long, a_lo long, b_hi long, b_lo long")
 
 
 def _whole(it: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -256,17 +257,15 @@ def _whole(it: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[pa.Rec
 
 
 def links(points: DataFrame, p: dict[str, Any]) -> DataFrame:
-    """The pairs over all tables. Points whose bucket was split get as many
-    tables more as they had, until no more buckets of theirs are split or
-    ``tables`` times four were searched; their share of recall is restored by
-    chance alone, so it isn't certain."""
+    """The pairs over all tables. Points whose bucket was split are searched in
+    three times as many tables more; what splits part is so found by chance
+    again, which isn't certain: recall of pairs within a cluster of more than
+    ``cap`` distinct fingerprints that agree on all sampled bits isn't planned."""
     bits, tables = plan(points.count(), p)
-    found = written(edges(points, bits, range(tables), p, True), "simhash-pairs")
-    same = (F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") == F.col("b_lo"))
-    strained = found.where(same).select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).distinct()
-    pairs = found.where(~same)
-    if not strained.isEmpty():
-        pairs = pairs.unionByName(edges(strained, bits, range(tables, 4 * tables), p))
+    rows, strained = buckets(points, bits, range(tables), p)
+    pairs = edges(rows, p)
+    if strained is not None:
+        pairs = pairs.unionByName(edges(buckets(strained, bits, range(tables, 4 * tables), p)[0], p))
     return pairs
 
 
