@@ -50,10 +50,18 @@ def document_count(spark, sf_dir):
     return _parts(spark, sf_dir)["documents"].agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query(f"SELECT 'part/' || p_partkey || '.md' AS path, {_TITLE} AS title, CAST(9 AS INTEGER) AS n_blocks, CAST(4 AS INTEGER) + CAST(p_partkey % 2 = 0 AS INTEGER) AS n_tags FROM part WHERE p_partkey = 8")
+@query(
+    f"""WITH t AS (SELECT p_partkey, 'title' AS key, '"' || p_name || '"' AS value FROM part UNION ALL SELECT p_partkey, 'brand', '"' || p_brand || '"' FROM part UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part
+UNION ALL SELECT p_partkey, 'tags', '"' || p_type || '"' FROM part UNION ALL SELECT p_partkey, 'tags', '"' || p_brand || '"' FROM part)
+SELECT 'part/' || p.p_partkey || '.md' AS path, {_TITLE} AS title, 'heading|paragraph|heading|code_block|list|list_item|paragraph|list_item|paragraph' AS block_types,
+'Part ' || p_name || '|A ' || p_name || ' of size ' || p_size || '.|Query|SELECT ' || p.p_partkey || ';' || chr(10) || '|type ' || p_type || 'by ' || p_type || '|type ' || p_type || '|type ' || p_type || '|by ' || p_type || '|by ' || p_type AS texts,
+(SELECT string_agg(key || '=' || value, '|' ORDER BY key, value) FROM t WHERE t.p_partkey = p.p_partkey) AS tags FROM part p WHERE p.p_partkey = 8"""
+)
 def full_document(spark, sf_dir):
     t = _parts(spark, sf_dir)
-    return B.full_document(t["documents"], t["blocks"], t["tags"], "part/8.md").select("path", "title", F.size("blocks").alias("n_blocks"), F.size("tags").alias("n_tags"))
+    row = B.full_document(t["documents"], t["blocks"], t["tags"], "part/8.md")
+    joined = lambda c, f: F.array_join(F.transform(c, f), "|")
+    return row.select("path", "title", joined("blocks", lambda b: b["block_type"]).alias("block_types"), joined("blocks", lambda b: b["text_content"]).alias("texts"), joined("tags", lambda x: F.concat_ws("=", x["key"], x["value"])).alias("tags"))
 
 
 @query("SELECT 'part/' || p_partkey || '.md' AS path, CAST(9 AS BIGINT) AS blocks, CAST(1 AS BIGINT) AS links, CAST(4 + CAST(p_partkey % 2 = 0 AS INTEGER) AS BIGINT) AS tags FROM part")
