@@ -150,7 +150,7 @@ class Model:
         chi[a + b < p["min_count"]] = 0
         held = chi >= p["min_chi2"]
         self.vocab, self.strong, self.once = u[held], chi[held] >= p["strong_chi2"], (a + b)[held] == 1
-        self.ids, self.y, self.rows = ids, y, rows
+        self.ids, self.y, self.rows, self.stamp = ids, y, rows, None
 
     def weigh(self, df: np.ndarray, total: int) -> Model:
         """Fits with each factor and keeps those whose scores of the examples,
@@ -249,12 +249,14 @@ class Model:
         self.within = (self.post % BLOCK).astype(np.uint8 if BLOCK <= 256 else np.int32)
         self.entry_most = np.maximum.reduceat(self.scaled_value, at) if at.size else np.zeros(0)
 
-    def _top(self, cos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    def _top(self, cos: np.ndarray, most: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row, cosine) of the ``most`` greatest of each line, ties by the
-        examples' doc_id; -1 where there are fewer."""
+        examples' doc_id; -1 where there are fewer. ``least``: bounds below which
+        none of them lies, where such are known."""
         n = cos.shape[1]
         rows, best = np.full((cos.shape[0], most), -1), np.zeros((cos.shape[0], most))
-        least = np.partition(cos, n - most, axis=1)[:, n - most] if n > most else np.zeros(cos.shape[0])
+        if least is None:
+            least = np.partition(cos, n - most, axis=1)[:, n - most] if n > most else np.zeros(cos.shape[0])
         line, x = np.nonzero(cos >= np.maximum(least - 2e-9, 1e-9)[:, None])
         c = np.round(cos[line, x], 9)
         order = np.lexsort((self.ids[x], -c, line))
@@ -336,7 +338,7 @@ class Model:
             cos.reshape(docs, nb, BLOCK)[line, block] = dots
             return dots
 
-        seen = np.zeros((docs, 0))
+        seen, least = np.zeros((docs, 0)), np.zeros(docs)
         for wave in WAVES:
             if wave >= nb:
                 break
@@ -347,11 +349,12 @@ class Model:
             seen = np.concatenate([seen, found.reshape(docs, -1)], axis=1)
             if seen.shape[1] > k:
                 seen = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k:]
-                todo &= bound >= np.maximum(seen.min(axis=1) - 4e-9, 1e-9)[:, None]
+                least = seen.min(axis=1)
+                todo &= bound >= np.maximum(least - 4e-9, 1e-9)[:, None]
         line, block = np.nonzero(todo)
         if line.size:
             run(line, block)
-        return self._top(cos[:, :n], k)
+        return self._top(cos[:, :n], k, least)
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> np.ndarray:
         """Share of toxic votes of each line; a neighbour counts by the inverse
@@ -426,10 +429,11 @@ class Model:
 
     def shared(self, term: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Which of the terms any of these examples holds."""
-        mark = np.zeros(self.vocab.size, bool)
-        for r in rows:
-            mark[self.held[self.held_start[r] : self.held_start[r + 1]]] = True
-        return mark[term]
+        if self.stamp is None:
+            self.stamp, self.turn = np.zeros(self.vocab.size, np.int32), 0
+        self.turn += 1
+        self.stamp[np.concatenate([self.held[self.held_start[r] : self.held_start[r + 1]] for r in rows.tolist()])] = self.turn
+        return self.stamp[term] == self.turn
 
 
 def fit(docs: DataFrame, labels: DataFrame, **params: Any) -> Model:
@@ -521,13 +525,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in it:
             n = batch.num_rows
             prob = np.full(n, m.none)
-            evidence: list[list] = [[] for _ in range(n)]
+            near, cosines, size = [], [], np.zeros(n, np.int64)
             terms: list[list] = [[] for _ in range(n)]
-            for row, p, r, c, w in _scored(batch, m, True):
-                prob[row] = p
-                evidence[row] = [{"doc_id": int(m.ids[i]), "toxic": int(m.y[i]), "cosine": round(float(x), 6)} for i, x in zip(r, c)]
-                terms[row] = w
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.round(prob, 6)), pa.array(prob >= m.p["threshold"]), pa.array(evidence, schema.field("evidence").type), pa.array(terms, pa.list_(pa.string()))], schema=schema)
+            for row, p, r, c, w in _scored(batch, m, True):  # in order of rows
+                prob[row], size[row], terms[row] = p, r.size, w
+                near.append(r)
+                cosines.append(c)
+            r = np.concatenate([np.zeros(0, np.int64), *near])
+            votes = pa.StructArray.from_arrays([pa.array(m.ids[r]), pa.array(m.y[r].astype(np.int32)), pa.array(np.round(np.concatenate([np.zeros(0), *cosines]), 6))], fields=list(schema.field("evidence").type.value_type))
+            evidence = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), votes)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.round(prob, 6)), pa.array(prob >= m.p["threshold"]), evidence.cast(schema.field("evidence").type), pa.array(terms, pa.list_(pa.string()))], schema=schema)
 
     return require(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 
