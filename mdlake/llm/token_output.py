@@ -6,7 +6,7 @@ the partition's last is padded, with end marks). Sequence i of n gets the slot
 that a keyed Feistel permutation of [0, n) assigns to i; values that fall
 outside of [0, n) walk the cycle until they fall inside. Slots are cut into
 ranges of ``per_shard``; each range is one file's, in slot order, and a task
-writes up to ``per_task`` consecutive ones, so any slot is at ``(slot % per_shard) * stride`` of file ``slot // per_shard``
+writes ``per_task`` consecutive ones, whatever the size of the corpus, so any slot is at ``(slot % per_shard) * stride`` of file ``slot // per_shard``
 and a reader can stop and resume anywhere.
 
 A file is written under another name and then renamed, so a task that is run
@@ -29,7 +29,7 @@ from . import textkernel as K
 from . import tokens
 from .common import prepare, require, shared_dir
 
-PARAMS: dict[str, Any] = {"length": 2048, "per_shard": 2048, "per_task": 32, "key": 0x5EED, "rounds": 6, "end": 50256, "vocabulary": tokens.VOCABULARY}
+PARAMS: dict[str, Any] = {"length": 2048, "per_shard": 2048, "per_task": 8, "key": 0x5EED, "rounds": 6, "end": 50256, "vocabulary": tokens.VOCABULARY}
 
 
 def _half_bits(n: int) -> int:
@@ -175,9 +175,8 @@ def write(docs: DataFrame, path: str | None = None, **params: Any) -> DataFrame:
             out.drop()
 
     made = docs.mapInArrow(encode, "slot long, shard long, doc_ids array<long>, data binary")
-    # fewer shards a task where there are few shards for the cores
-    each = max(1, min(p["per_task"], shards // (2 * spark.sparkContext.defaultParallelism)))
-    return made.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot").mapInArrow(store, "slot long, shard long, path string, offset long, stride int, doc_ids array<long>, crc32 long")
+    tasks = -(-shards // p["per_task"])
+    return made.repartitionById(tasks, F.floor(F.col("shard") / p["per_task"]).cast("int")).sortWithinPartitions("slot").mapInArrow(store, "slot long, shard long, path string, offset long, stride int, doc_ids array<long>, crc32 long")
 
 
 def read(path: str, slot: int, count: int, per_shard: int, stride: int, dtype: type = np.uint16) -> np.ndarray:
