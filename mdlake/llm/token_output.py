@@ -6,8 +6,9 @@ the partition's last is padded, with end marks). Sequence i of n gets the slot
 that a keyed Feistel permutation of [0, n) assigns to i; values that fall
 outside of [0, n) walk the cycle until they fall inside. Slots are cut into
 ranges of ``per_shard``; each range is one file's, in slot order, and a task
-writes ``per_task`` consecutive ones, whatever the size of the corpus, so any slot is at ``(slot % per_shard) * stride`` of file ``slot // per_shard``
-and a reader can stop and resume anywhere.
+writes ``per_task`` consecutive ones, whatever the size of the corpus. So any
+slot is at ``(slot % per_shard) * stride`` of file ``slot // per_shard`` and a
+reader can stop and resume anywhere.
 
 A file is written under another name and then renamed, so a task that is run
 again, or twice at once, leaves the same whole file.
