@@ -120,7 +120,7 @@ def _small(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, most: int) -> tuple[
     ``most``; rows are sorted by key. For many small buckets at once."""
     n = key.size
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, np.int64)
-    end = np.append(start[1:], n)
+    end = np.append(start, n)[1:]  # none without rows, as where all buckets are large
     left = np.repeat(end, end - start) - np.arange(n) - 1  # partners that follow in the bucket
     found_a, found_b = [], []
     alive = np.flatnonzero(left > 0)

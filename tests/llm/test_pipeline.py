@@ -67,6 +67,17 @@ def test_stages_take_any_columns(spark, tmp_path):
     assert sorted(x.rpartition("-")[0] for x in set(folder.list()) - before if not x.startswith("columns")) == ["stage-decontamination", "windows"]
 
 
+def test_near_copies_where_all_buckets_are_large(spark, tmp_path, monkeypatch):
+    """As on many documents: a task has no bucket of few points."""
+    rng = random.Random(6)
+    texts = [prose(rng, 60) for _ in range(100)]
+    rows = [(i, t, "en", "web", 1) for i, t in enumerate(texts + [f"{t} extra" for t in texts[:30]])]
+    monkeypatch.setitem(simhash.PARAMS, "bits", 0)
+    monkeypatch.setitem(simhash.PARAMS, "tables", 1)
+    stage = dict(P.STAGES)["near duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, frame(spark, rows), str(tmp_path)).collect()) == list(range(100))
+
+
 def test_empty_table(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
