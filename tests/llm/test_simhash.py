@@ -74,6 +74,23 @@ def test_large_buckets_are_split_and_still_found(spark):
     assert len({r.group_id for r in rows}) == 1 and len(rows) >= 290 and all(r.doc_id < 300 for r in rows)
 
 
+def test_all_buckets_large_equal_brute_force(spark):
+    """With no bits to sample all points share one bucket, so no task has a
+    bucket of few points and nothing may be missed."""
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(30, 120)) for _ in range(120)]
+    texts += [changed(rng, t, rng.randrange(0, 6)) for t in texts[:80]]
+    _, groups = brute(texts, S.PARAMS["max_distance"])
+    want = {i: (min(g), len(g)) for g in groups.values() if len(g) > 1 for i in g}
+    rows = S.near_duplicates(frame(spark, list(enumerate(texts)), "doc_id long, text string"), bits=0, tables=1).collect()
+    assert len(want) > 100 and {r.doc_id: (r.group_id, r.group_size) for r in rows} == want
+
+
+def test_no_small_buckets():
+    none = np.zeros(0, np.uint64)
+    assert [x.tolist() for x in S._small(none.astype(np.int64), none, none, 22)] == [[], []]
+
+
 def test_awkward_rows(spark):
     rows = awkward(random.Random(5))
     docs = frame(spark, rows, clash=True)
