@@ -142,6 +142,10 @@ def doc_id(path: Column) -> Column:
     return uuid_of(path)
 
 
+def block_id(doc: Column, ordinal: Column) -> Column:
+    return uuid_of(doc, F.lit("block"), ordinal.cast("string"))
+
+
 #: What each table needs of a parse.
 _NEEDS = {"documents": ("title",), "blocks": ("blocks",), "links": ("links",), "tags": ("tags",)}
 
@@ -174,3 +178,29 @@ def tables(parsed: DataFrame, now: Column | None = None) -> dict[str, DataFrame]
         ),
         "tags": tag.select(part("tag", F.col("seq")).alias("tag_id"), "doc_id", "key", "value", "path"),
     }
+
+
+# Blocks inside of others. The ordinal of a block is its place in the row of its
+# document, so these read single parsed rows: without a join, however many
+# documents there are.
+
+
+def parents(parsed: DataFrame) -> DataFrame:
+    """(path, ordinal, parent_ordinal, parent_type) of every block inside of
+    another."""
+    inner = F.filter("blocks", lambda b: b["parent"].isNotNull())
+    pairs = F.transform(inner, lambda b: F.struct(b["ordinal"].alias("ordinal"), b["parent"].alias("parent_ordinal"), F.get("blocks", b["parent"])["block_type"].alias("parent_type")))
+    return parsed.where("error is null").select("path", F.inline(pairs))
+
+
+def descendants(parsed: DataFrame, depth: int = 8) -> DataFrame:
+    """(ancestor_id, block_id, distance) of every block and the blocks around
+    it, up to ``depth`` levels; see ``blocks.descendants`` for stored tables."""
+    pair = lambda block, ancestor, distance: F.struct(block.alias("block"), ancestor.alias("ancestor"), distance.alias("distance"))
+    level, out = F.transform("blocks", lambda b: pair(b["ordinal"], b["parent"], F.lit(1))), []
+    for _ in range(depth):
+        level = F.filter(level, lambda x: x["ancestor"].isNotNull())
+        out.append(level)
+        level = F.transform(level, lambda x: pair(x["block"], F.get("blocks", x["ancestor"])["parent"], x["distance"] + 1))
+    rows = parsed.where("error is null").select(doc_id(F.col("path")).alias("doc_id"), F.inline(F.concat(*out)))
+    return rows.select(block_id(F.col("doc_id"), F.col("ancestor")).alias("ancestor_id"), block_id(F.col("doc_id"), F.col("block")).alias("block_id"), "distance")

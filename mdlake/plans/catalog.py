@@ -131,9 +131,7 @@ def blocks_by_doc(spark, sf_dir):
 
 @query(_BLOCKS + "SELECT c.path, c.ordinal, p.ordinal AS parent_ordinal, p.block_type AS parent_type FROM b c JOIN b p ON c.path = p.path AND c.parent = p.ordinal")
 def block_parents(spark, sf_dir):
-    rows = _parts(spark, sf_dir)["blocks"]
-    up = rows.select(F.col("block_id").alias("parent_block_id"), F.col("ordinal").alias("parent_ordinal"), F.col("block_type").alias("parent_type"))
-    return rows.join(up, "parent_block_id").select("path", "ordinal", "parent_ordinal", "parent_type")
+    return P.parents(P.parse(corpus.parts(spark, sf_dir), ("blocks",)))
 
 
 @query(_BLOCKS + ", up AS (SELECT path, ordinal, parent AS above, 1 AS distance FROM b WHERE parent IS NOT NULL), two AS (SELECT u.path, u.ordinal, b.parent AS above, 2 AS distance FROM up u JOIN b ON u.path = b.path AND u.above = b.ordinal WHERE b.parent IS NOT NULL) SELECT distance, count(*) AS pairs FROM (SELECT * FROM up UNION ALL SELECT * FROM two) GROUP BY distance")
