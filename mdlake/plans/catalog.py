@@ -136,7 +136,7 @@ def block_parents(spark, sf_dir):
 
 @query(_BLOCKS + ", up AS (SELECT path, ordinal, parent AS above, 1 AS distance FROM b WHERE parent IS NOT NULL), two AS (SELECT u.path, u.ordinal, b.parent AS above, 2 AS distance FROM up u JOIN b ON u.path = b.path AND u.above = b.ordinal WHERE b.parent IS NOT NULL) SELECT distance, count(*) AS pairs FROM (SELECT * FROM up UNION ALL SELECT * FROM two) GROUP BY distance")
 def block_descendants(spark, sf_dir):
-    return B.descendants(_parts(spark, sf_dir)["blocks"], 4).groupBy("distance").agg(F.count(F.lit(1)).alias("pairs"))
+    return P.descendants(P.parse(corpus.parts(spark, sf_dir), ("blocks",)), 4).groupBy("distance").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 _FENCE = "chr(96) || chr(96) || chr(96)"

@@ -2,7 +2,7 @@
 
 import pytest
 
-from mdlake.operators import parse as P
+from mdlake.operators import blocks as B, parse as P
 from mdlake.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -13,11 +13,22 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["block_parents"])
+@pytest.mark.parametrize("name", ["block_parents", "block_descendants"])
 def test_blocks_are_not_joined(spark, name):
     assert "Join" not in plan(catalog.QUERIES[name](spark, DIR))
 
 
+@pytest.mark.parametrize("depth", [1, 3, 8])
+def test_descendants_of_rows_and_tables(spark, depth):
+    docs = spark.createDataFrame([("a.md", NESTED), ("b.md", "x"), ("c.md", "---\na: [\n---\n# E"), ("d.md", ">" * 40 + " y")], "path string, content string")
+    parsed = P.parse(docs)
+    flat = B.descendants(P.tables(parsed)["blocks"], depth)
+    assert "BroadcastHashJoin" not in plan(flat)
+    columns = "ancestor_id", "block_id", "distance"
+    found = sorted(map(tuple, P.descendants(parsed, depth).select(*columns).collect()))
+    assert found == sorted(map(tuple, flat.select(*columns).collect())) and len(found) > 40
+
+
 def test_parents_of_rows_and_tables(spark):
     parsed = P.parse(spark.createDataFrame([("a.md", NESTED), ("b.md", "")], "path string, content string"))
     rows = {r.block_id: r for r in P.tables(parsed)["blocks"].collect()}
