@@ -6,13 +6,15 @@ import hashlib
 import json
 import string
 import urllib.request
-from typing import Protocol, Sequence
+from typing import Iterator, Protocol, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 MIN_BYTES = 5
+#: Texts, and their characters, that are embedded at once.
+MOST_TEXTS, MOST_CHARS = 256, 1 << 20
 
 
 class EmbeddingError(Exception):
@@ -59,16 +61,19 @@ class HashProvider:
             found = self._known[token] = (int(digest[:8], 16) % self.dimension, 1 if int(digest[8], 16) % 2 == 0 else -1)
         return found
 
+    def array(self, texts: Sequence[str]) -> np.ndarray:
+        """The vectors as rows of 32-bit floats."""
+        places = [(i * self.dimension + at, sign) for i, text in enumerate(texts) for at, sign in map(self.place, tokenize(text))]
+        at, sign = np.array(places, np.int64).reshape(-1, 2).T
+        v = np.bincount(at, sign, len(texts) * self.dimension).reshape(len(texts), self.dimension)
+        norm = np.sqrt((v * v).sum(1, keepdims=True))  # of whole numbers, so exact in any order
+        return (v / np.where(norm > np.finfo(np.float32).eps, norm, 1)).astype(np.float32)
+
     def embed(self, text: str) -> list[float]:
-        v = np.zeros(self.dimension)
-        for token in tokenize(text):
-            i, sign = self.place(token)
-            v[i] += sign
-        norm = float(np.sqrt(v @ v))
-        return (v / norm if norm > np.finfo(np.float32).eps else v).astype(np.float32).tolist()
+        return self.array([text])[0].tolist()
 
     def embed_batch(self, texts: Sequence[str]) -> list[list[float]]:
-        return [self.embed(t) for t in texts]
+        return self.array(texts).tolist()
 
 
 class HttpProvider:
@@ -101,14 +106,50 @@ class HttpProvider:
         return found
 
 
+def groups(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts that aren't null, some at a time."""
+    some, chars = [], 0
+    for x in texts:
+        text = x.as_py()
+        if text is None:
+            continue
+        if some and (len(some) == MOST_TEXTS or chars + len(text) > MOST_CHARS):
+            yield some
+            some, chars = [], 0
+        some.append(text)
+        chars += len(text)
+    if some:
+        yield some
+
+
+def vectors(texts: pa.Array, provider: Provider) -> pa.Array:
+    """An embedding for every text, null for null. Vectors are made for some
+    texts at a time and kept as 32-bit floats, so a batch needs little more than
+    its result."""
+    values, sizes = [], []
+    for some in groups(texts):
+        if isinstance(provider, HashProvider):
+            made = provider.array(some)
+            values.append(pa.array(made.ravel()))
+            sizes += [provider.dimension] * len(made)
+        else:
+            made = pa.array(provider.embed_batch(some), pa.list_(pa.float32()))
+            values.append(made.flatten())
+            sizes += made.value_lengths().to_pylist()
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    ends = np.zeros(len(texts) + 1, np.int32)
+    ends[1:][~null] = sizes
+    flat = pa.concat_arrays(values) if values else pa.array([], pa.float32())
+    return pa.ListArray.from_arrays(pa.array(ends.cumsum(dtype=np.int32)), flat, mask=pa.array(null))
+
+
 def embed(text: Column, provider: Provider | None = None) -> Column:
-    """The embedding of a text column, a batch at a time; null stays null."""
+    """The embedding of a text column, some texts at a time; null stays null."""
     provider = provider or HashProvider()
 
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        some = texts.dropna()
-        return pd.Series(provider.embed_batch(some.tolist()), index=some.index, dtype=object).reindex(texts.index)
+    @F.arrow_udf("array<float>")
+    def run(texts: pa.Array) -> pa.Array:
+        return vectors(texts, provider)
 
     return run(text)
 

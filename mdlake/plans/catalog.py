@@ -343,7 +343,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_HASHED + "SELECT conv_id, turn, bucket, round(CAST(x AS DOUBLE), 4) AS value FROM v")
 def hash_embed(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("conv_id", "turn", F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select("conv_id", "turn", "bucket", F.round(F.col("value").cast("double"), 4).alias("value"))
+    # Spark would filter by what it explodes, and so embed each text twice, unless that is an outer explode
+    return _vectors(spark, sf_dir).select("conv_id", "turn", F.posexplode_outer("vector").alias("bucket", "value")).where("value <> 0").select("conv_id", "turn", "bucket", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query(_ENTRIES + "SELECT doc_id, count(*) AS blocks FROM entries WHERE block_id <> '' AND strlen(regexp_replace(content, '^[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g')) >= 5 GROUP BY doc_id")

@@ -1,7 +1,11 @@
 """Plans that must hold at any size: what is joined, shuffled or parsed."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 
+from mdlake.functions import embedding as E
 from mdlake.operators import blocks as B, parse as P
 from mdlake.plans import catalog
 
@@ -34,3 +38,39 @@ def test_parents_of_rows_and_tables(spark):
     rows = {r.block_id: r for r in P.tables(parsed)["blocks"].collect()}
     want = sorted((r.path, r.ordinal, rows[r.parent_block_id].ordinal, rows[r.parent_block_id].block_type) for r in rows.values() if r.parent_block_id)
     assert sorted(map(tuple, P.parents(parsed).collect())) == want and want
+
+
+class Sized:
+    """A provider of two numbers, that notes how many texts it gets at once."""
+
+    dimension, model_id = 2, "sized"
+
+    def __init__(self):
+        self.most = 0
+
+    def embed_batch(self, texts):
+        self.most = max(self.most, len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_vectors_of_a_batch_are_made_in_parts():
+    texts = ["a b", None, "", "!!", "x " * 3000] * 400
+    sized = Sized()
+    assert E.vectors(pa.array(texts), sized).to_pylist() == [None if t is None else [float(len(t)), 1.0] for t in texts]
+    assert sized.most <= E.MOST_TEXTS
+    found = E.vectors(pa.array(texts[:50]), E.HashProvider())
+    assert found.to_pylist() == [None if t is None else E.HashProvider().embed(t) for t in texts[:50]]
+    assert E.vectors(pa.array([None, None], pa.string()), E.HashProvider()).to_pylist() == [None, None]
+
+
+def test_vectors_need_little_memory():
+    """No numbers as objects of Python: those of 5,000 vectors take 41 MB."""
+    texts = pa.array([f"w{i} of the text" for i in range(5000)])
+    tracemalloc.start()
+    E.vectors(texts, E.HashProvider())
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+
+
+def test_texts_are_embedded_once(spark):
+    assert plan(catalog.QUERIES["hash_embed"](spark, DIR)).count("ArrowEvalPython") == 1
