@@ -150,10 +150,16 @@ def block_id(doc: Column, ordinal: Column) -> Column:
 _NEEDS = {"documents": ("title",), "blocks": ("blocks",), "links": ("links",), "tags": ("tags",)}
 
 
-def tables_of(docs: DataFrame) -> dict[str, DataFrame]:
+def tables_of(docs: DataFrame, path: Column | None = None) -> dict[str, DataFrame]:
     """The four tables of (path, content) rows, each with a column ``path`` and
     each by a parse of its own that makes nothing but that table: for queries
-    that read one table. What reads several should parse once, see ``tables``."""
+    that read one table. What reads several should parse once, see ``tables``.
+
+    ``path`` is a condition on the column of that name. Spark can't move a filter
+    on a table below its parse, so a query for some documents gives it here, and
+    only texts that meet it are parsed."""
+    if path is not None:
+        docs = docs.where(path)
     return {name: tables(parse(docs, want))[name] for name, want in _NEEDS.items()}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mdlake.functions import embedding as E
 from mdlake.operators import blocks as B, fts, graph, knn, parse as P, shared
@@ -16,12 +16,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return P.tables_of(corpus.parts(spark, sf_dir))
+def _parts(spark: SparkSession, sf_dir: str, path: Column | None = None) -> dict[str, DataFrame]:
+    return P.tables_of(corpus.parts(spark, sf_dir), path)
 
 
-def _places(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return P.tables_of(corpus.places(spark, sf_dir))
+def _places(spark: SparkSession, sf_dir: str, path: Column | None = None) -> dict[str, DataFrame]:
+    return P.tables_of(corpus.places(spark, sf_dir), path)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def list_documents(spark, sf_dir):
 
 @query(f"SELECT 'part/' || p_partkey || '.md' AS path, {_TITLE} AS title FROM part WHERE p_partkey = 7")
 def get_document_by_path(spark, sf_dir):
-    return B.by_path(_parts(spark, sf_dir)["documents"], "part/7.md").select("path", "title")
+    return B.by_path(_parts(spark, sf_dir, F.col("path") == "part/7.md")["documents"], "part/7.md").select("path", "title")
 
 
 @query("SELECT count(*) AS documents FROM part")
@@ -58,7 +58,7 @@ SELECT 'part/' || p.p_partkey || '.md' AS path, {_TITLE} AS title, 'heading|para
 (SELECT string_agg(key || '=' || value, '|' ORDER BY key, value) FROM t WHERE t.p_partkey = p.p_partkey) AS tags FROM part p WHERE p.p_partkey = 8"""
 )
 def full_document(spark, sf_dir):
-    t = _parts(spark, sf_dir)
+    t = _parts(spark, sf_dir, F.col("path") == "part/8.md")
     row = B.full_document(t["documents"], t["blocks"], t["tags"], "part/8.md")
     joined = lambda c, f: F.array_join(F.transform(c, f), "|")
     return row.select("path", "title", joined("blocks", lambda b: b["block_type"]).alias("block_types"), joined("blocks", lambda b: b["text_content"]).alias("texts"), joined("tags", lambda x: F.concat_ws("=", x["key"], x["value"])).alias("tags"))
@@ -72,12 +72,12 @@ def ingest_counts(spark, sf_dir):
 
 @query("SELECT 'part/' || p_partkey || '.md' AS path FROM part WHERE 'part/' || p_partkey || '.md' LIKE 'part/1%'")
 def scan_prefix(spark, sf_dir):
-    return _parts(spark, sf_dir)["documents"].where(F.col("path").startswith("part/1")).select("path")
+    return _parts(spark, sf_dir, F.col("path").startswith("part/1"))["documents"].select("path")
 
 
 @query("SELECT 'part/' || p_partkey || '.md' AS path FROM part WHERE 'part/' || p_partkey || '.md' >= 'part/2' AND 'part/' || p_partkey || '.md' < 'part/31'")
 def scan_range(spark, sf_dir):
-    return _parts(spark, sf_dir)["documents"].where((F.col("path") >= "part/2") & (F.col("path") < "part/31")).select("path")
+    return _parts(spark, sf_dir, (F.col("path") >= "part/2") & (F.col("path") < "part/31"))["documents"].select("path")
 
 
 @query("SELECT '{\"path\":\"part/' || p_partkey || '.md\",\"title\":\"' || " + _TITLE + " || '\"}' AS json FROM part")
@@ -184,7 +184,7 @@ def link_types(spark, sf_dir):
 
 @query(_LINKS + "SELECT target, link_type, anchor_text FROM l WHERE path = 'customer/42'")
 def links_from(spark, sf_dir):
-    t = _places(spark, sf_dir)
+    t = _places(spark, sf_dir, F.col("path") == "customer/42")
     return B.links_from(t["documents"], t["links"], "customer/42").select("target", "link_type", "anchor_text")
 
 

@@ -74,3 +74,14 @@ def test_vectors_need_little_memory():
 
 def test_texts_are_embedded_once(spark):
     assert plan(catalog.QUERIES["hash_embed"](spark, DIR)).count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("name", ["full_document", "get_document_by_path", "scan_prefix", "scan_range", "links_from"])
+def test_only_documents_asked_for_are_parsed(spark, name):
+    """Every scan of the documents is filtered before it is parsed."""
+    lines = plan(catalog.QUERIES[name](spark, DIR)).splitlines()
+    parses = [i for i, x in enumerate(lines) if "MapInArrow" in x]
+    for i in parses:
+        below = next(i + j for j, x in enumerate(lines[i:]) if "FileScan" in x)
+        assert any("Filter" in x and ("part/" in x or "customer/42" in x) for x in lines[i:below])
+    assert parses
