@@ -125,7 +125,7 @@ def code_blocks_by_language(spark, sf_dir):
 
 @query(_BLOCKS + "SELECT ordinal, block_type, depth FROM b WHERE path = 'part/7.md'")
 def blocks_by_doc(spark, sf_dir):
-    t = _parts(spark, sf_dir)
+    t = _parts(spark, sf_dir, F.col("path") == "part/7.md")
     return B.blocks_of(t["documents"], t["blocks"], "part/7.md").select("ordinal", "block_type", "depth")
 
 

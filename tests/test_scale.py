@@ -76,7 +76,7 @@ def test_texts_are_embedded_once(spark):
     assert plan(catalog.QUERIES["hash_embed"](spark, DIR)).count("ArrowEvalPython") == 1
 
 
-@pytest.mark.parametrize("name", ["full_document", "get_document_by_path", "scan_prefix", "scan_range", "links_from"])
+@pytest.mark.parametrize("name", ["full_document", "blocks_by_doc", "get_document_by_path", "scan_prefix", "scan_range", "links_from"])
 def test_only_documents_asked_for_are_parsed(spark, name):
     """Every scan of the documents is filtered before it is parsed."""
     lines = plan(catalog.QUERIES[name](spark, DIR)).splitlines()
