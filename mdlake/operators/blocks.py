@@ -77,7 +77,8 @@ def descendants(blocks: DataFrame, depth: int = 8) -> DataFrame:
 
 
 def counts(documents: DataFrame, blocks: DataFrame, links: DataFrame, tags: DataFrame) -> DataFrame:
-    """(doc_id, path, blocks, links, tags): how many each document has."""
+    """(doc_id, path, blocks, links, tags): how many each document has. Of
+    documents that are parsed just now, ``parse.counts`` needs no join."""
     out = documents.select("doc_id", "path")
     for name, df, key in (("blocks", blocks, "doc_id"), ("links", links, "source_doc_id"), ("tags", tags, "doc_id")):
         n = df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias(name))

@@ -186,6 +186,11 @@ def tables(parsed: DataFrame, now: Column | None = None) -> dict[str, DataFrame]
     }
 
 
+def counts(parsed: DataFrame) -> DataFrame:
+    """(path, blocks, links, tags): how many each document has, by one parse."""
+    return parsed.where("error is null").select("path", *(F.size(t).cast("long").alias(t) for t in TABLES))
+
+
 # Blocks inside of others. The ordinal of a block is its place in the row of its
 # document, so these read single parsed rows: without a join, however many
 # documents there are.

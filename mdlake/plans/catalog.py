@@ -66,8 +66,7 @@ def full_document(spark, sf_dir):
 
 @query("SELECT 'part/' || p_partkey || '.md' AS path, CAST(9 AS BIGINT) AS blocks, CAST(1 AS BIGINT) AS links, CAST(4 + CAST(p_partkey % 2 = 0 AS INTEGER) AS BIGINT) AS tags FROM part")
 def ingest_counts(spark, sf_dir):
-    t = _parts(spark, sf_dir)
-    return B.counts(t["documents"], t["blocks"], t["links"], t["tags"]).drop("doc_id")
+    return P.counts(P.parse(corpus.parts(spark, sf_dir), P.TABLES))
 
 
 @query("SELECT 'part/' || p_partkey || '.md' AS path FROM part WHERE 'part/' || p_partkey || '.md' LIKE 'part/1%'")

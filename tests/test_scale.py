@@ -85,3 +85,17 @@ def test_only_documents_asked_for_are_parsed(spark, name):
         below = next(i + j for j, x in enumerate(lines[i:]) if "FileScan" in x)
         assert any("Filter" in x and ("part/" in x or "customer/42" in x) for x in lines[i:below])
     assert parses
+
+
+def test_counts_are_of_one_parse(spark):
+    text = plan(catalog.QUERIES["ingest_counts"](spark, DIR))
+    assert text.count("MapInArrow") == 1 and "Join" not in text
+
+
+def test_counts_of_rows_and_tables(spark):
+    docs = spark.createDataFrame([("a.md", "---\ntags: [x, y]\n---\n" + NESTED + "[[b]]"), ("b.md", ""), ("c.md", "---\na: [\n---\n# E"), ("d.md", None)], "path string, content string")
+    t = P.tables_of(docs)
+    want = B.counts(t["documents"], t["blocks"], t["links"], t["tags"]).select("path", "blocks", "links", "tags")
+    found = P.counts(P.parse(docs, P.TABLES))
+    assert found.dtypes == want.dtypes and sorted(found.collect()) == sorted(want.collect()) and found.count() == 3
+
