@@ -14,6 +14,8 @@ from html import escape
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from . import parse as P
+
 K1, B = 1.2, 0.75
 RAW = ("doc_id", "block_id", "path", "block_type")
 TEXT = ("content", "title")
@@ -27,23 +29,64 @@ class QuerySyntaxError(ValueError):
 
 
 def entries(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, block_id, path, block_type, title, content)."""
+    """(doc_id, block_id, path, block_type, title, content). Blocks that have
+    their documents' path and title aren't joined with them."""
     title = F.coalesce("title", F.lit(""))
     docs = documents.select("doc_id", "path", title.alias("title"))
     own = docs.select("doc_id", F.lit("").alias("block_id"), "path", F.lit("").alias("block_type"), "title", F.col("title").alias("content"))
-    each = blocks.select("doc_id", "block_id", "block_type", F.col("text_content").alias("content")).join(docs, "doc_id")
+    if {"path", "title"} <= set(blocks.columns):
+        each = blocks.select("doc_id", "block_id", "path", "block_type", title.alias("title"), F.col("text_content").alias("content"))
+    else:
+        each = blocks.select("doc_id", "block_id", "block_type", F.col("text_content").alias("content")).join(docs, "doc_id")
     return own.unionByName(each.select(*own.columns))
 
 
+def parsed_entries(parsed: DataFrame) -> DataFrame:
+    """The entries of documents that are parsed just now, title and blocks, by
+    one parse and without a join."""
+    entry = lambda ordinal, kind, content: F.struct(ordinal.alias("ordinal"), kind.alias("block_type"), content.alias("content"))
+    title = F.coalesce("title", F.lit(""))
+    own = F.array(entry(F.lit(None).cast("int"), F.lit(""), title))
+    each = F.transform("blocks", lambda b: entry(b["ordinal"], b["block_type"], b["text_content"]))
+    rows = parsed.where("error is null").select(P.doc_id(F.col("path")).alias("doc_id"), "path", title.alias("title"), F.inline(F.concat(own, each)))
+    block_id = F.when(F.col("ordinal").isNull(), "").otherwise(P.block_id(F.col("doc_id"), F.col("ordinal")))
+    return rows.select("doc_id", block_id.alias("block_id"), "path", "block_type", "title", "content")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits of at most 40 bytes."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) <= 40))
 
 
-def postings(entries: DataFrame) -> DataFrame:
-    """(term, field, doc_id, block_id, tf, dl, positions)."""
+def _words(entries: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, ``field`` and its ``words``, a row per entry and field."""
     fields = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(f, F.lit(""))).alias("words")) for f in TEXT))
-    each = entries.select("doc_id", "block_id", F.inline(fields))
+    return entries.select(*columns, F.inline(fields))
+
+
+def _by_term(words: Column) -> Column:
+    """(term, positions) of the words of one text."""
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731 - so that it is computed once
+
+    def runs(found: Column, starts: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(found))
+        return F.transform(starts, lambda b, k: F.struct(F.get(found, b)["term"].alias("term"), F.slice(found, b + 1, end(k) - b)["at"].alias("positions")))
+
+    def grouped(found: Column) -> Column:
+        begins = F.transform(found, lambda x, i: F.when((i == 0) | (F.get(found, i - 1)["term"] != x["term"]), i))
+        return bind(F.filter(begins, lambda i: i.isNotNull()), lambda starts: runs(found, starts))
+
+    return bind(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at")))), grouped)
+
+
+def postings(entries: DataFrame, unique: bool = False) -> DataFrame:
+    """(term, field, doc_id, block_id, tf, dl, positions). Where it is known that
+    no two entries have the same doc_id and block_id (``unique``), each is grouped
+    by itself and nothing is shuffled."""
+    each = _words(entries, "doc_id", "block_id")
+    if unique:
+        rows = each.select("doc_id", "block_id", "field", F.size("words").alias("dl"), F.inline(_by_term(F.col("words"))))
+        return rows.select("term", "field", "doc_id", "block_id", F.size("positions").alias("tf"), "dl", "positions")
     words = each.select("doc_id", "block_id", "field", F.size("words").alias("dl"), F.posexplode("words").alias("at", "term"))
     return words.groupBy("term", "field", "doc_id", "block_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("at")).alias("positions"))
 
@@ -59,6 +102,19 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def unique_term_stats(entries: DataFrame) -> DataFrame:
+    """``term_stats`` of entries of which no two have the same doc_id and
+    block_id, without their postings: words are summed up where they are read."""
+    row = lambda w, df, cf: F.struct(w.alias("term"), F.lit(df).cast("long").alias("df"), F.lit(cf).cast("long").alias("cf"))
+    both = F.concat(F.transform(F.array_distinct("words"), lambda w: row(w, 1, 0)), F.transform("words", lambda w: row(w, 0, 1)))
+    return _words(entries).select("field", F.inline(both)).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def repeats(rows: DataFrame, *key: str) -> bool:
+    """Whether two rows have the same key."""
+    return not rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def delete_document(entries: DataFrame, doc_id: str) -> DataFrame:
     return entries.where(F.col("doc_id") != doc_id)
 
@@ -246,14 +302,19 @@ class Index:
 
     @classmethod
     def build(cls, documents: DataFrame, blocks: DataFrame, path: str) -> "Index":
+        """``write`` of the entries of these tables."""
+        return cls.write(entries(documents, blocks), path)
+
+    @classmethod
+    def write(cls, made: DataFrame, path: str) -> "Index":
         """Writes the index below ``path``, replacing what is there. Postings are
         range-partitioned and sorted by term, so a term's rows are in few row
         groups."""
-        spark = documents.sparkSession
-        made = entries(documents, blocks)
+        spark = made.sparkSession
         made.write.mode("overwrite").parquet(f"{path}/entries")
         made = spark.read.parquet(f"{path}/entries")
-        postings(made).repartitionByRange("term", "field", "doc_id").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{path}/postings")
+        unique = not repeats(made.where("block_id = ''"), "doc_id")  # blocks have an id each, in their document
+        postings(made, unique).repartitionByRange("term", "field", "doc_id").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{path}/postings")
         field_stats(made).write.mode("overwrite").parquet(f"{path}/stats")
         return cls.load(spark, path)
 

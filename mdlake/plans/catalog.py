@@ -233,8 +233,8 @@ def snapshot_read(spark, sf_dir):
 def _line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     named = docs.select("doc_id", F.col("doc_id").alias("path"), F.lit(None).cast("string").alias("title"))
-    blocks = markdown.lines(docs).withColumn("block_type", F.lit("paragraph"))
-    return fts.entries(named, blocks)
+    lines = markdown.lines(docs).select("*", F.lit("paragraph").alias("block_type"), F.col("doc_id").alias("path"), F.lit(None).cast("string").alias("title"))
+    return fts.entries(named, lines)
 
 
 _ENTRIES = """WITH lines AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
@@ -259,7 +259,9 @@ def fts_entries(spark, sf_dir):
 
 @query(_ENTRIES + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posts GROUP BY term")
 def fts_term_stats(spark, sf_dir):
-    return fts.term_stats(fts.postings(_line_entries(spark, sf_dir))).where("field = 'content'").select("term", "df", "cf")
+    entries = _line_entries(spark, sf_dir)
+    found = fts.term_stats(fts.postings(entries)) if fts.repeats(_read(spark, sf_dir, "documents"), "doc_id") else fts.unique_term_stats(entries)
+    return found.where("field = 'content'").select("term", "df", "cf")
 
 
 def _found(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import tracemalloc
 
+import duckdb
 import pyarrow as pa
 import pytest
 
 from mdlake.functions import embedding as E
-from mdlake.operators import blocks as B, parse as P
+from mdlake.operators import blocks as B, fts, parse as P
 from mdlake.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -99,3 +100,37 @@ def test_counts_of_rows_and_tables(spark):
     found = P.counts(P.parse(docs, P.TABLES))
     assert found.dtypes == want.dtypes and sorted(found.collect()) == sorted(want.collect()) and found.count() == 3
 
+
+ENTRIES = [("1", "", "b a", "b a"), ("1", "1:0", "b a", "x y x, Z x"), ("2", "", None, None), ("2", "2:0", "", "y " * 50 + "q"), ("3", "3:0", "t", "--")]
+
+
+def ordered(df):
+    return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+
+def test_postings_and_counts_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(d, b, d, "", t, c) for d, b, t, c in ENTRIES], "doc_id string, block_id string, path string, block_type string, title string, content string")
+    want, found = fts.postings(rows), fts.postings(rows, unique=True)
+    assert ordered(found) == ordered(want) and found.dtypes == want.dtypes and "Exchange" not in plan(found)
+    assert ordered(fts.unique_term_stats(rows)) == ordered(fts.term_stats(want))
+    assert not fts.repeats(rows, "doc_id", "block_id") and fts.repeats(rows, "doc_id")
+
+
+def test_lines_are_not_joined_nor_shuffled_by_entry(spark):
+    text = plan(catalog.QUERIES["fts_term_stats"](spark, DIR))
+    assert "Join" not in text and "doc_id" not in "".join(x for x in text.splitlines() if "Exchange" in x)
+
+
+def test_repeated_documents_count_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b\nb c"), (1, "a d"), (2, "a")], "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["fts_term_stats"](spark, str(tmp_path)).collect()
+    sql = catalog.ORACLE["fts_term_stats"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, found)) == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_parsed_entries_are_those_of_tables(spark):
+    docs = spark.createDataFrame([("a.md", NESTED), ("b.md", ""), ("c.md", "---\na: [\n---\n# E"), ("d.md", "---\ntitle: T\n---\nx")], "path string, content string")
+    t = P.tables_of(docs)
+    found = fts.parsed_entries(P.parse(docs, ("title", "blocks")))
+    assert ordered(found) == ordered(fts.entries(t["documents"], t["blocks"])) and plan(found).count("MapInArrow") == 1
