@@ -57,9 +57,12 @@ def pagerank(edges: DataFrame, more: DataFrame | None = None, damping: float = 0
     scores. Parallel edges count as often as they are there; the score of nodes
     without edges out is spread over all nodes.
 
-    Weighted edges are partitioned by source once and kept on disk, so a round
-    shuffles scores and partial sums by target, but not the edges. Every round's
-    scores are a table in the shared folder, from which the next begins."""
+    All nodes without edges in have the same score, a number of each round; what
+    they pass on is summed up once, as ``still`` of their targets. So a round
+    works on the nodes with edges in and the edges between them alone. These edges
+    are partitioned by source once and kept on disk, so a round shuffles scores
+    and partial sums by target, but not the edges. Every round's scores are a
+    table in the shared folder, from which the next begins."""
     every = written(nodes(edges, more), "nodes")
     n = every.count()
     if not n:
@@ -67,17 +70,25 @@ def pagerank(edges: DataFrame, more: DataFrame | None = None, damping: float = 0
     pair = edges.where("target_path is not null").groupBy("source_path", "target_path").agg(F.count(F.lit(1)).alias("m"))
     total = pair.groupBy("source_path").agg(F.sum("m").alias("out"))
     flow = written(pair.join(total, "source_path").select(F.col("source_path").alias("src"), F.col("target_path").alias("dst"), (F.col("m") / F.col("out")).alias("share")), "flow")
-    base = written(every.join(flow.select(F.col("src").alias("path")).distinct().withColumn("has", F.lit(True)), "path", "left").select("path", F.col("has").isNull().alias("dangling")), "ranked")
-    flow = flow.repartition("src").persist(StorageLevel.DISK_ONLY)
-    now = base.withColumn("score", F.lit(1.0 / n))
+    ends = lambda c: flow.select(F.col(c).alias("path")).distinct()
+    fed = ends("dst")
+    still = flow.join(fed.withColumnRenamed("path", "src"), "src", "left_anti").groupBy(F.col("dst").alias("path")).agg(F.sum("share").alias("still"))
+    base = fed.join(still, "path", "left").join(ends("src").withColumn("has", F.lit(True)), "path", "left")
+    base = written(base.select("path", F.coalesce("still", F.lit(0.0)).alias("still"), F.col("has").isNull().alias("dangling")), "ranked")
+    alone = n - fed.unionByName(ends("src")).distinct().count()  # nodes without any edge
+    flow = flow.join(base.select(F.col("path").alias("src")), "src", "left_semi").repartition("src").persist(StorageLevel.DISK_ONLY)
+    now, rest = base.withColumn("score", F.lit(1.0 / n)), 1.0 / n
     try:
         for _ in range(rounds):
             into = flow.join(now.select(F.col("path").alias("src"), "score"), "src").groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("share") * F.col("score")).alias("in"))
-            loose = now.where("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))  # one row
-            now = written(base.join(into, "path", "left").crossJoin(F.broadcast(loose)).select("path", "dangling", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / n)).alias("score")), "scores")
+            loose = (now.where("dangling").agg(F.sum("score")).first()[0] or 0.0) + alone * rest  # one row
+            score = lambda given: (1 - damping) / n + damping * (given + loose / n)  # noqa: B023, E731
+            now = written(base.join(into, "path", "left").select("path", "dangling", score(F.coalesce("in", F.lit(0.0)) + F.col("still") * rest).alias("score")), "scores")
+            rest = score(0.0)
     finally:
         flow.unpersist()
-    return now.select("path", "score").orderBy(F.desc(F.round("score", 12)), "path")
+    found = every.join(now.select("path", "score"), "path", "left").select("path", F.coalesce("score", F.lit(rest)).alias("score"))
+    return found.orderBy(F.desc(F.round("score", 12)), "path")
 
 
 def connected_components(edges: DataFrame, more: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from mdlake.functions import embedding as E
-from mdlake.operators import blocks as B, fts, parse as P
+from mdlake.operators import blocks as B, fts, graph, parse as P
 from mdlake.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -134,3 +134,21 @@ def test_parsed_entries_are_those_of_tables(spark):
     t = P.tables_of(docs)
     found = fts.parsed_entries(P.parse(docs, ("title", "blocks")))
     assert ordered(found) == ordered(fts.entries(t["documents"], t["blocks"])) and plan(found).count("MapInArrow") == 1
+
+
+def test_a_round_holds_nodes_with_edges_in(spark, monkeypatch):
+    """Scores against a dense iteration; what rounds write has no other nodes."""
+    pairs = [(f"s{i}", f"t{i % 3}") for i in range(50)] + [("t0", "t1"), ("t1", "s0"), ("t1", "s0"), ("s1", "s1"), ("s2", "t0")]
+    edges = spark.createDataFrame([(a, b, "wiki_link", "") for a, b in pairs], "source_path string, target_path string, link_type string, anchor_text string")
+    more = spark.createDataFrame([("alone",), ("t2",)], "path string")
+    tables, write = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name, **o: tables.setdefault(name, []).append(write(df, name, **o)) or tables[name][-1])
+    found = dict(map(tuple, graph.pagerank(edges, more, rounds=5).collect()))
+    names = sorted({x for p in pairs for x in p} | {"alone"})
+    score = dict.fromkeys(names, 1 / len(names))
+    out = {x: [b for a, b in pairs if a == x] for x in names}
+    for _ in range(5):
+        loose = sum(score[x] for x in names if not out[x])
+        score = {x: 0.15 / len(names) + 0.85 * (sum(score[a] * out[a].count(x) / len(out[a]) for a in names if x in out[a]) + loose / len(names)) for x in names}
+    assert found.keys() == score.keys() and all(abs(found[x] - score[x]) < 1e-12 for x in names)
+    assert {t.count() for t in tables["scores"]} == {5}
